@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.operators import references as ref
+from kelpie.operators.shred import flatten
 from kelpie.operators.widen import attributes, cells, widen
 from kelpie.plans import experiments as x
 
@@ -37,7 +38,46 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("run_id", *[f"`{n}`" for n in names])
 
 
-QUERIES = {"p2_found": p2_found, "p2_orphans": p2_orphans, "p5_found": p5_found, "p5_wide": p5_wide}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pipes, sets = x.current_pipelines(spark, d, ["dag"]), x.current_datasets(spark, d, ["columns", "profile"])
+    parts = [flatten(pipes, "id", "dag", "dag"), flatten(sets, "id", "columns", "columns"), flatten(sets, "id", "profile", "profile").where(F.col("kind") != "scalar")]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("owner_id", "kind", "path")
+
+
+def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
+    out = flatten(x.current_pipelines(spark, d, ["dag"]), "id", "dag", "dag", "node", ["class_type", "name", "dtype", "value", "language"])
+    return out.select("owner_id", "parent", "path", "class_type", "name", "dtype", "value", "language")
+
+
+def p6_edges(spark: SparkSession, d: str) -> DataFrame:
+    out = flatten(x.current_pipelines(spark, d, ["dag"]), "id", "dag", "dag", "edge", ["source", "destination", "position", "output"])
+    return out.select("owner_id", "parent", "path", "source", "destination", "position", "output")
+
+
+def p6_ports(spark: SparkSession, d: str) -> DataFrame:
+    out = flatten(x.current_pipelines(spark, d, ["dag"]), "id", "dag", "dag", "port", ["direction", "node", "handle"])
+    return out.select("owner_id", "parent", "path", "direction", "node", "handle")
+
+
+def p6_columns(spark: SparkSession, d: str) -> DataFrame:
+    out = flatten(x.current_datasets(spark, d, ["columns"]), "id", "columns", "columns", "column", ["inferred_type", "null_count", "null_pct", "min", "max"])
+    return out.select("owner_id", "path", "place", "inferred_type", "null_count", "null_pct", "min", "max")
+
+
+def p6_categories(spark: SparkSession, d: str) -> DataFrame:
+    out = flatten(x.current_datasets(spark, d, ["columns"]), "id", "columns", "columns", "category", ["value", "count"])
+    return out.select("owner_id", F.col("parent").alias("column_name"), "path", "value", F.col("count").alias("n"))
+
+
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Scalars, class counts and component ratios of every current profile, one row each."""
+    sets = x.current_datasets(spark, d, ["profile"])
+    parts = [flatten(sets, "id", "profile", "profile", k, [v]).select("owner_id", "kind", "path", F.col(v).alias("number")) for k, v in (("scalar", "number"), ("class", "n"), ("component", "ratio"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUERIES = {"p2_found": p2_found, "p2_orphans": p2_orphans, "p5_found": p5_found, "p5_wide": p5_wide, "p6_found": p6_found, "p6_nodes": p6_nodes, "p6_edges": p6_edges, "p6_ports": p6_ports, "p6_columns": p6_columns, "p6_categories": p6_categories, "p6_profile": p6_profile}
 
 _P2 = """
   WITH ev AS (
