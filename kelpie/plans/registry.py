@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import corpus
+from kelpie.plans import corpus, relational
 
-_MODULES = [corpus]
+_MODULES = [corpus, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
