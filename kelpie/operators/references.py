@@ -15,14 +15,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.sources.tables import durable
+
 NONE_US = np.iinfo(np.int64).min
 
 
 def splitters(parents: DataFrame, ranges: int, sample: int = 16_384) -> list[str]:
-    """At most `ranges`-1 keys that cut the parents about evenly: quantiles of the `sample` keys of least hash.
+    """At most `ranges`-1 keys that cut the parents about evenly: quantiles of about `sample` keys drawn by hash.
 
-    The bounded sample moves only the cuts; every parent and reference is still looked up."""
-    got = [r[0] for r in parents.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(sample).collect()]
+    The share drawn falls as the parents grow, so the driver gets about `sample` keys whatever their number. The bounded
+    sample moves only the cuts; every parent and reference is still looked up."""
+    n = parents.count()
+    least = int(min(1.0, min(sample, 64 * ranges) / max(n, 1)) * (1 << 30))
+    got = [r[0] for r in parents.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < least).select("_key").collect()]
     got.sort(key=lambda s: s.encode())
     return sorted({got[len(got) * i // ranges] for i in range(1, ranges)}, key=lambda s: s.encode()) if got else []
 
@@ -145,7 +150,7 @@ def orphans(refs: DataFrame, parents: DataFrame, ranges: int | None = None, refs
     reference is missing; without references the result is empty."""
     spark = refs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    par = parents.where(F.col("key").isNotNull()).select(F.col("key").alias("_key"), F.col("ref_table").alias("_table"), F.col("first_at").alias("_at"), F.col("present").alias("_in"), F.col("deleted").alias("_gone"))
+    par = durable(parents).where(F.col("key").isNotNull()).select(F.col("key").alias("_key"), F.col("ref_table").alias("_table"), F.col("first_at").alias("_at"), F.col("present").alias("_in"), F.col("deleted").alias("_gone"))
     ref = refs.where(F.col("key").isNotNull()).select(F.col("key").alias("_key"), F.col("ref_table").alias("_table"), F.col("at").alias("_at"), F.col("id").alias("_id"), F.col("period").alias("_period"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("_h"))
     cuts = splitters(par, ranges)
     loads = dict.fromkeys(range(len(cuts) + 1), 0)
