@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelpie.functions.keys import norm_id, norm_metric, usable
 from kelpie.llm import tokens
 from kelpie.llm.mixing import mix
+from kelpie.llm.reading import reading_level
 from kelpie.llm.setjoin import similar_pairs
 from kelpie.llm.topn import top_n
 from kelpie.llm.vectors import knn
@@ -67,7 +68,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_ids": p7_ids, "p8_selection": p8_selection, "p8_shares": p8_shares}
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).select("doc_id", "level")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_ids": p7_ids, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 
 _SETS = """
   WITH cur AS (
