@@ -140,10 +140,10 @@ def rank_weights(x: np.ndarray, y: np.ndarray, seed: int, pairs: int = 50_000, s
     m, v = np.zeros_like(w), np.zeros_like(w)
     gap = np.sqrt((y[a] - y[b]).astype(np.float64))  # farther apart counts more
     for t in range(1, steps + 1):
-        s = x @ w
+        s = (x @ w.astype(x.dtype)).astype(np.float64)
         pull = gap / (1 + np.exp(np.clip(s[a] - s[b], -30, 30))) / gap.sum()
         coef = np.bincount(a, pull, len(y)) - np.bincount(b, pull, len(y))
-        g = -(x.T @ coef) + decay * w
+        g = decay * w - coef.astype(x.dtype) @ x  # in the features' own type: else all of them are copied at every step
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w
