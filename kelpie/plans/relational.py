@@ -278,10 +278,10 @@ def a16(s, d):
     return pipes(s, d).select(F.col("id").alias("pipeline_id")).join(m, "pipeline_id", "left").select("pipeline_id", F.round(F.coalesce("m", F.lit(0.0)), 8).alias("score"))
 
 
-@query("A18_running_mean", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM events")
+@query("A18_running_mean", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running FROM events")
 def a18(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(s, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 6).alias("running"))
+    return load(s, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 9).alias("running"))
 
 
 @query("A19_mode_promotion", "WITH c AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_partkey, sum(n) AS total, max(n) AS top, arg_max(l_returnflag, (n, l_returnflag)) AS target FROM c GROUP BY 1) SELECT l_partkey, target, CAST(total AS BIGINT) AS total, top / total AS share, CASE WHEN total < 20 THEN 'defer' WHEN top / total >= 0.7 THEN 'promote' ELSE 'demote' END AS decision FROM m")
