@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import corpus, documents, quality, ranking, relational, stream
+from kelpie.plans import corpus, documents, learning, quality, ranking, relational, stream
 
-_MODULES = [corpus, relational, documents, quality, ranking]
+_MODULES = [corpus, relational, documents, quality, ranking, stream, learning]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
