@@ -188,7 +188,7 @@ def learn(texts: list[list[str]], ratings: np.ndarray, seed: int = 11, words: in
         seen.update(terms(t).keys())
     kept = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= max(3, len(texts) // 400)][:words]
     model = Model({w: _SYNTAX + i for i, w in enumerate(kept)}, np.zeros(1), np.ones(1), np.zeros(1), np.array([]), levels)
-    x = np.array([model.raw(t) for t in texts], np.float32).reshape(len(texts), -1)
+    x = np.array([model.raw(t) for t in texts], np.float32) if len(texts) else np.zeros((0, _SYNTAX), np.float32)
     model.mean = x.mean(0) if len(x) else np.zeros(_SYNTAX)
     model.scale = np.maximum(x.std(0), 1e-6) if len(x) else np.ones(_SYNTAX)
     rare = model.scale[_SYNTAX:]
