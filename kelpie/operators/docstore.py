@@ -134,8 +134,11 @@ def update(df: DataFrame, spec: dict, ops: dict, col: str = "data") -> DataFrame
     doc = F.transform_values(fields(col), lambda k, v: F.to_json(v))
     lit = lambda v: F.lit(json.dumps(v, separators=(",", ":")))
 
+    def without(m: Column, k: str) -> Column:
+        return F.map_filter(m, lambda kk, _: kk != k)
+
     def put(m: Column, k: str, v: Column) -> Column:
-        return F.map_concat(F.map_filter(m, lambda kk, _: kk != k), F.create_map(F.lit(k), v))
+        return F.map_concat(without(m, k), F.create_map(F.lit(k), v))
 
     items = lambda m, k: F.coalesce(F.transform(F.from_json(F.try_element_at(m, F.lit(k)), "array<variant>"), lambda x: F.to_json(x)), F.array().cast("array<string>"))
     whole = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
@@ -144,7 +147,7 @@ def update(df: DataFrame, spec: dict, ops: dict, col: str = "data") -> DataFrame
             if op in ("$set", "$setOnInsert"):
                 doc = put(doc, k, lit(v)) if op == "$set" else doc
             elif op == "$unset":
-                doc = F.map_filter(doc, lambda kk, _, k=k: kk != k)
+                doc = without(doc, k)
             elif op == "$inc":
                 kind = "bigint" if isinstance(v, int) else "double"
                 doc = put(doc, k, (F.coalesce(F.try_element_at(doc, F.lit(k)).cast(kind), F.lit(0).cast(kind)) + F.lit(v)).cast("string"))

@@ -137,7 +137,7 @@ def match_pattern(nodes: DataFrame, edges: DataFrame, labels: list[str], links:
         for j in range(i):
             if i in bound and j in bound:
                 out = out.where(F.col(f"n{i}") != F.col(f"n{j}"))
-    return out.distinct()
+    return out.select("graph", *[f"n{i}" for i in sorted(bound)]).distinct()
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame, reroute: bool = True) -> tuple[DataFrame, DataFrame]:

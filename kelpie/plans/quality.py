@@ -56,7 +56,7 @@ def p03(s, d):
     return one.select(x.alias("x")).select("x.*")
 
 
-@query("P04_column_profile", "SELECT * FROM (VALUES ('event_id', 'int', 'continuous'), ('user_id', 'int', 'continuous'), ('event_type', 'str', 'categorical'), ('value', 'float', 'continuous'), ('props', 'str', 'categorical')) t(\"column\", inferred_type, scale), (SELECT 0 AS null_count) n")
+@query("P04_column_profile", "SELECT \"column\", inferred_type, CASE WHEN \"column\" = 'user_id' AND (SELECT count(DISTINCT user_id) FROM events) <= 20 THEN 'ordinal' ELSE scale END AS scale, null_count FROM (VALUES ('event_id', 'int', 'continuous'), ('user_id', 'int', 'continuous'), ('event_type', 'str', 'categorical'), ('value', 'float', 'continuous'), ('props', 'str', 'categorical')) t(\"column\", inferred_type, scale), (SELECT 0 AS null_count) n")
 def p04(s, d):
     p = q.column_profile(load(s, d, "events").drop("ts"))
     return p.select("column", "inferred_type", "scale", F.col("null_count").cast("int").alias("null_count"))
