@@ -30,69 +30,84 @@ _LINK = re.compile(r"https?://\S+|www\.\S+")
 _DOTTED = re.compile(r"\b\w+(?:\.\w+){1,}\b")
 _LOG = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[ T]|File \"|Traceback |at [\w.$]+\(|>>> |[\w.]*(?:Error|Exception)\b:|Run [0-9a-f]{6,}\b|#|\|)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_PLAIN = re.compile(r"[a-z]+(?:['-][a-z]+)*")  # the same over ASCII, faster
 _COUNT = re.compile(r"\w+")
+_IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_PARTICIPLE = ("ed", "en", "wn", "pt", "ld")
 _STOP = re.compile(r"[.!?;…]+(?=\s|$)")
 
 
-def english(text: str | None, least: float = 0.2) -> tuple[list[str], int]:
-    """The English sentences of a text and how many words they have."""
+Sentence = tuple[str, list[str]]  # its text, and its words in lower case without dotted names
+
+
+def parse(text: str | None, least: float = 0.2) -> tuple[list[Sentence], int, float]:
+    """The English sentences of a text, how many words they have, and their share of the words outside of code and logs (an
+    ideograph counts as half a word). One pass; the rarer patterns are tried only where a character of theirs occurs."""
     if not text:
-        return [], 0
-    text = _TAG.sub(" ", _FENCE.sub("\n", text.replace("\r", "\n")))
-    out, words = [], 0
-    for line in text.split("\n"):
-        if _LOG.match(line):
+        return [], 0, 0.0
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", text)
+    out, words, every = [], 0, 0
+    for line in text.replace("\r", "\n").split("\n"):
+        if not line or _LOG.match(line):
             continue
-        line = _LINK.sub(" ", line).strip(" \t-*•>+")
-        for part in _STOP.split(line):
-            found = _WORD.findall(part)
-            if len(found) < 2:
+        if "http" in line or "www." in line:
+            line = _LINK.sub(" ", line)
+        if not line.isascii():
+            every += len(_IDEOGRAPH.findall(line)) // 2
+        for part in _STOP.split(line.strip(" \t-*•>+")):
+            n = len(_COUNT.findall(part))
+            every += n
+            if n < 2:
                 continue
-            known = sum(w.lower() in FUNCTION_WORDS for w in found)
+            plain = (_DOTTED.sub(" ", part) if "." in part else part).lower()
+            found = (_PLAIN if plain.isascii() else _WORD).findall(plain)
+            known = len([w for w in found if w in FUNCTION_WORDS])
             if known and known >= least * len(found):
-                out.append(part)
-                words += len(_COUNT.findall(part))
-    return out, words
+                out.append((part, found))
+                words += n
+    return out, words, words / every if every else 0.0
 
 
-def share_of_prose(text: str, words: int) -> float:
-    """English words against all letters' worth of words in the text's prose (an ideograph counts as half a word)."""
-    body = _FENCE.sub("\n", text)
-    others = 0
-    for line in body.replace("\r", "\n").split("\n"):
-        if not _LOG.match(line):
-            others += len(_COUNT.findall(line)) + len(re.findall("[぀-ヿ㐀-鿿]", line)) // 2
-    return words / others if others else 0.0
+def english(text: str | None, least: float = 0.2) -> tuple[list[str], int]:
+    """The English sentences of a text and how many words they have."""
+    sentences, words, _ = parse(text, least)
+    return [s for s, _ in sentences], words
+
 
+def _opens(a: str, b: str) -> bool:
+    return a in FUNCTION_WORDS or b in FUNCTION_WORDS or a in SUBORDINATE
 
-def terms(sentences: list[str]) -> Counter:
-    """Words and adjacent pairs of words, in lower case; dotted names and numbers are left out."""
+
+def terms(sentences: list[Sentence]) -> Counter:
+    """Words, and adjacent pairs of words of which one is a function word."""
     out: Counter = Counter()
-    for s in sentences:
-        w = [x.lower() for x in _WORD.findall(_DOTTED.sub(" ", s))]
+    for _, w in sentences:
         out.update(w)
-        out.update(f"{a} {b}" for a, b in zip(w, w[1:]) if a in FUNCTION_WORDS or b in FUNCTION_WORDS or a in SUBORDINATE)
+        out.update(p for p in zip(w, w[1:]) if _opens(*p))
     return out
 
 
-def syntax(sentences: list[str]) -> list[float]:
+def syntax(sentences: list[Sentence]) -> list[float]:
     """Sentence length, its spread, clauses, commas, passives, word length, long words, distinct words."""
-    words = [[x.lower() for x in _WORD.findall(s)] for s in sentences]
-    n = max(1, len(words))
-    flat = [w for s in words for w in s]
+    n = max(1, len(sentences))
+    flat = [w for _, s in sentences for w in s]
     m = max(1, len(flat))
-    length = [len(s) for s in words]
+    length = [len(s) for _, s in sentences]
     mean = sum(length) / n
-    passive = sum(a in BE and b.endswith(("ed", "en", "wn", "pt", "ld")) for s in words for a, b in zip(s, s[1:]))
+    size = list(map(len, flat))
+    passive = sum(b.endswith(_PARTICIPLE) for _, s in sentences for a, b in zip(s, s[1:]) if a in BE)
     return [
         mean,
         math.sqrt(sum((x - mean) ** 2 for x in length) / n),
-        sum(w in SUBORDINATE for w in flat) / n,
-        sum(s.count(",") for s in sentences) / n,
+        len([w for w in flat if w in SUBORDINATE]) / n,
+        sum(t.count(",") for t, _ in sentences) / n,
         passive / n,
-        sum(map(len, flat)) / m,
-        sum(len(w) >= 9 for w in flat) / m,
-        sum(len(w) >= 12 for w in flat) / m,
+        sum(size) / m,
+        len([x for x in size if x >= 9]) / m,
+        len([x for x in size if x >= 12]) / m,
         len(set(flat)) / math.sqrt(m),
     ]
 
@@ -104,23 +119,36 @@ _SYNTAX = 9
 class Model:
     """vocabulary: term -> feature; the first features are the syntactic ones. cuts: the least score of levels 2, 3, ..."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[str | tuple[str, str], int]
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
     cuts: np.ndarray
     levels: np.ndarray
 
-    def raw(self, sentences: list[str]) -> np.ndarray:
-        x = np.zeros(_SYNTAX + len(self.vocabulary), np.float32)
+    def known(self, sentences: list[Sentence]) -> tuple[list[int], int]:
+        """The features of the terms that are known, one entry per occurrence, and the number of words."""
+        get, at, total = self.vocabulary.get, [], 0
+        for _, w in sentences:
+            total += len(w)
+            at += [i for x in w if (i := get(x)) is not None]
+            at += [i for x in zip(w, w[1:]) if (i := get(x)) is not None]
+        return at, max(1, total)
+
+    def raw(self, sentences: list[Sentence]) -> np.ndarray:
+        at, total = self.known(sentences)
+        x = np.bincount(at, minlength=_SYNTAX + len(self.vocabulary)).astype(np.float32) / total if at else np.zeros(_SYNTAX + len(self.vocabulary), np.float32)
         x[:_SYNTAX] = syntax(sentences)
-        got = terms(sentences)
-        total = max(1, sum(v for k, v in got.items() if " " not in k))
-        for term, n in got.items():
-            if (i := self.vocabulary.get(term)) is not None:
-                x[i] = n / total
         return x
 
+    def score_one(self, sentences: list[Sentence]) -> float:
+        """As score(raw(..)), over the terms that occur only."""
+        if not hasattr(self, "_pull"):
+            self._pull = self.weight / self.scale
+            self._base = float(-(self.mean * self._pull).sum())
+        at, total = self.known(sentences)
+        return self._base + float(self._pull[at].sum()) / total + float(np.dot(syntax(sentences), self._pull[:_SYNTAX]))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weight
 
@@ -178,7 +206,7 @@ def cuts_of(score: np.ndarray, y: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def learn(texts: list[list[str]], ratings: np.ndarray, seed: int = 11, words: int = 900, folds: int = 4) -> Model:
+def learn(texts: list[list[Sentence]], ratings: np.ndarray, seed: int = 11, words: int = 900, folds: int = 4) -> Model:
     """A model from the English sentences of rated documents. Ratings of one document are averaged beforehand.
 
     Without ratings of two different levels the model knows one level only (1 without any)."""
@@ -186,7 +214,7 @@ def learn(texts: list[list[str]], ratings: np.ndarray, seed: int = 11, words: in
     seen: Counter = Counter()
     for t in texts:
         seen.update(terms(t).keys())
-    kept = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= max(3, len(texts) // 400)][:words]
+    kept = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], str(x[0]))) if n >= max(3, len(texts) // 400)][:words]
     model = Model({w: _SYNTAX + i for i, w in enumerate(kept)}, np.zeros(1), np.ones(1), np.zeros(1), np.array([]), levels)
     x = np.array([model.raw(t) for t in texts], np.float32) if len(texts) else np.zeros((0, _SYNTAX), np.float32)
     model.mean = x.mean(0) if len(x) else np.zeros(_SYNTAX)
@@ -228,16 +256,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: i
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [english(t) for t in b.column(1).to_pylist()]
-            keep = [i for i, (_, w) in enumerate(got) if w >= least]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([got[i][0] for i in keep], pa.list_(pa.string())), b.column(2).take(pa.array(keep, pa.int64()))], ["doc_id", "sentences", "rating"])
+            got = [parse(t) for t in b.column(1).to_pylist()]
+            keep = [i for i, (_, w, _) in enumerate(got) if w >= least]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(["\n".join(s for s, _ in got[i][0]) for i in keep], pa.string()), b.column(2).take(pa.array(keep, pa.int64()))], ["doc_id", "sentences", "rating"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # `some` is bounded by train_rows
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.select("doc_id", "text", "rating").mapInArrow(clean, f"doc_id {kind}, sentences array<string>, rating double").toArrow()
+    got = rows.select("doc_id", "text", "rating").mapInArrow(clean, f"doc_id {kind}, sentences string, rating double").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable") if got.num_rows else np.array([], int)
     texts, y = got.column("sentences").to_pylist(), got.column("rating").to_numpy()
-    return learn([texts[i] for i in order], y[order] if len(y) else np.array([]))
+    return learn([parse(texts[i])[0] for i in order], y[order] if len(y) else np.array([]))
 
 
 def reading_level(docs: DataFrame, labels: DataFrame, least: int = 60, prose: float = 0.5) -> DataFrame:
@@ -253,16 +281,16 @@ def reading_level(docs: DataFrame, labels: DataFrame, least: int = 60, prose: fl
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                keep, rows, count = [], [], []
+                keep, score, count = [], [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
-                    sentences, words = english(t)
-                    if words >= least and share_of_prose(t, words) >= prose:
+                    sentences, words, share = parse(t)
+                    if words >= least and share >= prose:
                         keep.append(i)
-                        rows.append(m.raw(sentences))
+                        score.append(m.score_one(sentences))
                         count.append(words)
                 if keep:
-                    score = m.score(np.array(rows))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(m.level(score).astype(np.int32)), pa.array(score.astype(np.float64)), pa.array(count, pa.int32())], ["doc_id", "level", "score", "words"])
+                    score = np.array(score)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(m.level(score).astype(np.int32)), pa.array(score), pa.array(count, pa.int32())], ["doc_id", "level", "score", "words"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, level int, score double, words int")
