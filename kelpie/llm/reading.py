@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -206,6 +207,14 @@ def cuts_of(score: np.ndarray, y: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def _spread(x: np.ndarray, mean: np.ndarray, block: int = 1024) -> np.ndarray:
+    """The standard deviation of each column, without a second array of the size of x."""
+    total = np.zeros(x.shape[1])
+    for lo in range(0, len(x), block):
+        total += ((x[lo : lo + block] - mean) ** 2).sum(0)
+    return np.sqrt(total / max(1, len(x)))
+
+
 def learn(texts: list[list[Sentence]], ratings: np.ndarray, seed: int = 11, words: int = 900, folds: int = 4) -> Model:
     """A model from the English sentences of rated documents. Ratings of one document are averaged beforehand.
 
@@ -216,15 +225,19 @@ def learn(texts: list[list[Sentence]], ratings: np.ndarray, seed: int = 11, word
         seen.update(terms(t).keys())
     kept = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], str(x[0]))) if n >= max(3, len(texts) // 400)][:words]
     model = Model({w: _SYNTAX + i for i, w in enumerate(kept)}, np.zeros(1), np.ones(1), np.zeros(1), np.array([]), levels)
-    x = np.array([model.raw(t) for t in texts], np.float32) if len(texts) else np.zeros((0, _SYNTAX), np.float32)
-    model.mean = x.mean(0) if len(x) else np.zeros(_SYNTAX)
-    model.scale = np.maximum(x.std(0), 1e-6) if len(x) else np.ones(_SYNTAX)
+    x = np.empty((len(texts), _SYNTAX + len(kept)), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = model.raw(t)
+    model.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
+    model.scale = np.maximum(_spread(x, model.mean), 1e-6) if len(x) else np.ones(x.shape[1])
     rare = model.scale[_SYNTAX:]
     model.scale[_SYNTAX:] = np.sqrt(rare * rare.mean()) if len(rare) else rare  # rare terms are raised by half, so that their noise isn't
-    model.weight = np.zeros(x.shape[1] if len(x) else _SYNTAX)
+    model.weight = np.zeros(x.shape[1])
     if len(levels) < 2:
         return model
-    z = ((x - model.mean) / model.scale).astype(np.float32)
+    z = x  # the one large array, scaled in place
+    z -= model.mean
+    z /= model.scale
     part = np.random.default_rng(seed).integers(0, folds, len(z))
     held = np.zeros(len(z))
     for f in range(folds):
@@ -265,7 +278,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: i
     got = rows.select("doc_id", "text", "rating").mapInArrow(clean, f"doc_id {kind}, sentences string, rating double").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable") if got.num_rows else np.array([], int)
     texts, y = got.column("sentences").to_pylist(), got.column("rating").to_numpy()
-    return learn([parse(texts[i])[0] for i in order], y[order] if len(y) else np.array([]))
+    del got, rows
+    # Words are interned: most occur in every text, and the driver holds all of the sample's.
+    parsed = [[(s, [sys.intern(w) for w in words]) for s, words in parse(texts[i])[0]] for i in order]
+    del texts
+    return learn(parsed, y[order] if len(y) else np.array([]))
 
 
 def reading_level(docs: DataFrame, labels: DataFrame, least: int = 60, prose: float = 0.5) -> DataFrame:
