@@ -160,7 +160,8 @@ def update(df: DataFrame, spec: dict, ops: dict, col: str = "data") -> DataFrame
                 doc = put(doc, k, whole(F.array_union(items(doc, k), F.array(lit(v)))))
             else:
                 raise NotImplementedError(f"unknown operator {op}")
-    text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(doc)), lambda k: F.concat(F.to_json(F.to_variant_object(F.struct(k.alias("k")))).substr(F.lit(6), F.length(F.to_json(F.to_variant_object(F.struct(k.alias("k"))))) - 6), F.lit(":"), F.element_at(doc, k))), ","), F.lit("}"))
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(doc)), lambda k: F.concat(quoted(k), F.lit(":"), F.element_at(doc, k))), ","), F.lit("}"))
     return df.withColumn(col, F.when(hit, text).otherwise(F.col(col)))
 
 

@@ -213,3 +213,68 @@ def repair_log(before: DataFrame, after: DataFrame, key: str, cols: list[str], m
     both = before.select(F.col(key), *[F.col(c).cast("string").alias(f"o_{c}") for c in cols]).join(b, F.col(key) == F.col("_k"))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o_{c}").alias("old"), F.col(f"n_{c}").alias("new")) for c in cols])
     return both.select(key, F.explode(F.filter(cells, lambda x: ~x["old"].eqNullSafe(x["new"]))).alias("x")).select(key, "x.column", "x.old", "x.new", F.lit(method).alias("method"))
+
+
+def unordered_categories(df: DataFrame) -> list[str]:
+    """Text columns that no metadata (`ordered`) marks as ordered."""
+    return [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and not (f.metadata or {}).get("ordered", False)]
+
+
+#: Scanners of text guardrails. An extension: the checks of these names elsewhere never fire.
+GUARDRAILS = {
+    "prompt_injection": r"(?i)\b(ignore|disregard) (all |any )?(previous|prior|above) (instructions|rules)",
+    "pii_leak": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "link": r"https?://",
+}
+
+
+def scan_text(df: DataFrame, text: str) -> DataFrame:
+    """(check, hits) of every guardrail, in one pass."""
+    one = df.agg(*[F.count_if(F.col(text).rlike(p)).alias(n) for n, p in GUARDRAILS.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("hits")) for n in GUARDRAILS])).alias("x")).select("x.check", "x.hits")
+
+
+def _imbalanced(df: DataFrame, label: str) -> bool:
+    r = class_imbalance(df, label).first()
+    return r.stat is not None and r.dof > 0 and chi2_p(r.stat, r.dof) < 0.05
+
+
+def _dependent(df: DataFrame, group: str, label: str) -> bool:
+    r = contingency(df, group, label).first()
+    return r.stat is not None and r.dof > 0 and chi2_p(r.stat, r.dof) < 0.05
+
+
+def _shifted(train: DataFrame, test: DataFrame, cols: list[str]) -> bool:
+    kinds = dict(train.dtypes)
+    for c in cols:
+        if kinds[c] == "string":
+            both = train.select(c, F.lit("a").alias("_s")).unionByName(test.select(c, F.lit("b").alias("_s")))
+            if _dependent(both, c, "_s"):
+                return True
+        else:
+            r = ks_statistic(train, test, c).first()
+            if r.d is not None and ks_p(r.d, r.n, r.m) < 0.05:
+                return True
+    return False
+
+
+#: The checks by name.
+CHECKS = {
+    "class_imbalance": _imbalanced,
+    "group_bias": _dependent,
+    "selection_bias": _shifted,
+    "sampling_bias": _shifted,
+    "domain_shift_bias": _shifted,
+    "feature_scaling_bias": lambda a, b, cols: any((r.shift or 0) > 0.1 for r in scale_shift(a, b, cols).collect()),  # one row per column
+    "outlier_bias": lambda a, b, cols: any(r.ratio is not None and (r.ratio["sd"] < 0.1 or r.ratio["range"] < 0.2) for r in outlier_removal(a, b, cols).collect()),
+    "zero_variance_feature_bias": lambda df, cols: any(r.constant for r in zero_variance(df, cols).collect()),
+    "loss_of_ordinality_bias": lambda df: bool(unordered_categories(df)),
+}
+
+
+def run_check(name: str, *args) -> tuple[bool, str]:
+    """(found, message); a name without a check is not found, and the message says so."""
+    if name not in CHECKS:
+        return False, f"{name} is not implemented"
+    found = bool(CHECKS[name](*args))
+    return found, f"{name} {'found' if found else 'not found'}"

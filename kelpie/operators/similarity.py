@@ -148,3 +148,35 @@ def wl_kernel(labels: DataFrame, base) -> DataFrame:
     h = labels.groupBy("graph", "round", "label").agg(F.count(F.lit(1)).alias("n"))
     one = h.where(F.col("graph") == base).select("round", "label", F.col("n").alias("m"))
     return h.join(one, ["round", "label"]).groupBy("graph").agg(F.sum(F.least("n", "m")).alias("kernel"))
+
+
+def nystroem(df: DataFrame, key: str, vec: str, landmarks: int = 32, gamma: float = 1.0, rank: int = 16) -> DataFrame:
+    """(key, embedding): coordinates whose products approximate the RBF kernel, from a fixed number of landmarks (those of
+    least hash). The eigenvectors of the landmarks' kernel are found on the driver and broadcast; both are of fixed size.
+    Null vectors and those of other lengths than the landmarks' have no embedding."""
+    rows = df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    picked = rows.select("v", F.xxhash64("k").alias("h")).orderBy("h").limit(landmarks).toPandas()["v"]
+    kind = dict(df.dtypes)[key]
+    schema = f"`{key}` {kind}, embedding array<double>"
+    if not len(picked):
+        return df.sparkSession.createDataFrame([], schema)
+    size = int(np.bincount([len(x) for x in picked]).argmax())
+    c = np.array([x for x in picked if len(x) == size], dtype=np.float64)
+    kernel = lambda a, b: np.exp(-gamma * np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
+    value, vector = np.linalg.eigh(kernel(c, c))
+    top = np.argsort(-value)[:rank]
+    top = top[value[top] > 1e-10]
+    shared = df.sparkSession.sparkContext.broadcast((c, vector[:, top] / np.sqrt(value[top]), gamma))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, w, gamma = shared.value
+        for b in batches:
+            ok = np.flatnonzero(np.diff(b.column(1).offsets.to_numpy()) == c.shape[1])
+            if not len(ok):
+                continue
+            part = b.take(pa.array(ok))
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ok), -1)
+            d = (x**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * x @ c.T
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array((np.exp(-gamma * np.maximum(d, 0)) @ w).tolist(), pa.list_(pa.float64()))], [key, "embedding"])
+
+    return rows.mapInArrow(run, schema)

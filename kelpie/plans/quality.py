@@ -340,6 +340,27 @@ def _fair(s, d):
     return load(s, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_linestatus") == "F").cast("int").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("p"))
 
 
+@query("C09_loss_of_ordinality", "SELECT * FROM (VALUES ('o_orderstatus'), ('o_orderpriority')) t(\"column\")")
+def c09(s, d):
+    return s.createDataFrame([(c,) for c in k.unordered_categories(load(s, d, "orders"))], "column string")
+
+
+@query("C12_text_guardrails", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) FILTER (regexp_matches(text, '{p}')) AS hits FROM documents" for n, p in k.GUARDRAILS.items()))
+def c12(s, d):
+    return k.scan_text(load(s, d, "documents"), "text")
+
+
+#: Fixed value: the chi-square quantile of 0.95 at two degrees of freedom.
+_CRITICAL = 5.991464547107979
+
+
+@query("C13_check_dispatch", "WITH n AS (SELECT count(*)::DOUBLE AS n FROM lineitem GROUP BY l_returnflag), i AS (SELECT sum(n * n) * count(*) / sum(n) - sum(n) AS stat FROM n), g AS (" + _CHI.format(a="l_returnflag", b="l_linestatus", t="lineitem") + f") SELECT 'class_imbalance' AS \"check\", stat > {_CRITICAL} AS found FROM i UNION ALL SELECT 'group_bias', stat > {_CRITICAL} FROM g UNION ALL SELECT 'zero_variance_feature_bias', count(DISTINCT l_tax) <= 1 FROM lineitem UNION ALL SELECT 'data_leakage', false")
+def c13(s, d):
+    li = load(s, d, "lineitem")
+    runs = [("class_imbalance", (li, "l_returnflag")), ("group_bias", (li, "l_returnflag", "l_linestatus")), ("zero_variance_feature_bias", (li, ["l_tax"])), ("data_leakage", ())]
+    return s.createDataFrame([(n, k.run_check(n, *a)[0]) for n, a in runs], "check string, found boolean")
+
+
 @query("C14_fairness", f"WITH {_FAIR}, b AS (SELECT avg(p - y + 1) AS mu FROM f) SELECT round(avg(p) FILTER (g <> 'A') / avg(p) FILTER (g = 'A'), 6) AS disparate_impact, round(avg(p) FILTER (g <> 'A') - avg(p) FILTER (g = 'A'), 6) AS statistical_parity, round(avg(p) FILTER (g <> 'A' AND y = 1) - avg(p) FILTER (g = 'A' AND y = 1), 6) AS equal_opportunity, round(avg(CASE WHEN p - y + 1 > 0 THEN (p - y + 1) / mu * ln((p - y + 1) / mu) ELSE 0 END), 6) AS theil FROM f, b")
 def c14(s, d):
     out = k.fairness(_fair(s, d), "g", "A", "y", "p")

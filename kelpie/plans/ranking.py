@@ -256,6 +256,11 @@ def m17(s, d):
     return rel.u05(s, d)
 
 
+@query("M11_landmark_embedding")
+def m11(s, d):
+    return m.nystroem(load(s, d, "embeddings"), "vec_id", "embedding", gamma=0.5)
+
+
 def _score(r: dict) -> float:
     return 0.7 * r["acc"] + 0.3 * r["rec"]
 

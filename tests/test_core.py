@@ -224,3 +224,14 @@ def test_expected_improvement_and_scores(spark):
 def test_user_objective_errors_count_as_zero(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None)], "id int, x double")
     assert rows(rk.user_objective(df, lambda r: r["x"] * 2, ["x"])) == [(1, 2.0, 4.0), (2, None, 0.0)]
+
+
+def test_landmark_embedding_approximates_the_kernel(spark):
+    import numpy as np
+
+    r = random.Random(9)
+    data = [(i, [r.random(), r.random()]) for i in range(200)] + [(900, None), (901, [1.0])]
+    got = {x.i: np.array(x.embedding) for x in sim.nystroem(spark.createDataFrame(data, "i int, v array<double>"), "i", "v", 40, 1.0, 30).collect()}
+    assert set(got) == set(range(200))
+    gap = [abs(got[i] @ got[j] - math.exp(-math.dist(data[i][1], data[j][1]) ** 2)) for i in range(0, 200, 7) for j in range(0, 200, 11)]
+    assert max(gap) < 1e-3

@@ -122,3 +122,13 @@ def test_statistics(spark):
     assert k.ks_statistic(a, b, "v").first()[0] == 1.0
     z = spark.createDataFrame([(1, None, 5), (2, None, 5)], "a int, b int, c int")
     assert rows(k.zero_variance(z, ["a", "b", "c"])) == [("a", False), ("b", True), ("c", True)]
+
+
+def test_check_dispatch(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 30 + [("b", 1.0)] * 5, "y string, c double")
+    assert k.run_check("class_imbalance", df, "y") == (True, "class_imbalance found")
+    assert k.run_check("zero_variance_feature_bias", df, ["c"])[0] and k.run_check("loss_of_ordinality_bias", df)[0]
+    assert k.run_check("temporal_bias") == (False, "temporal_bias is not implemented")
+    assert not k.run_check("sampling_bias", df, df, ["y", "c"])[0]
+    shifted = df.withColumn("c", F.col("c") + F.rand(1))
+    assert k.run_check("domain_shift_bias", df, shifted, ["c"])[0]
