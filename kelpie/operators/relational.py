@@ -25,7 +25,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def win_rates(interactions: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Wins, comparisons and their ratio per pipeline (and `by`).
 
-    The reference's OR-join (compared = p or preferred = p) becomes an explode of both ids and an equi-aggregation; a row that
+    The OR-join (compared = p or preferred = p) becomes an explode of both ids and an equi-aggregation; a row that
     names a pipeline in both columns counts once. Rows without a preferred id still count as comparisons."""
     ids = F.array_distinct(F.filter(F.array("compared_id", "preferred_id"), lambda x: x.isNotNull()))
     each = interactions.select(*by, "preferred_id", F.explode(ids).alias("pipeline_id"))
