@@ -85,19 +85,24 @@ def j04(s, d):
     return load(s, d, "region").select("r_name").crossJoin(F.broadcast(load(s, d, "nation").select("n_name")))
 
 
-_NEW = "np AS (SELECT id, created_at FROM pi ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 60), nd AS (SELECT id, created_at FROM ds ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 60)"
+def _done(s, d):
+    """Distinct (pipeline_id, dataset_id) that were evaluated, of data sets that exist."""
+    e = evals(s, d).select("pipeline_id", "dataset_id").dropna().distinct()
+    return e.join(sets(s, d).select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
 
 
-def _queue(s, d):
-    """The newest 60 pipelines by the newest 60 data sets: the queue's window, 3,600 pairs whatever the store holds."""
-    top = lambda x: x.select("id", "created_at").orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(60)
-    p, q = top(pipes(s, d)), top(sets(s, d))
-    return p.select(F.col("id").alias("pipeline_id"), F.col("created_at").alias("p_at")).crossJoin(F.broadcast(q.select(F.col("id").alias("dataset_id"), F.col("created_at").alias("d_at"))))
+_OPEN = f"WITH {EV}, {PI}, {DS} SELECT pi.id AS pipeline_id, ds.id AS dataset_id FROM pi, ds WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.pipeline_id = pi.id AND ev.dataset_id = ds.id)"
 
 
-@query("J05_anti_unevaluated_pairs", f"WITH {EV}, {PI}, {DS}, {_NEW} SELECT np.id AS pipeline_id, nd.id AS dataset_id FROM np, nd WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.pipeline_id = np.id AND ev.dataset_id = nd.id)")
+@query("J05_anti_unevaluated_pairs", _OPEN)
 def j05(s, d):
-    return _queue(s, d).join(evals(s, d).select("pipeline_id", "dataset_id"), ["pipeline_id", "dataset_id"], "left_anti").select("pipeline_id", "dataset_id")
+    """All pairs: a pipeline meets the data sets in blocks of about 1,000 ids, less its own evaluated ones; pairs are never shuffled."""
+    done = _done(s, d).groupBy(F.col("pipeline_id").alias("id")).agg(F.collect_set("dataset_id").alias("done"))
+    p = pipes(s, d).select("id").join(done, "id", "left").select(F.col("id").alias("pipeline_id"), F.coalesce("done", F.array().cast("array<string>")).alias("done"))
+    q = sets(s, d).select("id")
+    blocks = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(q.count() // 1000 + 1))).agg(F.collect_list("id").alias("ids"), F.count_if(F.col("id").isNull()).alias("nulls"))
+    ids = F.concat("ids", F.array_repeat(F.lit(None).cast("string"), F.col("nulls").cast("int")))
+    return p.crossJoin(blocks.select(ids.alias("ids"))).select("pipeline_id", F.explode(F.array_except("ids", "done")).alias("dataset_id"))
 
 
 @query("J06_conditional_anti_retry", f"WITH {EV}, f AS (SELECT DISTINCT pipeline_id, dataset_id, error_message FROM ev WHERE status <> 'success'), pat AS (SELECT error_message, count(*) >= 3 AS active FROM ev WHERE error_message IS NOT NULL GROUP BY 1), blocked AS (SELECT f.pipeline_id, f.dataset_id FROM f LEFT JOIN pat USING (error_message) WHERE f.error_message IS NULL OR pat.active IS NOT FALSE) SELECT DISTINCT e.pipeline_id, e.dataset_id FROM ev e WHERE e.pipeline_id IS NOT NULL AND e.dataset_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.pipeline_id = e.pipeline_id AND b.dataset_id = e.dataset_id)")
@@ -416,10 +421,17 @@ def t05(s, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("acc"), F.asc_nulls_last("secs"), "pipeline_id")))  # over the 100 rows of the report
 
 
-@query("T06_pair_queue", f"WITH {EV}, {PI}, {DS}, {_NEW} SELECT np.id AS pipeline_id, nd.id AS dataset_id FROM np, nd WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.pipeline_id = np.id AND ev.dataset_id = nd.id) ORDER BY np.created_at DESC NULLS LAST, np.id DESC, nd.created_at DESC NULLS LAST, nd.id DESC LIMIT 100")
+@query("T06_pair_queue", _OPEN + " ORDER BY pi.created_at DESC NULLS LAST, pi.id DESC, ds.created_at DESC NULLS LAST, ds.id DESC LIMIT 100")
 def t06(s, d):
-    left = _queue(s, d).join(evals(s, d).select("pipeline_id", "dataset_id"), ["pipeline_id", "dataset_id"], "left_anti")
-    return left.orderBy(F.desc_nulls_last("p_at"), F.desc("pipeline_id"), F.desc_nulls_last("d_at"), F.desc("dataset_id")).limit(100).select("pipeline_id", "dataset_id")
+    """Every pipeline that has an open pair gives at least one row, so the 100 newest of these hold the queue; the few that fill it meet all data sets."""
+    done, n = _done(s, d), sets(s, d).agg(F.count(F.lit(1)).alias("sets"))
+    left = pipes(s, d).join(done.groupBy(F.col("pipeline_id").alias("id")).agg(F.count(F.lit(1)).alias("done")), "id", "left").crossJoin(F.broadcast(n))  # n is one row
+    newest = [F.desc_nulls_last("p_at"), F.desc("pipeline_id")]
+    p = left.select(F.col("id").alias("pipeline_id"), F.col("created_at").alias("p_at"), (F.col("sets") - F.coalesce("done", F.lit(0))).alias("open")).where("open > 0").orderBy(*newest).limit(100)
+    before = F.sum("open").over(Window.orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1))  # over at most 100 rows
+    p = p.withColumn("before", F.coalesce(before, F.lit(0))).where("before < 100").select("pipeline_id", "p_at")
+    pairs = sets(s, d).select(F.col("id").alias("dataset_id"), F.col("created_at").alias("d_at")).crossJoin(F.broadcast(p))
+    return pairs.join(done.join(F.broadcast(p.select("pipeline_id")), "pipeline_id", "left_semi"), ["pipeline_id", "dataset_id"], "left_anti").orderBy(*newest, F.desc_nulls_last("d_at"), F.desc("dataset_id")).limit(100).select("pipeline_id", "dataset_id")
 
 
 @query("T07_priority_queue", "SELECT event_id, CASE event_type WHEN 'error' THEN -20 WHEN 'purchase' THEN -10 ELSE -1 END AS score FROM events ORDER BY score, ts, event_id LIMIT 25")
