@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.sources.tables import durable
+
 
 def cosine(a: Column, b: Column) -> Column:
     """0 for vectors of other length or without norm."""
@@ -132,13 +134,16 @@ def jaccard(a: Column, b: Column) -> Column:
 def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """(graph, node, round, label): labels refined by the sorted labels of the neighbours, the graph taken as undirected.
 
-    nodes(graph, node, label), edges(graph, src, dst). Round 0 is the node's own label. A label is the first 12 digits of an MD5."""
+    nodes(graph, node, label), edges(graph, src, dst); each round is kept, so its plan does not grow with the rounds. Round 0 is the node's own label. A label is the first 12 digits of an MD5."""
     both = edges.select("graph", "src", "dst").unionByName(edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = durable(both)
     cur = nodes.select("graph", "node", F.substring(F.md5(F.col("label").cast("binary")), 1, 12).alias("label"))
+    cur = durable(cur)
     out = cur.withColumn("round", F.lit(0))
     for r in range(1, rounds + 1):
         near = both.join(cur.select("graph", F.col("node").alias("dst"), "label"), ["graph", "dst"]).groupBy("graph", F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("near"))
         cur = cur.join(near, ["graph", "node"], "left").select("graph", "node", F.substring(F.md5(F.concat_ws("|", "label", F.coalesce("near", F.lit(""))).cast("binary")), 1, 12).alias("label"))
+        cur = durable(cur)
         out = out.unionByName(cur.withColumn("round", F.lit(r)))
     return out
 

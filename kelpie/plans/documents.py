@@ -100,11 +100,11 @@ def f16(s, d):
     return load(s, d, "evaluations").where(F.col("metric_value").isNotNull() & ~F.isnan("metric_value")).select("id").distinct()
 
 
-@query("F17_recent_window", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND user_id % 2 = 0")
+@query("F17_recent_window", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def f17(s, d):
     e = load(s, d, "events")
     anchor = e.agg(F.max("ts").alias("t"))  # one row
-    return e.crossJoin(F.broadcast(anchor)).where((F.col("ts") >= F.col("t") - F.expr("INTERVAL 7 DAY")) & (F.col("user_id") % 2 == 0)).select("event_id")
+    return e.crossJoin(F.broadcast(anchor)).where(F.col("ts") >= F.col("t") - F.expr("INTERVAL 7 DAY")).select("event_id")
 
 
 @query("T01_text_order", f"SELECT event_id AS id FROM events ORDER BY json_extract_string(props, '$.k'), event_id LIMIT 15")

@@ -132,14 +132,14 @@ def m07(s, d):
 
 def _order_graph(s, d) -> tuple[DataFrame, DataFrame]:
     """A customer's orders and their parts' brands as a graph."""
-    o = load(s, d, "orders").where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("graph"), F.concat(F.lit("o"), "o_orderkey").alias("node"), F.col("o_orderstatus").alias("label"), "o_orderkey")
+    o = load(s, d, "orders").select(F.col("o_custkey").alias("graph"), F.concat(F.lit("o"), "o_orderkey").alias("node"), F.col("o_orderstatus").alias("label"), "o_orderkey")
     li = load(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("graph", F.col("node").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "l_partkey")
     p = e.join(load(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("graph", F.col("dst").alias("node"), F.col("p_brand").alias("label")).distinct()
     return o.select("graph", "node", "label").distinct().unionByName(p), e.select("graph", "src", "dst").distinct()
 
 
-_GRAPH = "o AS (SELECT DISTINCT o_custkey AS graph, 'o' || o_orderkey AS node, o_orderstatus AS label, o_orderkey FROM orders WHERE o_custkey % 10 = 0), e AS (SELECT DISTINCT o.graph, o.node AS src, 'p' || l_partkey AS dst, l_partkey FROM o JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT graph, node, label FROM o UNION SELECT graph, dst, p_brand FROM e JOIN part ON l_partkey = p_partkey), u AS (SELECT graph, src, dst FROM e UNION SELECT graph, dst, src FROM e), w0 AS (SELECT graph, node, substr(md5(label), 1, 12) AS label FROM n)"
+_GRAPH = "o AS (SELECT DISTINCT o_custkey AS graph, 'o' || o_orderkey AS node, o_orderstatus AS label, o_orderkey FROM orders), e AS (SELECT DISTINCT o.graph, o.node AS src, 'p' || l_partkey AS dst, l_partkey FROM o JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT graph, node, label FROM o UNION SELECT graph, dst, p_brand FROM e JOIN part ON l_partkey = p_partkey), u AS (SELECT graph, src, dst FROM e UNION SELECT graph, dst, src FROM e), w0 AS (SELECT graph, node, substr(md5(label), 1, 12) AS label FROM n)"
 for _i in (1, 2, 3):
     _GRAPH += f", w{_i} AS (SELECT w.graph, w.node, substr(md5(any_value(w.label) || '|' || coalesce(string_agg(x.label, ',' ORDER BY x.label), '')), 1, 12) AS label FROM w{_i - 1} w LEFT JOIN u ON u.graph = w.graph AND u.src = w.node LEFT JOIN w{_i - 1} x ON x.graph = u.graph AND x.node = u.dst GROUP BY 1, 2)"
 _ALL = "a AS (" + " UNION ALL ".join(f"SELECT graph, node, label, {i} AS round FROM w{i}" for i in range(4)) + ")"

@@ -1,6 +1,8 @@
 """Queries that must cover all of their input: small tables against brute force."""
 
 import datetime
+import hashlib
+from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
 from conftest import rows
@@ -35,3 +37,37 @@ def test_pair_queue_and_open_pairs_reach_beyond_the_newest(spark, tmp_path):
     assert len(want) == 10 + 5 * 90 and want[0][0] == "p005"
     assert [tuple(r) for r in run("T06_pair_queue", spark, tmp_path).collect()] == want[:100]
     assert rows(run("J05_anti_unevaluated_pairs", spark, tmp_path)) == sorted(want, key=str)
+
+
+def wl_brute(nodes, edges):
+    """{(graph, round): [label]} by a walk over each graph."""
+    md = lambda x: hashlib.md5(x.encode()).hexdigest()[:12]
+    cur, out = {k: md(v) for k, v in nodes.items()}, defaultdict(list)
+    for i in range(4):
+        for (g, _), v in cur.items():
+            out[g, i].append(v)
+        cur = {(g, n): md(v + "|" + ",".join(sorted(cur[g, b if a == n else a] for a, b in edges[g] if n in (a, b)))) for (g, n), v in cur.items()}
+    return out
+
+
+def test_graphs_of_all_customers(spark, tmp_path):
+    orders = [(k, k % 7 + 8, "FOP"[k % 3]) for k in range(1, 30)]
+    lines = [(k, k * j % 5 + 1) for k, _, _ in orders for j in (1, 2, 3)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"b{i % 2}") for i in range(1, 6)], "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    cust, nodes, edges = {k: c for k, c, _ in orders}, {}, defaultdict(set)
+    nodes |= {(c, f"o{k}"): s for k, c, s in orders}
+    for k, p in lines:
+        nodes[cust[k], f"p{p}"] = f"b{p % 2}"
+        edges[cust[k]].add((f"o{k}", f"p{p}"))
+    want = wl_brute(nodes, edges)
+    assert len({g for g, _ in want}) == 7
+    assert {(r.graph, r["round"]): (r.labels, r.least) for r in run("M09_wl_labels", spark, tmp_path).collect()} == {k: (len(set(v)), min(v)) for k, v in want.items()}
+    kernel = {g: sum(sum((Counter(want[g, i]) & Counter(want[10, i])).values()) for i in range(4)) for g in {g for g, _ in want}}
+    assert {r.graph: r.kernel for r in run("M10_wl_kernel", spark, tmp_path).collect()} == {g: n for g, n in kernel.items() if n}
+
+
+def test_recent_window_of_all_users(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3 or None, at(i)) for i in range(20)], "event_id bigint, user_id bigint, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(run("F17_recent_window", spark, tmp_path)) == sorted([(i,) for i in range(12, 20)], key=str)
