@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,9 +121,14 @@ def weighted_label_cost(same: Column, family: Column, hops: Column, known: Colum
     return F.when(same, 0.0).when(family, 1.0).when(known, 2.0 * hops).otherwise(5.0)
 
 
-def token_set(text: Column, keywords: list[str]) -> Column:
+def ascii_lower(text: Column) -> Column:
+    """Only A to Z in lower case, so no other letter turns into one of an identifier."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def token_set(text: Column, keywords: list[str], lower: Callable[[Column], Column] = F.lower) -> Column:
     """Distinct identifiers of a text in lower case, without keywords."""
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z_][a-z0-9_]+)"), F.lit(1))), F.array(*map(F.lit, keywords)))
+    return F.array_except(F.array_distinct(F.regexp_extract_all(lower(text), F.lit(r"([a-z_][a-z0-9_]+)"), F.lit(1))), F.array(*map(F.lit, keywords)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.operators import docstore as doc
 from kelpie.operators.graphs import parse_triples
-from kelpie.operators.similarity import token_set
+from kelpie.operators.similarity import ascii_lower, token_set
 from kelpie.plans import relational as rel
 from kelpie.sources import formats as fm
 from kelpie.sources.tables import load
@@ -167,10 +167,10 @@ def x08(s, d):
     return e.select("id", F.sha2(F.concat_ws("|", "source", "status", canonical_message(F.col("error_message"))), 256).alias("signature"))
 
 
-@query("X09_tokens", "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]+)', 1)), lambda x: x NOT IN ('the', 'and', 'def', 'return'))) AS n_tokens FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("X09_tokens", "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([a-z_][a-z0-9_]+)', 1)), lambda x: x NOT IN ('the', 'and', 'def', 'return'))) AS n_tokens FROM documents WHERE text IS NOT NULL")
 def x09(s, d):
-    t = load(s, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$") & F.col("text").isNotNull() & (F.length("text") == F.octet_length("text")))
-    return t.select("doc_id", F.size(token_set(F.col("text"), ["the", "and", "def", "return"])).cast("bigint").alias("n_tokens"))
+    t = load(s, d, "documents").where("text is not null")
+    return t.select("doc_id", F.size(token_set(F.col("text"), ["the", "and", "def", "return"], ascii_lower)).cast("bigint").alias("n_tokens"))
 
 
 @query("X10_math", "SELECT event_id, round(ln(1 + value), 6) AS l, round(exp(-value / 100), 6) AS e, round(sqrt(value), 6) AS s, round(pow(value, 1.5), 3) AS p, abs(value - 50) AS a FROM events")

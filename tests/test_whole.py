@@ -2,6 +2,8 @@
 
 import datetime
 import hashlib
+import re
+import string
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
@@ -71,3 +73,11 @@ def test_graphs_of_all_customers(spark, tmp_path):
 def test_recent_window_of_all_users(spark, tmp_path):
     spark.createDataFrame([(i, i % 3 or None, at(i)) for i in range(20)], "event_id bigint, user_id bigint, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     assert rows(run("F17_recent_window", spark, tmp_path)) == sorted([(i,) for i in range(12, 20)], key=str)
+
+
+def test_tokens_of_texts_beyond_ascii(spark, tmp_path):
+    texts = [(1, "Die Größe def x9 X9 the"), (2, "変数 foo_bar と Foo_Bar"), (3, "\u212aelvin \u0130x 5ab"), (4, ""), (5, None), (6, "plain and simple")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    small = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    want = [(i, len(set(re.findall("[a-z_][a-z0-9_]+", t.translate(small))) - {"the", "and", "def", "return"})) for i, t in texts if t is not None]
+    assert rows(run("X09_tokens", spark, tmp_path)) == sorted(want, key=str)
