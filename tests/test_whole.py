@@ -81,3 +81,9 @@ def test_tokens_of_texts_beyond_ascii(spark, tmp_path):
     small = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     want = [(i, len(set(re.findall("[a-z_][a-z0-9_]+", t.translate(small))) - {"the", "and", "def", "return"})) for i, t in texts if t is not None]
     assert rows(run("X09_tokens", spark, tmp_path)) == sorted(want, key=str)
+
+
+def test_format_efficiency_follows_the_whole_column(spark, tmp_path):
+    for top, want in ((127, 1 / 8), (32_767, 2 / 8), (32_768, 4 / 8), (2**31, 1.0)):
+        spark.createDataFrame([(1,), (None,), (top,)], "c_custkey bigint").write.parquet(f"{tmp_path}/{top}/customer.parquet")
+        assert run("Q14_format_efficiency", spark, tmp_path / str(top)).first()[0] == want
