@@ -116,6 +116,26 @@ def edit_distance(a: tuple[dict, list], b: tuple[dict, list], beam: int = 64) ->
     return best, edits + [f"insert {b[0][v]}" for v in nb if v not in path]
 
 
+def edit_distances(graphs: DataFrame, base: tuple[dict, list] | None, most: int = 30) -> DataFrame:
+    """(pipeline_id, distance, edits) of every graph to `base`: by edits up to `most` nodes together, else M03's distance and no edits.
+
+    graphs: owner_id, nodes (path, label), edges (source, destination), known; null nodes are none. A graph that isn't known has no distance."""
+
+    def one(nodes: list | None, edges: list | None) -> tuple[float, list[str] | None]:
+        a = {x["path"]: x["label"] for x in nodes or []}
+        b = [(x["source"], x["destination"]) for x in edges or []]
+        if len(a) + len(base[0]) <= most:
+            return edit_distance(base, (a, b))
+        return float(len(set(a.values()) ^ set(base[0].values())) + abs(len(b) - len(base[1]))), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [one(n, e) if known and base else (None, None) for n, e, known in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.list_(pa.string()))], ["pipeline_id", "distance", "edits"])
+
+    return graphs.select("owner_id", "nodes", "edges", "known").mapInArrow(run, "pipeline_id string, distance double, edits array<string>")
+
+
 def weighted_label_cost(same: Column, family: Column, hops: Column, known: Column) -> Column:
     """0 for equal operators, 1.0 within a family, 2.0 a hop, 5.0 where there is no path."""
     return F.when(same, 0.0).when(family, 1.0).when(known, 2.0 * hops).otherwise(5.0)

@@ -12,7 +12,8 @@ from kelpie.operators import similarity as m
 from kelpie.operators.quality import min_max_normalise
 from kelpie.plans import relational as rel
 from kelpie.plans.corpus import p6_edges, p6_nodes
-from kelpie.sources.tables import load
+from kelpie.plans.experiments import current_pipelines
+from kelpie.sources.tables import durable, load
 
 Q, SQL = {}, {}
 
@@ -99,13 +100,15 @@ def m08(s, d):
 
 @query("M04_edit_distance")
 def m04(s, d):
-    """The 40 smallest pipelines against the smallest one: edit distance and edits."""
-    n = p6_nodes(s, d).groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("path", F.coalesce("name", "class_type").alias("label"))).alias("nodes")).orderBy("n", "owner_id").limit(40)
+    """Every pipeline against the smallest one (ties by id)."""
+    n = p6_nodes(s, d).groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("path", F.coalesce("name", "class_type").alias("label")))).alias("nodes"))
     e = p6_edges(s, d).groupBy("owner_id").agg(F.collect_list(F.struct("source", "destination")).alias("edges"))
-    few = n.join(e, "owner_id", "left").collect()  # the 40 of the report
-    rows = sorted((r.n, r.owner_id, {x.path: x.label for x in r.nodes}, [(x.source, x.destination) for x in r.edges or []]) for r in few)
-    out = [(r[1], *m.edit_distance((rows[0][2], rows[0][3]), (r[2], r[3]))) for r in rows]
-    return s.createDataFrame([(i, c, p) for i, c, p in out], "pipeline_id string, distance double, edits array<string>")
+    known = F.variant_get(F.try_parse_json("dag"), "$.nodes", "string").isNotNull()
+    p = current_pipelines(s, d, ["dag"]).select(F.col("id").alias("owner_id"), known.alias("known"))
+    p = durable(p.join(n, "owner_id", "left").join(e, "owner_id", "left").select("owner_id", "nodes", "edges", (F.col("nodes").isNotNull() | F.col("known")).alias("known"), "n"))
+    least = p.where("n is not null").orderBy("n", "owner_id").limit(1).collect()  # one row
+    base = ({x.path: x.label for x in least[0].nodes}, [(x.source, x.destination) for x in least[0].edges or []]) if least else None
+    return m.edit_distances(p, base)
 
 
 @query("M06_weighted_distance", "SELECT p_partkey, CASE WHEN p_type = q_type AND p_brand = q_brand THEN 0.0 WHEN p_type = q_type THEN 1.0 WHEN substr(p_type, 1, 3) = substr(q_type, 1, 3) THEN 4.0 ELSE 5.0 END AS cost FROM part, (SELECT p_type AS q_type, p_brand AS q_brand FROM part ORDER BY p_partkey LIMIT 1)")

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import json
 import re
 import string
 from collections import Counter, defaultdict
@@ -87,3 +88,15 @@ def test_format_efficiency_follows_the_whole_column(spark, tmp_path):
     for top, want in ((127, 1 / 8), (32_767, 2 / 8), (32_768, 4 / 8), (2**31, 1.0)):
         spark.createDataFrame([(1,), (None,), (top,)], "c_custkey bigint").write.parquet(f"{tmp_path}/{top}/customer.parquet")
         assert run("Q14_format_efficiency", spark, tmp_path / str(top)).first()[0] == want
+
+
+def test_edit_distance_of_every_pipeline(spark, tmp_path):
+    def dag(n):
+        return json.dumps({"nodes": {f"n{i}": {"class_type": "Operator", "name": f"op{i}"} for i in range(n)}, "edges": [{"source": f"n{i}", "destination": f"n{i + 1}"} for i in range(n - 1)]})
+
+    sizes = [1, *range(2, 46), 29, 30]
+    data = [(f"p{i:02d}", dag(n), at(0)) for i, n in enumerate(sizes)] + [("empty", '{"nodes": {}, "edges": []}', at(0)), ("cut", '{"nodes": {"n', at(0)), ("none", None, at(0))]
+    spark.createDataFrame(data, "id string, dag string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/pipelines.parquet")
+    got = {r.pipeline_id: (r.distance, r.edits and len(r.edits)) for r in run("M04_edit_distance", spark, tmp_path).collect()}
+    want = {f"p{i:02d}": (2.0 * (n - 1), n - 1 if n + 1 <= 30 else None) for i, n in enumerate(sizes)}
+    assert {k: (a, b or None) for k, (a, b) in got.items()} == {k: (a, b or None) for k, (a, b) in want.items()} | {"empty": (1.0, 1), "cut": (None, None), "none": (None, None)}
