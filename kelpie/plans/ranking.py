@@ -332,10 +332,10 @@ def m28b(s, d):
     return g.validate(n.select("graph", "node"), e).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("graph").alias("pipelines"))
 
 
-@query("M29_pattern_match", "WITH e AS (SELECT DISTINCT c_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING') SELECT a.c_custkey AS graph, a.o_orderkey AS n1, b.o_orderkey AS n2 FROM e a JOIN e b ON a.c_custkey = b.c_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'")
+@query("M29_pattern_match", "WITH e AS (SELECT DISTINCT c_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey) SELECT a.c_custkey AS graph, a.o_orderkey AS n1, b.o_orderkey AS n2 FROM e a JOIN e b ON a.c_custkey = b.c_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'")
 def m29(s, d):
     """A customer with an order of status F and one of status O."""
-    c = load(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    c = load(s, d, "customer").select("c_custkey")
     o = load(s, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("graph"), "o_orderkey", "o_orderstatus")
     n = o.select("graph", F.concat(F.lit("o"), "o_orderkey").alias("node"), F.col("o_orderstatus").alias("label")).unionByName(o.select("graph", F.lit("c").alias("node"), F.lit("customer").alias("label")).distinct())
     e = o.select("graph", F.lit("c").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))

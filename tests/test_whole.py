@@ -100,3 +100,10 @@ def test_edit_distance_of_every_pipeline(spark, tmp_path):
     got = {r.pipeline_id: (r.distance, r.edits and len(r.edits)) for r in run("M04_edit_distance", spark, tmp_path).collect()}
     want = {f"p{i:02d}": (2.0 * (n - 1), n - 1 if n + 1 <= 30 else None) for i, n in enumerate(sizes)}
     assert {k: (a, b or None) for k, (a, b) in got.items()} == {k: (a, b or None) for k, (a, b) in want.items()} | {"empty": (1.0, 1), "cut": (None, None), "none": (None, None)}
+
+
+def test_pattern_matches_in_all_segments(spark, tmp_path):
+    spark.createDataFrame([(1, "BUILDING"), (2, "MACHINERY"), (3, None)], "c_custkey bigint, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(10 * c + i, c, s) for c in (1, 2, 3, 4) for i, s in enumerate("FOPF")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(run("M29_pattern_match", spark, tmp_path)) == [(c, 10 * c + f, 10 * c + 1) for c in (1, 2, 3) for f in (0, 3)]
