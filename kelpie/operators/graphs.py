@@ -4,6 +4,7 @@ nodes: (graph, node, label, ...); edges: (graph, src, dst, ...)."""
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -212,8 +213,12 @@ def match_exceptions(instances: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def lcs(a: list[str], b: list[str]) -> list[str]:
-    """The longest common subsequence of two token lists."""
-    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    """The longest common subsequence of two token lists; what they share at both ends is set aside first."""
+    few = min(len(a), len(b))
+    pre = next((i for i in range(few) if a[i] != b[i]), few)
+    post = next((i for i in range(few - pre) if a[-1 - i] != b[-1 - i]), few - pre)
+    head, tail, a, b = a[:pre], a[len(a) - post :], a[pre : len(a) - post], b[pre : len(b) - post]
+    rows = [array("i", bytes(4 * (len(b) + 1))) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             rows[i][j] = 1 + rows[i + 1][j + 1] if a[i] == b[j] else max(rows[i + 1][j], rows[i][j + 1])
@@ -226,14 +231,14 @@ def lcs(a: list[str], b: list[str]) -> list[str]:
             i += 1
         else:
             j += 1
-    return out
+    return head + out + tail
 
 
-def template(samples: list[str], wild: str = "<*>", longest: int = 256) -> str | None:
+def template(samples: list[str], wild: str = "<*>") -> str | None:
     """The tokens that all samples share, with a wildcard for what varies between; None for fewer than two samples."""
     if len(samples) < 2:
         return None
-    words = [s.split()[:longest] for s in sorted(samples)]
+    words = [s.split() for s in sorted(samples)]
     keep = words[0]
     for w in words[1:]:
         keep = lcs(keep, w)

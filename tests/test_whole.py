@@ -3,13 +3,17 @@
 import datetime
 import hashlib
 import json
+import random
 import re
 import string
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import __spark_entry__ as entry
 from conftest import rows
 
+from kelpie.operators import graphs as g
+
 DAY = datetime.datetime(2024, 1, 1)
 
 
@@ -107,3 +111,20 @@ def test_pattern_matches_in_all_segments(spark, tmp_path):
     orders = [(10 * c + i, c, s) for c in (1, 2, 3, 4) for i, s in enumerate("FOPF")]
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(run("M29_pattern_match", spark, tmp_path)) == [(c, 10 * c + f, 10 * c + 1) for c in (1, 2, 3) for f in (0, 3)]
+
+
+def test_template_of_long_messages():
+    words = [f"w{i}" for i in range(700)]
+    change = lambda at, x: " ".join([*words[:at], x, *words[at + 1 :]])
+    assert g.template([change(600, "a"), change(600, "b")]) == change(600, "<*>")
+    assert g.template([" ".join(words), " ".join(words[:400])]) == " ".join([*words[:400], "<*>"])
+    r = random.Random(4)
+    for _ in range(50):
+        a, b = ([r.choice("abc") for _ in range(r.randrange(9))] for _ in "ab")
+        best = max((k for k in range(len(a) + 1) for c in combinations(a, k) if is_part(c, b)), default=0)
+        assert len(g.lcs(a, b)) == best and is_part(g.lcs(a, b), a) and is_part(g.lcs(a, b), b)
+
+
+def is_part(c, words):
+    left = iter(words)
+    return all(x in left for x in c)
