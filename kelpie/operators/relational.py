@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.sources.tables import durable
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key in the given order (which should end in a unique column)."""
@@ -61,6 +63,15 @@ def duration_stats(df: DataFrame, seconds: str) -> DataFrame:
     return total.crossJoin(ranks).select("n", F.coalesce("median", F.lit(30.0)).alias("median"), F.coalesce("p75", F.lit(45.0)).alias("p75"), F.coalesce("p95", F.lit(120.0)).alias("p95"), F.col("lo").alias("min"), F.col("hi").alias("max"), "mean")
 
 
+def ranked(df: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """`place` of every row in an order whose last column is unique: the row's number in its range partition plus the rows before that."""
+    part = durable(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))  # kept, so both uses see the same ranges
+    # offsets of the range partitions: one row per partition
+    base = part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    run = part.join(F.broadcast(base.select("_p", "before")), "_p")
+    return run.withColumn(place, (F.col("before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).cast("int")).drop("_p", "before")
+
+
 def or_flag(df: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:
     """Whether `key` occurs in `other`, as a column that an OR may use (a left join to its distinct keys)."""
     keys = other.select(F.col(key).alias("_k")).distinct().withColumn(flag, F.lit(True))

@@ -128,3 +128,15 @@ def test_template_of_long_messages():
 def is_part(c, words):
     left = iter(words)
     return all(x in left for x in c)
+
+
+def test_every_pipeline_has_a_place(spark, tmp_path):
+    rnd = random.Random(6)
+    data = [(f"{p}-{m}", f"p{p:03d}", "d", "r", m, float(rnd.randrange(5)), "s", "success", 1.0, None, at(0)) for p in range(300) for m in ("accuracy", "fit_seconds") if rnd.random() < 0.8]
+    spark.createDataFrame(data, "id string, pipeline_id string, dataset_id string, run_id string, metric_name string, metric_value double, source string, status string, wall_clock_s double, error_message string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/evaluations.parquet")
+    v = defaultdict(dict)
+    for x in data:
+        v[x[1]][x[4]] = x[5]
+    order = sorted(v, key=lambda p: (-v[p].get("accuracy", -1), v[p].get("fit_seconds", 99), p))
+    assert len(order) > 100
+    assert {r.pipeline_id: r.place for r in run("T05_lexicographic_sort", spark, tmp_path).collect()} == {p: i + 1 for i, p in enumerate(order)}
