@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.keys import norm_id, norm_metric, usable
 from kelpie.llm import tokens
-from kelpie.llm.mixing import mix
+from kelpie.llm.mixing import mix, norm_source
 from kelpie.llm.reading import reading_level
 from kelpie.llm.setjoin import similar_pairs
 from kelpie.llm.topn import top_n
 from kelpie.llm.vectors import knn
 from kelpie.plans import experiments as x
-from kelpie.sources.tables import load
+from kelpie.sources.tables import durable, load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +68,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """How far each source of each mix stays from its target; near: the source was too small, or less than its shortest document is missing
+    that could be taken once more."""
+    docs = durable(tokens.count(load(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", ["source"]))
+    targets = load(spark, d, "mix_targets")
+    selection, shares = mix(docs, targets)
+    limit = targets.where("weight > 0").groupBy("mix_name", norm_source("source").alias("source")).agg(F.max("max_repeats").alias("m"))
+    plain = docs.where("n_tokens > 0").select("doc_id", norm_source("source").alias("source"), "n_tokens")
+    left = plain.join(F.broadcast(limit), "source").join(selection.select("mix_name", "doc_id", "copies"), ["mix_name", "doc_id"], "left").where(F.coalesce("copies", F.lit(0)) < F.col("m"))
+    left = left.groupBy("mix_name", "source").agg(F.min("n_tokens").alias("shortest_left"))
+    near = F.col("full") | ((F.col("gap") >= 0) & (F.col("gap") < F.col("shortest_left")))
+    return shares.join(left, ["mix_name", "source"], "left").select("mix_name", "source", "target_tokens", "tokens", F.abs("gap").alias("distance"), "shortest_left", "full", near.alias("near"))
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading_level(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "reading_labels"))
 
@@ -76,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).select("doc_id", "level")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_ids": p7_ids, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_ids": p7_ids, "p8_selection": p8_selection, "p8_shares": p8_shares, "p8_gaps": p8_gaps, "p9_found": p9_found, "p9_levels": p9_levels}
 
 _SETS = """
   WITH cur AS (
