@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.keys import stripped
 from kelpie.llm.topn import top_n
-from kelpie.sources.tables import durable
+from kelpie.sources.tables import durable, small_table
 
 
 def norm_source(c: Column | str) -> Column:
@@ -78,7 +78,7 @@ def goals_of(asked: list, totals: dict[str, tuple[int, int]], every: int) -> lis
 def _table(spark, goals: list[Goal]) -> DataFrame:
     """The goals as a table: configuration, checked to be small, so it may be broadcast."""
     rows = [(i, g.mix, g.source, float(g.m), g.q, g.mean, g.x, g.full) for i, g in enumerate(goals)]
-    return F.broadcast(spark.createDataFrame(rows, "g int, mix_name string, source string, m double, q double, mean double, x double, full boolean"))
+    return F.broadcast(small_table(spark, rows, "g int, mix_name string, source string, m double, q double, mean double, x double, full boolean"))
 
 
 def _rate() -> Column:
@@ -115,7 +115,7 @@ def solve(hist: DataFrame, goals: list[Goal], steps: int = 100, tolerance: float
 
 def _edges(spark, goals: list[Goal], at: list[tuple[float, float, float]]) -> DataFrame:
     """The interval of margins looked at, and the tokens taken below it, of each goal: configuration's size."""
-    return F.broadcast(spark.createDataFrame([(i, g.target, *x) for i, (g, x) in enumerate(zip(goals, at))], "g int, target double, lo double, hi double, below double"))
+    return F.broadcast(small_table(spark, [(i, g.target, *x) for i, (g, x) in enumerate(zip(goals, at))], "g int, target double, lo double, hi double, below double"))
 
 
 def _cuts(drawn: DataFrame, goals: list[Goal], wide: int = 1024) -> list[float]:
@@ -160,7 +160,7 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _filled(taken: DataFrame, goals: list[Goal]) -> DataFrame:
     """`taken` (g, doc_id, n_tokens, m, margin, copies, ..) with further copies that fill up each goal's gap."""
     spark = taken.sparkSession
-    target = F.broadcast(spark.createDataFrame([(i, g.target) for i, g in enumerate(goals) if not g.full] or [(-1, 0.0)], "g int, target double"))
+    target = F.broadcast(small_table(spark, [(i, g.target) for i, g in enumerate(goals) if not g.full] or [(-1, 0.0)], "g int, target double"))
     lengths = taken.groupBy("g", "n_tokens").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("have"), F.sum(F.col("m") - F.col("copies")).cast("bigint").alias("left"))
     lengths = lengths.join(target, "g").withColumn("gap", F.col("target") - F.sum("have").over(Window.partitionBy("g")))
     line = lengths.where((F.col("left") > 0) & (F.col("n_tokens") <= F.col("gap"))).select("g", "n_tokens", "left", "gap").repartition("g").sortWithinPartitions("g", F.desc("n_tokens"))
@@ -168,7 +168,7 @@ def _filled(taken: DataFrame, goals: list[Goal]) -> DataFrame:
     picks = [tuple(r) for r in line.mapInArrow(_fill, "g int, n_tokens bigint, k bigint").collect()]
     if not picks:
         return taken
-    want = F.broadcast(spark.createDataFrame(picks, "g int, n_tokens bigint, k bigint"))
+    want = F.broadcast(small_table(spark, picks, "g int, n_tokens bigint, k bigint"))
     spare = taken.where(F.col("copies") < F.col("m")).join(want, ["g", "n_tokens"]).select("g", "n_tokens", "doc_id", "margin", "k", (F.col("m") - F.col("copies")).cast("bigint").alias("spare"))
     first = top_n(spare, ["g", "n_tokens"], [F.asc("margin"), F.asc("doc_id")], max(k for _, _, k in picks)).where(F.col("rnk") <= F.col("k"))
     before = F.coalesce(F.sum("spare").over(Window.partitionBy("g", "n_tokens").orderBy("rnk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over at most k rows
@@ -200,20 +200,20 @@ def mix(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     hist = durable(docs.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs")))
     every = docs.agg(F.sum("n_tokens")).first()[0] or 0
     asked = asked_of(targets)
-    sums = hist.join(F.broadcast(spark.createDataFrame([(x,) for x in {r.source for r in asked}], "source string")), "source", "left_semi").groupBy("source").agg(F.sum(F.col("docs") * F.col("n_tokens")).alias("t"), F.sum("docs").alias("n")).collect()  # at most one row per source asked for
+    sums = hist.join(F.broadcast(small_table(spark, [(x,) for x in {r.source for r in asked}], "source string")), "source", "left_semi").groupBy("source").agg(F.sum(F.col("docs") * F.col("n_tokens")).alias("t"), F.sum("docs").alias("n")).collect()  # at most one row per source asked for
     goals = solve(hist, goals_of(asked, {r.source: (r.t, r.n) for r in sums}, every))
     if not goals:
-        return spark.createDataFrame([], _SELECTION.format(dict(docs.dtypes)["doc_id"])), spark.createDataFrame([], _SHARES)
+        return small_table(spark, [], _SELECTION.format(dict(docs.dtypes)["doc_id"])), small_table(spark, [], _SHARES)
     rate = docs.where(F.col("n_tokens") > 0).join(_table(spark, goals), "source").withColumn("rate", _rate())
     whole = F.least(F.floor("rate"), F.col("m")).cast("int")
     chance = F.pmod(F.xxhash64("g", "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     drawn = rate.select("g", "mix_name", "doc_id", "source", "n_tokens", "full", F.col("m").cast("int").alias("m"), whole.alias("whole"), (chance - (F.col("rate") - F.floor("rate"))).alias("margin"))
     cut = _cuts(drawn.where(~F.col("full")), goals)
-    edge = F.broadcast(spark.createDataFrame([(i, -2.0 if g.full else cut[i]) for i, g in enumerate(goals)], "g int, cut double"))
+    edge = F.broadcast(small_table(spark, [(i, -2.0 if g.full else cut[i]) for i, g in enumerate(goals)], "g int, cut double"))
     copies = F.least(F.col("whole") + (F.col("margin") < F.col("cut")).cast("int"), F.col("m"))
     taken = drawn.join(edge, "g").select("g", "mix_name", "doc_id", "source", "n_tokens", "m", "margin", copies.alias("copies"))
     selection = _filled(taken, goals).where("copies > 0").select("mix_name", "doc_id", "source", "n_tokens", "copies")
-    table = F.broadcast(spark.createDataFrame([(g.mix, g.source, g.share, g.target, g.full) for g in goals], "mix_name string, source string, target_share double, target_tokens double, full boolean"))
+    table = F.broadcast(small_table(spark, [(g.mix, g.source, g.share, g.target, g.full) for g in goals], "mix_name string, source string, target_share double, target_tokens double, full boolean"))
     took = selection.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"))
     whole_mix = took.groupBy("mix_name").agg(F.sum("tokens").alias("all_tokens"))
     shares = table.join(took, ["mix_name", "source"], "left").join(whole_mix, "mix_name", "left")
