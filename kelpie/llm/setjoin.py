@@ -3,15 +3,16 @@
 Equal sets are first folded into classes, so copies never meet each other. Each class is sent to the partitions of the
 inverted index that a partner must share: those of its rarest items (a pair's first common item lies among the first
 |s| - ceil(t|s|) + 1 of each set, rare items first). An item in the prefix of too many classes is refined by the pair's second
-common item, and a partition that is still too large is cut into blocks that meet two at a time; so partitions stay bounded
-and no pair is lost. Within a partition, classes probe inverted lists in order of size: the longest lists are set aside, the
+common item, and by its third; what is still too large is cut into blocks that meet two at a time. Small sets may reach t
+with no further item in common than those shared so far: beside every refinement they meet in a partition of their own, for
+pairs that share exactly these. So partitions stay bounded and no pair is lost. Within a partition, classes probe inverted lists in order of size: the longest lists are set aside, the
 rest are merged by a heap that skips ahead wherever an overlap can't be reached, and candidates are completed by binary
 search in the long lists. A pair comes out once, in the partition of its first common items."""
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -63,9 +64,14 @@ def encoded(df: DataFrame, id_col: str, items: str, min_size: int) -> DataFrame:
 def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(class_id, codes, n) of each distinct set, class_id being its least id; (id, class_id, n) of each member of a class of two or more."""
     every = durable(sets.groupBy("codes").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")))
-    multi = every.where(F.col("n") > 1).select(F.col("codes").alias("mcodes"), "class_id", "n")
-    members = sets.join(multi, F.col("codes") == F.col("mcodes")).select("id", "class_id", "n")
-    return every, members
+    total = every.agg(F.sum("n")).first()[0] or 0
+    multi = every.where(F.col("n") > 1)
+    name = lambda d, h: d.select(F.col("codes").alias(f"{h}codes"), F.col("class_id").alias(f"{h}id"), F.col("n").alias(f"{h}n"))
+    # Sets that a 4096th of all records bear number under 4096, so they may be broadcast; the rest have no skew to join.
+    hot, cold = F.broadcast(name(multi.where(F.col("n") > total / 4096), "h")), name(multi.where(F.col("n") <= total / 4096), "c")
+    near = sets.join(hot, F.col("codes") == F.col("hcodes"), "left")
+    far = near.where(F.col("hid").isNull()).join(cold, F.col("codes") == F.col("ccodes")).select("id", F.col("cid").alias("class_id"), F.col("cn").alias("n"))
+    return every, near.where(F.col("hid").isNotNull()).select("id", F.col("hid").alias("class_id"), F.col("hn").alias("n")).unionByName(far)
 
 
 def _least(t: float, s) -> F.Column:
@@ -73,48 +79,60 @@ def _least(t: float, s) -> F.Column:
     return F.ceil(s * F.lit(t) - F.lit(_EPS)).cast("int")
 
 
-def _flag(rows: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, int]:
+def _flag(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
     """The keys that more than `limit` rows hold, with their counts, and how many they are."""
-    big = durable(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("heavy")).where(F.col("heavy") > limit).select(*[F.col(k).alias(f"b_{k}") for k in keys], "heavy"))
+    big = durable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("heavy")).where(F.col("heavy") > limit).select(F.col("key").alias("b_key"), "heavy"))
     return big, big.count()
 
 
-def _mark(rows: DataFrame, big: DataFrame, n_big: int, keys: list[str]) -> DataFrame:
+def _mark(rows: DataFrame, big: DataFrame, n_big: int) -> DataFrame:
     if not n_big:
         return rows.withColumn("heavy", F.lit(None).cast("bigint"))
-    small = F.broadcast(big) if n_big <= 100_000 else big
-    on = [F.col(k) == F.col(f"b_{k}") for k in keys]
-    return rows.join(small, on, "left").drop(*[f"b_{k}" for k in keys])
+    return rows.join(F.broadcast(big) if n_big <= 100_000 else big, F.col("key") == F.col("b_key"), "left").drop("b_key")
 
 
-def similar_classes(classes: DataFrame, t: float, limit: int = 4000) -> DataFrame:
+_DEEPEST = 3
+
+
+def similar_classes(classes: DataFrame, t: float, limit: int = 4000, min_size: int = 1) -> DataFrame:
     """(a, b): pairs of classes, a < b, whose sets have a Jaccard similarity of at least t.
 
-    limit: how many classes a partition of the index may hold before it is refined or cut into blocks."""
+    limit: how many classes a partition of the index may hold before it is refined (twice at most) or cut into blocks.
+    min_size: the least size of the sets, if known."""
     s = F.size("codes")
+    hexed = lambda c: F.lpad(F.hex(c), 16, "0")
+    cols = ["id", "codes", "p", "key", "depth", "lone"]
     base = classes.select(F.col("class_id").alias("id"), "codes")
-    one = base.select("id", "codes", F.posexplode(F.slice("codes", F.lit(1), s - _least(t, s) + 1)).alias("p", "w"))
-    big1, n1 = _flag(one, ["w"], limit)
-    one = _mark(one, big1, n1, ["w"])
-    light = one.where(F.col("heavy").isNull()).select("id", "codes", "p", "w", F.lit(0).cast("bigint").alias("w2"), F.lit(1).alias("depth"))
-    if n1:
-        after = F.slice("codes", F.col("p") + 2, s - _least(t, s) + 1 - F.col("p"))
-        two = one.where(F.col("heavy").isNotNull()).select("id", "codes", "w", "p", F.posexplode(after).alias("q", "w2"))
-        light = light.unionByName(two.select("id", "codes", (F.col("p") + 1 + F.col("q")).alias("p"), "w", "w2", F.lit(2).alias("depth")))
-        big2, n2 = _flag(light, ["w", "w2"], limit)
-        light = _mark(light, big2, n2, ["w", "w2"])
-    else:
-        light = light.withColumn("heavy", F.lit(None).cast("bigint"))
+    rows = base.select("id", "codes", F.posexplode(F.slice("codes", F.lit(1), s - _least(t, s) + 1)).alias("p", "w"))
+    rows = rows.select("id", "codes", "p", hexed("w").alias("key"), F.lit(1).alias("depth"), F.lit(False).alias("lone"))
+    done = None
+    for depth in range(1, _DEEPEST + 1):
+        big, n = _flag(rows, limit)
+        rows = _mark(rows, big, n)
+        if not n or depth == _DEEPEST:
+            done = rows if done is None else done.unionByName(rows)
+            break
+        fine = rows.where(F.col("heavy").isNull())
+        done = fine if done is None else done.unionByName(fine)
+        heavy = rows.where(F.col("heavy").isNotNull()).drop("heavy")
+        if math.ceil(t * min_size - _EPS) <= depth:  # pairs that share no more than these items
+            lone = heavy.where(_least(t, s) <= depth).select("id", "codes", "p", F.concat("key", F.lit("-")).alias("key"), "depth", F.lit(True).alias("lone"))
+            big, n = _flag(lone, limit)
+            done = done.unionByName(_mark(lone, big, n))
+        # A pair's next common item lies among the first |s| - ceil(t|s|) + 1 + depth items of each set.
+        after = F.slice("codes", F.col("p") + 2, s - _least(t, s) + depth - F.col("p"))
+        rows = heavy.select("id", "codes", "key", F.col("p").alias("q"), F.posexplode(after).alias("i", "w"))
+        rows = rows.select("id", "codes", (F.col("q") + 1 + F.col("i")).alias("p"), F.concat("key", hexed("w")).alias("key"), F.lit(depth + 1).alias("depth"), F.lit(False).alias("lone"))
     blocks = F.coalesce(F.ceil(F.col("heavy") / limit), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    sig = light.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    sig = sig.select("w", "w2", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "depth", "p", s.alias("size"), "id", "codes")
-    sig = sig.repartition("w", "w2", "b1", "b2").sortWithinPartitions("w", "w2", "b1", "b2", "size", "id")
+    sig = done.select(*cols, "heavy").withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    sig = sig.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "depth", "lone", "p", s.alias("size"), "id", "codes")
+    sig = sig.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "size", "id")
     return sig.mapInArrow(_merge(t), "a string, b string")
 
 
 def _merge(t: float):
-    keys = ["w", "w2", "b1", "b2"]
+    keys = ["key", "b1", "b2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -143,10 +161,10 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch, keys: list[str]) -> bool:
 def _out(held: list[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     if sum(b.num_rows for b in held) < 2:
         return
-    cross = held[0].column(2)[0].as_py() != held[0].column(3)[0].as_py()
-    col = lambda i: [x for b in held for x in b.column(i).to_pylist()]
-    depth = held[0].column(5)[0].as_py()
-    pairs = occurrences(col(8), col(9), col(6), col(7), t, depth, col(4) if cross else None)
+    first = {n: held[0].column(i)[0].as_py() for i, n in enumerate(held[0].schema.names)}
+    col = lambda n: [x for b in held for x in b.column(b.schema.get_field_index(n)).to_pylist()]
+    side = col("own") if first["b1"] != first["b2"] else None
+    pairs = exactly(col("id"), col("codes"), col("size"), t, first["depth"], side) if first["lone"] else occurrences(col("id"), col("codes"), col("p"), col("size"), t, first["depth"], side)
     if pairs:
         yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs]), pa.array([max(p) for p in pairs])], ["a", "b"])
 
@@ -184,6 +202,18 @@ def occurrences(ids: list[str], codes: list[list[int]], at: list[int], sizes: li
     return out
 
 
+def exactly(ids: list[str], codes: list[list[int]], sizes: list[int], t: float, depth: int, side: list[int] | None = None) -> list[tuple[str, str]]:
+    """Similar pairs of one partition, by rising size, whose records share its `depth` items and no other."""
+    out, most = [], depth * (1 + t) / t + _EPS  # of the two sizes together
+    for r, s in enumerate(sizes):
+        mine = set(codes[r])
+        lo, hi = bisect_left(sizes, math.ceil(t * s - _EPS)), min(r, bisect_right(sizes, math.floor(most - s)))
+        for y in range(lo, hi):
+            if (side is None or side[y] != side[r]) and sum(x in mine for x in codes[y]) == depth:
+                out.append((ids[r], ids[y]))
+    return out
+
+
 def _candidates(tail: list[int], lists: dict[int, list[int]], lo: int, r: int, need: int) -> Iterator[tuple[int, int]]:
     """(record, overlap of the tails) of the indexed records from lo on that occur in at least `need` lists of the tail."""
     if need <= 0:  # the shared items do already
@@ -239,7 +269,7 @@ def similar_pairs(df: DataFrame, id_col: str, items: str, t: float = 0.8, min_si
     sets = encoded(df, id_col, items, min_size)
     classes, members = classes_of(sets)
     members = durable(members)
-    links = durable(similar_classes(classes, t))
+    links = durable(similar_classes(classes, t, min_size=min_size))
     few = members.where(F.col("n") <= expand)
     grow = lambda d, c: d.join(few.select(F.col("class_id").alias(c), F.col("id").alias(f"m{c}")), c, "left").withColumn(c, F.coalesce(f"m{c}", c)).drop(f"m{c}")
     across = grow(grow(links, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -120,6 +120,18 @@ def test_similar_pairs_against_brute_force(spark, limit):
     assert {tuple(x) for x in members.collect()} == {(i, own[frozenset(s)], degree[own[frozenset(s)]]) for i, s in clean}
 
 
+@pytest.mark.parametrize(("t", "limit"), [(0.3, 2), (0.3, 5), (0.5, 2), (0.5, 3), (0.5, 6), (0.8, 2), (0.8, 4)])
+def test_small_sets_and_low_thresholds_lose_no_pair(spark, t, limit):
+    r = random.Random(limit)
+    data = [("w", ["w"]), *[(f"wx{i}", ["w", f"x{i}"]) for i in range(10)], *[(f"y{i}", [f"y{i}"]) for i in range(3)]]
+    data += [(f"s{i:02d}", r.sample("abcdefgh", r.randrange(1, 7))) for i in range(60)] + [(f"l{i:02d}", ["w", "a", *r.sample("bcdefghij", 5)]) for i in range(20)]
+    df = spark.createDataFrame(data, "id string, items array<string>")
+    classes, _ = setjoin.classes_of(setjoin.encoded(df, "id", "items", 1))
+    got = [tuple(sorted(x)) for x in setjoin.similar_classes(classes, t, limit).collect()]
+    distinct = [(min(i for i, s in data if set(s) == x), set(x)) for x in {frozenset(s) for _, s in data}]
+    assert set(got) == brute_pairs(distinct, t) and len(got) == len(set(got))
+
+
 def test_large_classes_are_linked_to_their_representative(spark):
     data = [(f"c{i:02d}", ["a", "b", "c", "d", "e"]) for i in range(12)] + [("x", ["a", "b", "c", "d", "e", "f"])]
     pairs, members = setjoin.similar_pairs(spark.createDataFrame(data, "id string, items array<string>"), "id", "items", 0.8, 4, expand=10)
