@@ -1,56 +1,114 @@
 """Nested documents into flat tables, by columnar shredding.
 
-A batch of documents is shredded leaf path by leaf path: every leaf becomes a column of values with a repetition level
-(the depth of the innermost list that goes on) and a definition level (how much of its path is there). The levels come
-from the list lengths by array arithmetic, so only what exists is visited. The table of a repeated ancestor is then put
-together from the leaf columns directly below it: an entry whose definition level reaches the ancestor is a row, and the
-running count of entries that open a new parent is the link to the parent's row.
+A batch of documents is shredded leaf path by leaf path: every leaf path becomes a column of the values that are there, with
+a repetition level (the depth of the innermost list that goes on) and a definition level for every entry (how many of the
+repeated ancestors and optional steps of its path are there). Repetition levels come from the list lengths by array
+arithmetic, so only what exists is visited. The table of a repeated ancestor is then put together from the leaf columns
+directly below it: an entry whose definition level reaches the ancestor is a row, the running count of entries that open a
+new parent is the link to the parent's row, and an entry at its path's highest level takes the next value.
 
-Lists and keyed objects are both repetitions: a keyed object's key becomes the leaf `key` of its item."""
+Lists and keyed objects are both repetitions: a keyed object's key becomes the leaf `key` of its item. Field names compare
+without case, `_`, `-` and blanks; names of items (nodes, columns, handles, labels) are data and stay as they are."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 
+Path = tuple[str, ...]
+
 
 @dataclass
 class Repeated:
-    """A repeated part of a document.
+    """A repeated part of a document. Paths are field names in their plain form (see `plain`), tried in this order.
 
-    get: from the parent's value, the list or keyed object that holds the items, or None.
-    key: the leaf that names an item held in a list (a keyed object's key takes its place).
-    leaves: leaf name -> function of the item.
-    parts: the repetitions within an item; `recurse` adds this one under itself, to any depth."""
+    at: paths from the parent to the list or keyed object that holds the items; a name that ends in `[]` must be a list, and
+    the empty path is the parent itself, names as they are.
+    key: the field that names an item held in a list (a keyed object's key takes its place).
+    leaves: leaf name -> (kind of value, its paths from the item; the empty one is the item itself).
+    parts: the repetitions within an item; `recurse`, paths of more items of this kind under an item, to any depth."""
 
     name: str
-    get: Callable
+    at: tuple[Path, ...]
     key: str | None = None
-    leaves: dict[str, Callable] = field(default_factory=dict)
+    leaves: dict[str, tuple[str, tuple[Path, ...]]] = field(default_factory=dict)
     parts: list[Repeated] = field(default_factory=list)
-    recurse: Callable | None = None
+    recurse: tuple[Path, ...] = ()
+    values_only: bool = False
 
 
 @dataclass
 class Leaf:
-    """A shredded column: one entry per value or absence, in document order."""
+    """A shredded column of one leaf path: levels of every entry, in document order, and the values of those at level `top`."""
 
     rep: np.ndarray
     dfn: np.ndarray
     values: list
+    top: int
+
+
+_NAMES: dict[str, str] = {}
+
+
+def plain(name: str) -> str:
+    """A field name without case, `_`, `-` and blanks."""
+    got = _NAMES.get(name)
+    if got is None:
+        if len(_NAMES) > 20_000:  # field names are few; whatever else came here is let go
+            _NAMES.clear()
+        got = _NAMES[name] = name.replace("_", "").replace("-", "").replace(" ", "").lower()
+    return got
+
+
+def fields(x: dict) -> dict:
+    """The fields of an object that are not null, by plain name; of two spellings of one name the first counts."""
+    out: dict = {}
+    for k, v in x.items():
+        if v is not None:
+            out.setdefault(_NAMES.get(k) or plain(k), v)
+    return out
+
+
+def reach(view, path: Path) -> tuple[int, object]:
+    """How many steps of the path are there from an item in plain form, and what lies at its end (None if it breaks off)."""
+    at = view
+    for i, step in enumerate(path):
+        if not isinstance(at, dict):
+            return i, None
+        at = (at if not i else fields(at)).get(step.removesuffix("[]"))
+        if at is None or (step.endswith("[]") and not isinstance(at, list)):
+            return i, None
+    return len(path), at
+
 
+def _held(raw, view, paths: tuple[Path, ...]):
+    """The first list or keyed object at one of these paths."""
+    for p in paths:
+        got = reach(view, p)[1] if p else raw
+        if isinstance(got, (dict, list)):
+            return got
+    return None
 
-def _items(held, key: str | None) -> list[tuple]:
-    """(key, item, place) of every item that is there; the place counts all entries of the list."""
+
+def _items(held, key: str | None, values_only: bool) -> list[tuple]:
+    """(key, item, place, item in plain form) of every item that is there; the place counts all entries of the list."""
     if isinstance(held, dict):
-        return [(k, v, i) for i, (k, v) in enumerate(held.items()) if v is not None]
-    if isinstance(held, list):
-        return [(v.get(key) if key and isinstance(v, dict) else None, v, i) for i, v in enumerate(held) if v is not None]
-    return []
+        got = [(k, v, i) for i, (k, v) in enumerate(held.items()) if v is not None]
+    elif isinstance(held, list):
+        got = [(None, v, i) for i, v in enumerate(held) if v is not None]
+    else:
+        return []
+    if values_only:
+        return [(k, v, i, v) for k, v, i in got if not isinstance(v, (dict, list))] if isinstance(held, dict) else []
+    out = []
+    for k, v, i in got:
+        view = fields(v) if isinstance(v, dict) else v
+        out.append((view.get(key) if k is None and key and isinstance(view, dict) else k, v, i, view))
+    return out
 
 
 def _expand(rep: np.ndarray, dfn: np.ndarray, counts: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,30 +123,48 @@ def _expand(rep: np.ndarray, dfn: np.ndarray, counts: np.ndarray, level: int) ->
     return out_rep, np.repeat(np.where(each > 0, level, dfn), wide)
 
 
-def shred(values: list, spec: Repeated, want: set[str] | None = None) -> Iterator[tuple[tuple[str, ...], dict[str, Leaf]]]:
+def shred(values: list, spec: Repeated, want: set[str] | None = None) -> Iterator[tuple[tuple[str, ...], dict[str, list[Leaf]]]]:
     """Leaf columns of each repeated path, outermost first. values: one parsed document each (None: no document).
 
     want: names of the leaves to make (None: all); what is not wanted is not visited. `key` and `place` are always made."""
     rep, dfn = np.zeros(len(values), np.int16), np.zeros(len(values), np.int16)
-    todo = [((), spec, values, rep, dfn, spec.get)]
+    todo = [((), spec, values, [fields(v) if isinstance(v, dict) else v for v in values], rep, dfn, spec.at)]
     while todo:
-        above, part, parents, rep, dfn, get = todo.pop(0)
+        above, part, raws, views, rep, dfn, paths = todo.pop(0)
         level = len(above) + 1
-        lists = [_items(get(p), part.key) if p is not None else () for p in parents]
+        lists = [_items(_held(r, v, paths), part.key, part.values_only) if r is not None else () for r, v in zip(raws, views)]
         flat = [x for items in lists for x in items]
         if not flat:
             continue
         r, d = _expand(rep, dfn, np.fromiter(map(len, lists), np.int64, len(lists)), level)
+        live = d == level
         path = (*above, part.name)
-        leaves = {"key": Leaf(r, d, [x[0] for x in flat]), "place": Leaf(r, d, [x[2] for x in flat])}
-        for name, f in part.leaves.items():
+        leaves = {"key": [_leaf(r, d, live, level, [(x[0] is not None, x[0]) for x in flat], 1)], "place": [Leaf(r, d, [x[2] for x in flat], level)]}
+        for name, (_, ways) in part.leaves.items():
             if want is None or name in want:
-                leaves[name] = Leaf(r, d, [f(x[1]) for x in flat])
+                leaves[name] = [_leaf(r, d, live, level, [reach(x[3], w) for x in flat], len(w)) for w in ways]
         yield path, leaves
-        inner = [x[1] for x in flat]
-        todo += [(path, p, inner, r, d, p.get) for p in part.parts]
+        inner, plainly = [x[1] for x in flat], [x[3] for x in flat]
+        todo += [(path, p, inner, plainly, r, d, p.at) for p in part.parts]
         if part.recurse:
-            todo.append((path, part, inner, r, d, part.recurse))
+            todo.append((path, part, inner, plainly, r, d, part.recurse))
+
+
+def _leaf(rep: np.ndarray, dfn: np.ndarray, live: np.ndarray, level: int, found: list[tuple[int, object]], steps: int) -> Leaf:
+    """The column of one leaf path: an item's definition level rises by one for each of the path's optional steps that is there."""
+    own = dfn.copy()
+    own[live] += np.fromiter((x[0] for x in found), np.int16, len(found))
+    return Leaf(rep, own, [v for n, v in found if n == steps], level + steps)
+
+
+def column(leaf: Leaf, level: int) -> list:
+    """The values of a leaf path, one for each row of the repeated ancestor at `level` (None where the path breaks off)."""
+    at = leaf.dfn[rows_of(leaf, level)] == leaf.top
+    out = np.full(len(at), None, object)
+    got = np.empty(len(leaf.values), object)
+    got[:] = leaf.values
+    out[at] = got
+    return out.tolist()
 
 
 def rows_of(leaf: Leaf, level: int) -> np.ndarray:
@@ -112,99 +188,41 @@ def document(text: str | None):
     return got
 
 
-def _get(*names: str) -> Callable:
-    """The first of these keys that is there and not null, whatever the spelling (case, `_` and `-` don't count)."""
-    plain = [n.replace("_", "").lower() for n in names]
-
-    def f(x):
-        if not isinstance(x, dict):
-            return None
-        for n in names:
-            if x.get(n) is not None:
-                return x[n]
-        for k in x:
-            if k.replace("_", "").replace("-", "").lower() in plain and x[k] is not None:
-                return x[k]
-        return None
-
-    return f
-
+def _text(v):
+    return v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)
 
-def _quick(*names: str) -> Callable:
-    """As _get, but only over these spellings: for keys that most items lack."""
-
-    def f(x):
-        if isinstance(x, dict):
-            for n in names:
-                if (v := x.get(n)) is not None:
-                    return v
-        return None
-
-    return f
-
-
-def _text(f: Callable) -> Callable:
-    def g(x):
-        v = f(x)
-        return v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)
-
-    return g
-
-
-def _number(f: Callable) -> Callable:
-    def g(x):
-        v = f(x)
-        if isinstance(v, str):
-            try:
-                return float(v)
-            except ValueError:
-                return None
-        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-
-    return g
-
-
-_EDGE = {"source": _text(_quick("source", "src")), "destination": _text(_quick("destination", "dst", "target")), "position": _text(_quick("position")), "output": _text(_quick("output"))}
-_INNER_EDGES = Repeated("edge", _quick("internalEdges", "internal_edges", "internal-edges", "InternalEdges"), None, _EDGE)
-_IO = Repeated("port", _quick("ioMap", "io_map", "io-map", "IoMap", "iomap"), "name", {"direction": _text(_quick("direction")), "node": _text(_quick("internalNodeId", "internal_node_id")), "handle": _text(_quick("internalHandle", "internal_handle"))})
-NODES = Repeated("node", _get("nodes"), "id", {"class_type": _text(_quick("class_type", "classType", "type")), "name": _text(_quick("name")), "dtype": _text(_quick("dtype")), "value": _text(_quick("value")), "language": _text(_quick("language")), "code": _text(_quick("code"))}, [_INNER_EDGES, _IO], recurse=_quick("children", "Children"))
-EDGES = Repeated("edge", _get("edges"), None, _EDGE)
-
-
-def _nested(*path: str) -> Callable:
-    steps = [_quick(p) for p in path]
-
-    def f(x):
-        for s in steps:
-            x = s(x)
-        return x
-
-    return f
 
+def _number(v):
+    if isinstance(v, str):
+        try:
+            return float(v)
+        except ValueError:
+            return None
+    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
 
-def _either(*fs: Callable) -> Callable:
-    def f(x):
-        for g in fs:
-            v = g(x)
-            if v is not None:
-                return v
-        return None
 
-    return f
+def _numbers(v):
+    return [float(x) for x in v if isinstance(x, (int, float)) and not isinstance(x, bool)] if isinstance(v, list) else []
 
 
-_CATEGORY = Repeated("category", _either(_quick("categories"), _nested("stats", "categories")), None, {"value": _text(_quick("value")), "count": _number(_quick("count"))})
-COLUMNS = Repeated("column", lambda x: x if isinstance(x, (dict, list)) else None, "name", {"inferred_type": _text(_quick("inferred_type")), "null_count": _number(_quick("null_count")), "null_pct": _number(_quick("null_pct")), "min": _number(_either(_quick("min"), _nested("stats", "range", "min"))), "max": _number(_either(_quick("max"), _nested("stats", "range", "max")))}, [_CATEGORY])
-CLASSES = Repeated("class", _get("ClassOccurences"), "label", {"n": lambda x: _number(_quick("count"))(x) if isinstance(x, dict) else _number(lambda y: y)(x)})
+_KINDS = {"text": _text, "number": _number, "numbers": _numbers}
 
 
-def _components(x):
-    pca = _get("PCA")(x)
-    return _get("components")(pca) if isinstance(pca, dict) else pca if isinstance(pca, list) else None
+def _one(kind: str, *names: str) -> tuple[str, tuple[Path, ...]]:
+    return kind, tuple(tuple(n.split(".")) if n else () for n in names)
 
 
-COMPONENTS = Repeated("component", _components, None, {"ratio": _number(_quick("ratio")), "loadings": lambda x: [float(v) for v in (_quick("loadings")(x) or []) if isinstance(v, (int, float))]})
-SCALARS = Repeated("scalar", lambda x: {k: v for k, v in x.items() if not isinstance(v, (dict, list))} if isinstance(x, dict) else None, None, {"number": _number(lambda y: y)})
+#: Where the documents of this store hold their parts, by plain field name.
+_EDGE = {"source": _one("text", "source", "src"), "destination": _one("text", "destination", "dst", "target"), "position": _one("text", "position"), "output": _one("text", "output")}
+_INNER_EDGES = Repeated("edge", (("internaledges",),), None, _EDGE)
+_IO = Repeated("port", (("iomap",),), "name", {"direction": _one("text", "direction"), "node": _one("text", "internalnodeid"), "handle": _one("text", "internalhandle")})
+NODES = Repeated("node", (("nodes",),), "id", {"class_type": _one("text", "classtype", "type"), "name": _one("text", "name"), "dtype": _one("text", "dtype"), "value": _one("text", "value"), "language": _one("text", "language"), "code": _one("text", "code")}, [_INNER_EDGES, _IO], recurse=(("children",),))
+EDGES = Repeated("edge", (("edges",),), None, _EDGE)
+_CATEGORY = Repeated("category", (("categories",), ("stats", "categories")), None, {"value": _one("text", "value"), "count": _one("number", "count")})
+COLUMNS = Repeated("column", ((),), "name", {"inferred_type": _one("text", "inferredtype"), "null_count": _one("number", "nullcount"), "null_pct": _one("number", "nullpct"), "min": _one("number", "min", "stats.range.min"), "max": _one("number", "max", "stats.range.max")}, [_CATEGORY])
+CLASSES = Repeated("class", (("classoccurences",),), "label", {"n": _one("number", "count", "")})
+COMPONENTS = Repeated("component", (("pca", "components"), ("pca[]",)), None, {"ratio": _one("number", "ratio"), "loadings": _one("numbers", "loadings")})
+SCALARS = Repeated("scalar", ((),), None, {"number": _one("number", "")}, values_only=True)
 
 #: Which shapes a kind of text holds.
 SHAPES = {"dag": [NODES, EDGES], "columns": [COLUMNS], "profile": [CLASSES, COMPONENTS, SCALARS]}
@@ -217,11 +235,11 @@ def tables(owners: list, values: list, spec: Repeated, want: set[str] | None = N
     group's, `@` and its handle; a category's its column's, `#` and its place; a component's `#` and its place."""
     paths: dict[tuple, np.ndarray] = {}
     for path, leaves in shred(values, spec, want):
-        kind, level, lead = path[-1], len(path), leaves["key"]
+        kind, level, lead = path[-1], len(path), leaves["place"][0]
         at = rows_of(lead, level)
         doc = ordinal(lead, 0)[at]
         up = paths[path[:-1]][ordinal(lead, level - 1)[at]].tolist() if level > 1 else [""] * len(at)
-        keys, places = lead.values, leaves["place"].values
+        keys, places = column(leaves["key"][0], level), lead.values
         if kind == "node":
             own = [None if k is None else f"{u}/{k}" if u else str(k) for u, k in zip(up, keys)] if level > 1 else [None if k is None else str(k) for k in keys]
         elif kind == "port":
@@ -232,10 +250,26 @@ def tables(owners: list, values: list, spec: Repeated, want: set[str] | None = N
             own = [None if k is None else str(k) for k in keys]
         paths[path] = np.array(own, dtype=object)
         ids = [owners[i] for i in doc.tolist()]
-        cols = {"owner_id": ids, "parent": up, "path": own, "place": places} | {n: leaf.values for n, leaf in leaves.items() if n not in ("key", "place")}
+        cols = {"owner_id": ids, "parent": up, "path": own, "place": places}
+        for name, ways in leaves.items():
+            if name not in ("key", "place"):
+                cols[name] = _first([column(w, level) for w in ways], _KINDS[_kind_of(spec, kind, name)])
         yield kind, cols
 
 
+def _kind_of(spec: Repeated, part: str, leaf: str) -> str:
+    return spec.leaves[leaf][0] if spec.name == part else next(_kind_of(p, part, leaf) for p in spec.parts if part in _kinds(p))
+
+
+def _first(ways: list[list], to) -> list:
+    """For each row the first of these columns' values that is there, converted."""
+    out = []
+    for row in zip(*ways):
+        v = next((x for x in row if x is not None), None)
+        out.append(to(v))
+    return out
+
+
 _DOCS = 256  # documents parsed at a time; bounds the memory of a task whatever its batches hold
 
 
@@ -286,4 +320,4 @@ def _kinds(s: Repeated) -> set[str]:
 
 def _prune(s: Repeated, kind: str | None) -> Repeated:
     """Without the parts that the wanted kind does not lie under."""
-    return s if kind is None else Repeated(s.name, s.get, s.key, s.leaves, [p for p in s.parts if kind in _kinds(p)], s.recurse)
+    return s if kind is None else Repeated(s.name, s.at, s.key, s.leaves, [p for p in s.parts if kind in _kinds(p)], s.recurse, s.values_only)

@@ -120,6 +120,50 @@ def test_flatten_of_odd_texts(spark):
     assert shred.flatten(df.limit(0), "id", "dag", "dag").count() == 0
 
 
+def _spelled(x, r, names):
+    """The same document with its field names spelled at random; names of items stay."""
+    if isinstance(x, list):
+        return [_spelled(v, r, names) for v in x]
+    if not isinstance(x, dict):
+        return x
+    out = {}
+    for k, v in x.items():
+        if k in names:
+            k = r.choice(["_", "-", " ", ""]).join(r.choice([str.upper, str.lower, str.title])(w) for w in k.split("_"))
+        out[k] = _spelled(v, r, names)
+    return out
+
+
+def test_any_spelling_of_the_fields_gives_the_same_tables():
+    names = {"nodes", "edges", "children", "internal_edges", "io_map", "id", "name", "class_type", "source", "target", "direction", "internal_node_id", "categories", "stats", "range", "min", "value", "count", "inferred_type", "class_occurences", "label", "pca", "components", "ratio"}
+    dag = {"nodes": {"h_1": {"name": "g", "class_type": "Group", "children": [{"id": "n2", "name": "x"}, {"id": "n3", "children": {"N_4": {"name": "deep"}}}], "internal_edges": [{"source": "n2", "target": "n3"}, None, {"source": "n3"}], "io_map": {"in_A": {"direction": "in", "internal_node_id": "n2"}}}}, "edges": [{"source": "h_1", "target": "q"}]}
+    cols = [{"name": "c_1", "inferred_type": "str", "stats": {"range": {"min": 2}, "categories": [{"value": "a", "count": 3}]}}, {"name": "c-2", "min": 1, "categories": ["x", None, "y"]}, {"name": "c3", "stats": {}}]
+    prof = {"class_occurences": [{"label": "A_b", "count": 2}], "pca": {"components": [{"ratio": 0.5}]}}
+    r = random.Random(5)
+
+    def flat(doc, specs):
+        return [(k, {n: v for n, v in c.items()}) for s in specs for k, c in shred.tables(["o"], [doc], s)]
+
+    for doc, shape in ((dag, "dag"), (cols, "columns"), (prof, "profile")):
+        specs = [s for s in shred.SHAPES[shape] if s.name != "scalar"]
+        want = flat(doc, specs)
+        assert want
+        for _ in range(30):
+            assert flat(_spelled(doc, r, names), specs) == want
+    got = dict(flat(cols, shred.SHAPES["columns"]))
+    assert got["column"]["min"] == [2.0, 1.0, None] and got["category"]["path"] == ["c_1#0", "c-2#0", "c-2#2"]
+
+
+def test_levels_are_those_of_each_leaf_path():
+    docs = [{"a": {"min": 1}, "b": {"stats": {"range": {"min": 2}}}, "c": {"stats": {}}, "d": {}}, None, {"e": {"stats": {"range": {}}}}]
+    (_, leaves), *_ = shred.shred(docs, shred.COLUMNS, {"min"})
+    direct, nested = leaves["min"]
+    assert direct.rep.tolist() == nested.rep.tolist() == [0, 1, 1, 1, 0, 0]
+    assert direct.dfn.tolist() == [2, 1, 1, 1, 0, 1] and direct.top == 2 and direct.values == [1]
+    assert nested.dfn.tolist() == [1, 4, 2, 1, 0, 3] and nested.top == 4 and nested.values == [2]
+    assert shred.column(nested, 1) == [None, 2, None, None, None]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("1", '{"a": {"b": 1}, "n": null, "t": "X1"}'), ("2", '{"a": {"b": 2}, "t": "y"}'), ("3", "not json"), ("4", None)], "id string, data string")
     ids = lambda spec: [r.id for r in doc.find(df, spec).orderBy("id").collect()]
