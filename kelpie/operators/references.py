@@ -1,18 +1,23 @@
 """References to records that do not exist: a range-partitioned, vectorised probe of sorted parent arrays.
 
-Parents and references are cut into key ranges by splitters taken from the parents. A range's parents are held as one
-sorted array; the references of the range stream past it in Arrow batches and are looked up by binary search. A range
-that draws many references (one hot key may draw a third of them all) is split into salts, each with its own copy of the
-range's parents and a share of the references by hash, so no task gets more than about `refs_per_task` of them."""
+Keys are cut into ranges by quantiles of both a sample of the parents and one of the references, and a key that many
+references name is a range of its own. A range's parents are held as one sorted array; the references of the range stream
+past it in Arrow batches and are looked up by binary search. Only a range that draws more references than one task should
+look up is salted (in effect, the range of one hot key, whose copies are of one parent). Ranges are laid out on tasks by
+their load, and rows go to their task directly. Samples are bounded and only move the cuts and the layout: every parent and
+reference is looked up."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.sources.tables import durable
@@ -20,16 +25,44 @@ from kelpie.sources.tables import durable
 NONE_US = np.iinfo(np.int64).min
 
 
-def splitters(parents: DataFrame, ranges: int, sample: int = 16_384) -> list[str]:
-    """At most `ranges`-1 keys that cut the parents about evenly: quantiles of about `sample` keys drawn by hash.
+SAMPLE = 16_384
 
-    The share drawn falls as the parents grow, so the driver gets about `sample` keys whatever their number. The bounded
-    sample moves only the cuts; every parent and reference is still looked up."""
-    n = parents.count()
-    least = int(min(1.0, min(sample, 64 * ranges) / max(n, 1)) * (1 << 30))
-    got = [r[0] for r in parents.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < least).select("_key").collect()]
-    got.sort(key=lambda s: s.encode())
-    return sorted({got[len(got) * i // ranges] for i in range(1, ranges)}, key=lambda s: s.encode()) if got else []
+
+def sample(df: DataFrame) -> tuple[list[bytes], int]:
+    """The `_key` of the SAMPLE rows (or all, if fewer) with the least hash `_h`, sorted, and about how many rows there are.
+
+    One pass that keeps SAMPLE rows a partition. The number is told from how densely the hashes lie; exact if small."""
+    got = df.select("_h", "_key").orderBy("_h").limit(SAMPLE).collect()
+    n = len(got) if len(got) < SAMPLE else round((len(got) - 1) / max(got[-1][0], 1) * _SPACE)
+    return sorted(r[1].encode() for r in got), n
+
+
+_SPACE = 1 << 62
+
+
+def _hash(*cols: str) -> Column:
+    return F.xxhash64(*cols).bitwiseAND(F.lit(_SPACE - 1))
+
+
+def layout(parents: list[bytes], refs: list[bytes], n_refs: int, ranges: int, per_task: int) -> tuple[list[bytes], list[int], list[int]]:
+    """(cuts, salts of each range, task of each salt), from sorted samples. Range i holds the keys from cut i-1 to below cut i."""
+    cuts = {p[len(p) * i // ranges] for p in (parents, refs) if p for i in range(1, ranges)}
+    for key, n in Counter(refs).items():
+        if n > 8 and n * ranges > len(refs):  # as many as a whole range should draw: alone in its range
+            cuts |= {key, key + b"\x01"}
+    cuts = sorted(cuts)
+    load, weight = [0] * (len(cuts) + 1), n_refs / max(len(refs), 1)
+    for key, n in Counter(refs).items():
+        load[bisect_right(cuts, key)] += n
+    salts = [max(1, round(n * weight / per_task)) for n in load]
+    tasks = [(0.0, t) for t in range(max(ranges, -(-n_refs // per_task)))]
+    place = [0] * sum(salts)
+    each = sorted(((n * weight / s + 1, i) for i, (n, s) in enumerate((n, s) for n, s in zip(load, salts) for _ in range(s))), reverse=True)
+    for n, i in each:  # the heaviest first, each to the task that has least
+        had, t = heappop(tasks)
+        place[i] = t
+        heappush(tasks, (had + n, t))
+    return cuts, salts, place
 
 
 def _range_of(cuts: np.ndarray, keys: pa.Array) -> np.ndarray:
@@ -42,26 +75,15 @@ def _bytes(keys: pa.Array) -> np.ndarray:
     return got if len(got) and max(map(len, got)) > 256 else got.astype("S")
 
 
-def _counts(cuts: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, total = np.array([c.encode() for c in cuts], dtype=object), np.zeros(len(cuts) + 1, np.int64)
-        for b in batches:
-            if b.num_rows:
-                total += np.bincount(_range_of(_like(cut), b.column(0)), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["_range", "_n"])
-
-    return run
-
-
 def _like(cut: np.ndarray) -> np.ndarray:
     return cut if len(cut) and max(map(len, cut)) > 256 else cut.astype("S")
 
 
-def _route(cuts: list[str], salts: list[int], is_ref: bool):
-    """Adds the bucket of a row: the place of its range's first salt, plus a salt for a reference, once per salt for a parent."""
+def _route(cuts: list[bytes], salts: list[int], place: list[int], is_ref: bool):
+    """Adds the bucket of a row, and its task: the place of its range's first salt, plus a salt for a reference, once per salt for a parent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, many = _like(np.array([c.encode() for c in cuts], dtype=object)), np.array(salts, np.int64)
+        cut, many, task = _like(np.array(cuts, dtype=object)), np.array(salts, np.int64), np.array(place, np.int32)
         first = np.concatenate([[0], np.cumsum(many)[:-1]])
         for b in batches:
             if not b.num_rows:
@@ -74,12 +96,11 @@ def _route(cuts: list[str], salts: list[int], is_ref: bool):
                 reps = many[at]
                 rows = b.take(pa.array(np.repeat(np.arange(b.num_rows), reps)))
                 bucket = np.repeat(first[at], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(bucket.astype(np.int32))], [*rows.schema.names, "_bucket"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(bucket.astype(np.int32)), pa.array(task[bucket])], [*rows.schema.names, "_bucket", "_task"])
 
     return run
 
 
-_FLOW = "_bucket int, _ref int, _key string, _table string, _at bigint, _in boolean, _gone boolean, _id bigint, _period string"
 _OUT = "evaluation_id bigint, ref_table string, state string, period string"
 
 
@@ -140,31 +161,30 @@ def _misses(refs: pa.RecordBatch, keys: np.ndarray, info: list[np.ndarray]) -> p
     return pa.RecordBatch.from_arrays([rows.column(7), rows.column(3), pa.array(state[bad].tolist(), pa.string()), rows.column(8)], ["evaluation_id", "ref_table", "state", "period"])
 
 
-def orphans(refs: DataFrame, parents: DataFrame, ranges: int | None = None, refs_per_task: int = 4_000_000) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, ranges: int | None = None, refs_per_task: int = 2_000_000, parents_per_range: int = 250_000) -> DataFrame:
     """References that do not hold: (evaluation_id, ref_table, state, period), one row per referring id and table.
 
     refs: id BIGINT, ref_table, key STRING, at BIGINT (microseconds, or null), period STRING; a null key refers to nothing.
     parents: ref_table, key STRING, first_at BIGINT, present BOOLEAN (a record exists), deleted BOOLEAN; one row per table
     and key. state: `missing`, `deleted` (gone, and no record) or `late` (the record is there but its first_at is after the
     reference's at; never when either is null). Rows delivered twice, with equal id, come out once. Without parents every
-    reference is missing; without references the result is empty."""
+    reference is missing; without references the result is empty.
+    ranges: how many at least; else as many as the session's shuffle partitions, and enough for the parents."""
     spark = refs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     par = durable(parents).where(F.col("key").isNotNull()).select(F.col("key").alias("_key"), F.col("ref_table").alias("_table"), F.col("first_at").alias("_at"), F.col("present").alias("_in"), F.col("deleted").alias("_gone"))
-    ref = refs.where(F.col("key").isNotNull()).select(F.col("key").alias("_key"), F.col("ref_table").alias("_table"), F.col("at").alias("_at"), F.col("id").alias("_id"), F.col("period").alias("_period"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("_h"))
-    cuts = splitters(par, ranges)
-    loads = dict.fromkeys(range(len(cuts) + 1), 0)
-    for r in ref.select("_key").mapInArrow(_counts(cuts), "_range int, _n bigint").groupBy("_range").agg(F.sum("_n").alias("n")).collect():  # one row per range
-        loads[r[0]] = r[1]
-    per = max(1, min(refs_per_task, -(-sum(loads.values()) // ranges)))
-    salts = [max(1, -(-loads[i] // per)) for i in sorted(loads)]
+    ref = refs.where(F.col("key").isNotNull()).select(F.col("key").alias("_key"), F.col("ref_table").alias("_table"), F.col("at").alias("_at"), F.col("id").alias("_id"), F.col("period").alias("_period"), _hash("id", "ref_table").alias("_h"))
+    known, n_parents = sample(par.withColumn("_h", _hash("_key", "_table")))
+    asked, n_refs = sample(ref)
+    ranges = max(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_parents // parents_per_range))
+    per = max(1, min(refs_per_task, -(-n_refs // ranges)))
+    cuts, salts, place = layout(known, asked, n_refs, ranges, per)
     schema = "_key string, _table string, _at bigint"
-    p = par.mapInArrow(_route(cuts, salts, False), f"{schema}, _in boolean, _gone boolean, _bucket int")
-    r = ref.mapInArrow(_route(cuts, salts, True), f"{schema}, _id bigint, _period string, _h bigint, _bucket int")
-    cols = ["_bucket", "_ref", "_key", "_table", "_at", "_in", "_gone", "_id", "_period"]
-    p = p.select("_bucket", F.lit(0).alias("_ref"), "_key", "_table", "_at", "_in", "_gone", F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("string").alias("_period"))
-    r = r.select("_bucket", F.lit(1).alias("_ref"), "_key", "_table", "_at", F.lit(None).cast("boolean").alias("_in"), F.lit(None).cast("boolean").alias("_gone"), "_id", "_period")
-    flow = p.unionByName(r).select(*cols).repartition(max(sum(salts), 1), "_bucket").sortWithinPartitions("_bucket", "_ref")
+    p = par.mapInArrow(_route(cuts, salts, place, False), f"{schema}, _in boolean, _gone boolean, _bucket int, _task int")
+    r = ref.mapInArrow(_route(cuts, salts, place, True), f"{schema}, _id bigint, _period string, _h bigint, _bucket int, _task int")
+    cols = ["_bucket", "_ref", "_key", "_table", "_at", "_in", "_gone", "_id", "_period", "_task"]
+    p = p.select("_bucket", F.lit(0).alias("_ref"), "_key", "_table", "_at", "_in", "_gone", F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("string").alias("_period"), "_task")
+    r = r.select("_bucket", F.lit(1).alias("_ref"), "_key", "_table", "_at", F.lit(None).cast("boolean").alias("_in"), F.lit(None).cast("boolean").alias("_gone"), "_id", "_period", "_task")
+    flow = p.unionByName(r).select(*cols).repartitionById(max(place) + 1, F.col("_task")).sortWithinPartitions("_bucket", "_ref")
     return flow.mapInArrow(_probe, _OUT).dropDuplicates(["evaluation_id", "ref_table"])
 
 

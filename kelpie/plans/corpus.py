@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.operators import references as ref
 from kelpie.operators.shred import flatten
-from kelpie.operators.widen import attributes, cells, widen
+from kelpie.operators.widen import cells, widened
 from kelpie.plans import experiments as x
 
 #: How this store types the metrics that are not plain scores.
@@ -23,9 +23,7 @@ def p2_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    rows = x.metric_rows(spark, d)
-    names = attributes(rows, "metric")
-    return widen(rows, "run_id", "metric", "metric_value", ["at", "id"], source="id", types=METRIC_TYPES, names=names), names
+    return widened(x.metric_rows(spark, d), "run_id", "metric", "metric_value", ["at", "id"], source="id", types=METRIC_TYPES)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

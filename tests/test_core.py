@@ -2,8 +2,11 @@
 
 import math
 import random
+from bisect import bisect_right
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -17,7 +20,7 @@ from kelpie.operators import relational as rel
 from kelpie.operators import shred
 from kelpie.operators import similarity as sim
 from kelpie.operators.latest import latest
-from kelpie.operators.references import orphans, report
+from kelpie.operators.references import layout, orphans, report
 from kelpie.operators.widen import attributes, cells, column_names, widen
 
 PARENTS = "ref_table string, key string, first_at bigint, present boolean, deleted boolean"
@@ -77,6 +80,39 @@ def test_widen_entities_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_widen_with_very_many_attributes_stays_small():
+    """20,000 attributes, few of them in a row: only what occurs is filled, and batches are cut by their cells."""
+    import tracemalloc
+
+    from kelpie.operators import widen as w
+
+    cols = [f"a{i}" for i in range(20_000)]
+    n = 2000
+    e = pa.array([f"e{i:05d}" for i in range(n) for _ in range(3)])
+    at = np.array([sorted({i % 7, 5000 + i % 11, 19_999}) for i in range(n)], np.int32).ravel()
+    batch = pa.RecordBatch.from_arrays([e, pa.array(at), pa.array(np.arange(3 * n)), pa.array(np.arange(3 * n, dtype=float))], ["_e", "_a", "_s", "_v"])
+    seen, most = 0, 0
+    tracemalloc.start()
+    for out in w._builder("run", cols, ["double"] * len(cols), True)(iter([batch])):
+        most = max(most, out.num_rows)
+        got = out.column(out.schema.get_field_index("a19999")).to_pylist()
+        assert got == [float(3 * (seen + i) + 2) for i in range(out.num_rows)] and out.column(out.schema.get_field_index("a17")).null_count == out.num_rows
+        seen += out.num_rows
+    assert seen == n and most * len(cols) <= w._CELLS and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_layout_isolates_a_hot_key_and_spreads_it():
+    parents = sorted(f"k{i:05d}".encode() for i in range(5000))
+    refs = sorted([b"k00700"] * 3000 + [f"k{i % 5000:05d}".encode() for i in range(6000)])
+    cuts, salts, place = layout(parents, refs, 9_000_000, 10, 900_000)
+    at = bisect_right(cuts, b"k00700")
+    assert cuts[at - 1] == b"k00700" and cuts[at] == b"k00700\x01" and salts[at] == 3 and max(s for i, s in enumerate(salts) if i != at) == 1
+    first = sum(salts[:at])
+    assert len({place[first + i] for i in range(3)}) == 3 and set(place) <= set(range(10))
+    assert layout([], [], 0, 4, 1) == ([], [1], [0])
+
+
 def test_column_names_are_distinct():
     assert column_names("run", ["Run", "a", "A", "a__src"]) == ["Run_2", "a", "A_2", "a__src_2"]
 
