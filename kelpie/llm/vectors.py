@@ -23,18 +23,22 @@ from kelpie.sources.tables import durable
 
 @dataclass(frozen=True)
 class Params:
-    """list_size: vectors a list aims at. max_lists, train_rows: bounds of the centroids and of the sample they are fitted on
-    (the index itself holds every row). near: how much farther than the nearest centroid another may be for a boundary vector
-    to join it as well, and joins the most lists it may join. ratio, probes: the same for the lists a query visits. lists_per_shard: lists kept together."""
-
-    list_size: int = 512
-    max_lists: int = 16_384
+    """list_size: vectors a list aims at. max_lists, train_rows, most_rows: bounds of the centroids and of the sample they are
+    fitted on, `train_rows` for each list, `most_rows` in all (the index itself holds every row). Lists have equal shares of
+    the sample, so they stay level wherever vectors crowd; beyond max_lists * list_size vectors of a space (4.2 million) lists
+    grow in proportion, and the cost of a query with them. near: how much farther than the nearest centroid another may be for
+    a boundary vector to join it as well, and joins the most lists it may join. ratio, probes: the same for the lists a query
+    visits. lists_per_shard: lists kept together."""
+
+    list_size: int = 64
+    max_lists: int = 65_536
     train_rows: int = 32
+    most_rows: int = 262_144
     near: float = 0.10
     joins: int = 4
     ratio: float = 0.45
-    probes: int = 24
-    lists_per_shard: int = 8
+    probes: int = 32
+    lists_per_shard: int = 32
     seed: int = 7
 
 
@@ -74,10 +78,11 @@ class Graph:
         k = len(c)
         links = np.zeros((k, min(degree, max(k - 1, 1))), np.int32)
         norm = (c**2).sum(1)
-        for lo in range(0, k, 1024):
-            d = norm[None] - 2 * c[lo : lo + 1024] @ c.T
+        block = max(64, min(1024, (1 << 24) // k))
+        for lo in range(0, k, block):
+            d = norm[None] - 2 * c[lo : lo + block] @ c.T
             d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-            links[lo : lo + 1024] = np.argsort(d, 1)[:, : links.shape[1]]
+            links[lo : lo + block] = np.argpartition(d, min(links.shape[1], k - 1), 1)[:, : links.shape[1]]
         at, far = [0], np.full(k, np.inf)
         while len(at) < min(entries, k):
             far = np.minimum(far, ((c - c[at[-1]]) ** 2).sum(1))
@@ -106,10 +111,7 @@ class Graph:
             d = qn + norm[new] - 2 * np.einsum("qd,qnd->qn", q, c[new])
             twice = np.zeros(new.shape, bool)
             twice[:, 1:] = new[:, 1:] == new[:, :-1]
-            known = np.zeros((len(q), len(c)), bool)
-            ok = ids >= 0
-            known[np.broadcast_to(row, ids.shape)[ok], ids[ok]] = True
-            d[twice | (new < 0) | known[row, new]] = np.inf
+            d[twice | (new < 0) | (new[:, :, None] == ids[:, None]).any(2)] = np.inf
             new = np.where(np.isfinite(d), new, -1)
             ids, dist, done = np.hstack([ids, new]), np.hstack([dist, d]), np.hstack([done, ~np.isfinite(d)])
         order = np.argsort(dist, 1, kind="stable")[:, :want]
@@ -237,9 +239,9 @@ def _space(reps: DataFrame, n: int, dim: int, k: int, p: Params) -> DataFrame:
     lists = 1
     while lists * p.list_size < n and lists < p.max_lists:
         lists *= 2
-    share = min(1.0, max(4096, p.train_rows * lists) / n)  # so many rows come to the driver, whatever n
-    sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "vec").toPandas().sort_values("id")["vec"]
-    x = np.array(sample.tolist(), dtype=np.float64).reshape(-1, dim)
+    share = min(1.0, min(p.most_rows, max(4096, p.train_rows * lists)) / n)  # so many rows come to the driver, whatever n
+    sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "vec").toArrow().sort_by("id")
+    x = _matrix(sample.column("vec").combine_chunks(), dim)
     graph = Graph.build(balanced_leaves(x, lists, p.seed))
     shared = reps.sparkSession.sparkContext.broadcast(graph)  # at most max_lists centroids and 16 links each
 
@@ -247,8 +249,7 @@ def _space(reps: DataFrame, n: int, dim: int, k: int, p: Params) -> DataFrame:
         return _route(shared.value, p, dim)(batches)
 
     flow = reps.select("id", "vec").mapInArrow(route, "shard int, role int, id string, lists array<int>, vec array<double>")
-    shards = max(1, lists // p.lists_per_shard)
-    flow = flow.repartition(shards, "shard").sortWithinPartitions("shard", "role")
+    flow = flow.repartitionById(max(1, lists // p.lists_per_shard), F.col("shard")).sortWithinPartitions("shard", "role")
     near = flow.mapInArrow(_ask(k, dim), "a string, b string, dist double")
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("dist", "b"))), 1, k).alias("best"))  # at most k from each shard
     return best.select("a", F.explode("best").alias("x")).select("a", "x.b", "x.dist")
@@ -267,9 +268,15 @@ def knn(df: DataFrame, id_col: str, vec: str, space: str, dims: dict[int, int],
         fits = fits | ((F.col("space") == s) & (F.size("vec") == n))
     rows = durable(rows.where(fits & F.exists("vec", lambda x: x != 0)))
     classes = durable(rows.groupBy("space", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    multi = classes.where("n > 1").select(F.col("space").alias("ms"), F.col("vec").alias("mv"), F.col("id").alias("rep"))
-    members = durable(rows.join(multi, (F.col("space") == F.col("ms")) & (F.col("vec") == F.col("mv"))).select("rep", "id"))
-    sizes = {r[0]: r[1] for r in classes.groupBy("space").count().collect()}
+    counts = classes.groupBy("space").agg(F.count(F.lit(1)), F.sum("n")).collect()
+    sizes, total = {r[0]: r[1] for r in counts}, sum(r[2] for r in counts)
+    # Vectors that a 4096th of all rows bear number under 4096, so they may be broadcast; the rest have no skew to join.
+    multi, hot = classes.where("n > 1").select(F.col("space").alias("ms"), F.col("vec").alias("mv"), F.col("id").alias("rep"), "n"), F.col("n") > total / 4096
+    same = (F.col("space") == F.col("ms")) & (F.col("vec") == F.col("mv"))
+    crowd = durable(rows.join(F.broadcast(multi.where(hot)), same).select("rep", "id"))
+    crowded = F.broadcast(multi.where(hot).select(F.col("rep").alias("hrep")))
+    few = durable(rows.join(multi.where(~hot), same).select("rep", "id"))
+    members = crowd.unionByName(few)
     found = None
     for s, dim in dims.items():
         if sizes.get(s):
@@ -282,6 +289,9 @@ def knn(df: DataFrame, id_col: str, vec: str, space: str, dims: dict[int, int],
     other = found.join(leads, F.col("b") == F.col("lrep"), "left").select("a", "dist", F.coalesce("lid", "b").alias("b"))
     own = leads.select(F.col("lrep").alias("a"), F.lit(0.0).alias("dist"), F.col("lid").alias("b"))
     ranked = other.unionByName(own).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "b"))), 1, k + 1).alias("best"))  # at most (k + 1)^2 in a list
-    each = ranked.join(members.select(F.col("rep").alias("a"), F.col("id").alias("mid")), "a", "left").select(F.coalesce("mid", "a").alias("id"), "best")
+    ranked = durable(ranked)
+    plain = ranked.join(crowded, F.col("a") == F.col("hrep"), "left_anti").join(few.select(F.col("rep").alias("a"), F.col("id").alias("mid")), "a", "left").select(F.coalesce("mid", "a").alias("id"), "best")
+    thick = F.broadcast(ranked.join(crowded, F.col("a") == F.col("hrep"), "left_semi"))  # one row for each of the crowded vectors
+    each = plain.unionByName(crowd.join(thick, F.col("rep") == F.col("a")).select("id", "best"))
     each = each.select("id", F.posexplode(F.slice(F.filter("best", lambda x: x["b"] != F.col("id")), 1, k)).alias("i", "x"))
     return each.select("id", F.col("x.b").alias("neighbour"), F.col("x.dist").alias("dist"), (F.col("i") + 1).cast("int").alias("rnk"))
