@@ -104,14 +104,78 @@ def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return levels(nodes, edges).where("level is null").select("graph").distinct()
 
 
-def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, problem, item): dangling edges, duplicate input ports, nodes without any edge."""
-    ids = nodes.select("graph", "node").distinct()
-    ends = edges.select("graph", F.col("src").alias("node")).unionByName(edges.select("graph", F.col("dst").alias("node"))).where("node is not null")
-    dangling = ends.distinct().join(ids, ["graph", "node"], "left_anti").select("graph", F.lit("dangling_edge").alias("problem"), F.col("node").alias("item"))
-    dup = edges.where("position is not null").groupBy("graph", "dst", "position").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("graph", F.lit("duplicate_port").alias("problem"), F.concat_ws(":", "dst", "position").alias("item"))
-    lone = ids.join(ends.distinct(), ["graph", "node"], "left_anti").select("graph", F.lit("unreachable").alias("problem"), F.col("node").alias("item"))
-    return dangling.unionByName(dup).unionByName(lone)
+def flow_rows(nodes: list[tuple], edges: list[tuple]) -> list[tuple]:
+    """(node, problem) of one graph: `cycle` (on or behind one), `unreachable_from_source`, `unreachable_to_sink`. A node's label
+    holds O for an operator, P for a parameter and K for the sink; flow starts at operators and parameters that nothing leads to."""
+    label = dict(nodes)
+    out, into = defaultdict(list), defaultdict(list)
+    for a, b in set(edges):
+        if a in label and b in label:
+            out[a].append(b)
+            into[b].append(a)
+
+    def reached(start: list, step: dict) -> set:
+        seen, todo = set(start), list(start)
+        while todo:
+            for m in step[todo.pop()]:
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        return seen
+
+    rows = [(n, "cycle") for n, level in level_rows(nodes, edges) if level is None]
+    ahead = reached([n for n, k in label.items() if ("O" in k or "P" in k) and not into[n]], out)
+    rows += [(n, "unreachable_from_source") for n, k in label.items() if "O" in k and n not in ahead]
+    sinks = [n for n, k in label.items() if "K" in k]
+    if sinks:
+        back = reached(sinks, into)
+        rows += [(n, "unreachable_to_sink") for n, k in label.items() if "O" in k and n not in back]
+    return rows
+
+
+#: The columns of a signature registry; null types, roles and splits fit everything.
+REGISTRY = "operator string, port string, direction string, place int, type string, role string, split string, required boolean, variadic boolean"
+
+
+def validate(nodes: DataFrame, edges: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """(graph, problem, item), every problem of every graph.
+
+    nodes: graph, node and, if known, class_type (Operator, Parameter, ...), label (an operator's name), sink BOOLEAN. edges: graph, src,
+    dst, position (the input port; null binds none) and, with a registry, output (a port's name or its place).
+    dangling_edge (an end that is no node), duplicate_port (more than one edge at an input that isn't variadic), cycle,
+    unreachable_from_source, unreachable_to_sink (if a sink is told) and, against the registry, unknown_operator,
+    unknown_port, unwired_input (a required one) and type_mismatch (of type, role or split; `any` fits every type, a
+    Prediction an Array). Null ids don't count; empty tables give an empty result."""
+    col = lambda c, kind: F.col(c).cast(kind) if c in nodes.columns else F.lit(None).cast(kind)
+    operator = F.when(col("class_type", "string") == "Operator", col("label", "string"))
+    sort = F.concat(F.when(operator.isNotNull(), "O").otherwise(""), F.when(col("class_type", "string") == "Parameter", "P").otherwise(""), F.when(F.coalesce(col("sink", "boolean"), F.lit(False)), "K").otherwise(""))
+    n = durable(nodes.where("node is not null").select("graph", "node", operator.alias("operator"), sort.alias("label")).distinct())
+    e = durable(edges.select("graph", "src", "dst", "position", F.col("output").cast("string") if "output" in edges.columns else F.lit(None).cast("string").alias("output")))
+    say = lambda d, what, item: d.select("graph", F.lit(what).alias("problem"), item.alias("item"))
+    ends = e.select("graph", F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
+    found = say(ends.join(n, ["graph", "node"], "left_anti"), "dangling_edge", F.col("node"))
+    found = found.unionByName(_per_graph(n, e, flow_rows, "node string, problem string").select("graph", "problem", F.col("node").alias("item")))
+    ops = n.where("operator is not null").select("graph", "node", "operator")
+    at = e.where("position is not null and dst is not null").join(ops.withColumnRenamed("node", "dst"), ["graph", "dst"], "left")
+    spot = F.concat_ws(":", "dst", "position")
+    twice = at.groupBy("graph", "dst", "position", "operator").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if registry is None:
+        return found.unionByName(say(twice, "duplicate_port", spot))
+    reg = durable(registry)
+    known = reg.select("operator").distinct()
+    inputs = reg.where("direction = 'in'").select("operator", F.col("port").alias("position"), F.col("type").alias("i_type"), F.col("role").alias("i_role"), F.col("split").alias("i_split"), "required", "variadic")
+    many = inputs.where("variadic").select("operator", "position")
+    found = found.unionByName(say(twice.join(many, ["operator", "position"], "left_anti"), "duplicate_port", spot))
+    found = found.unionByName(say(ops.join(known, "operator", "left_anti"), "unknown_operator", F.concat_ws(":", "node", "operator")))
+    sure = at.join(known, "operator", "left_semi")
+    found = found.unionByName(say(sure.join(inputs, ["operator", "position"], "left_anti"), "unknown_port", spot))
+    need = ops.join(inputs.where("required").select("operator", "position"), "operator")
+    found = found.unionByName(say(need.join(at.select("graph", F.col("dst").alias("node"), "position"), ["graph", "node", "position"], "left_anti"), "unwired_input", F.concat_ws(":", "node", "position")))
+    outs = reg.where("direction = 'out'").select(F.col("operator").alias("from"), F.explode(F.array_distinct(F.array(F.col("port"), F.col("place").cast("string")))).alias("output"), F.col("type").alias("o_type"), F.col("role").alias("o_role"), F.col("split").alias("o_split"))
+    wire = sure.join(inputs, ["operator", "position"]).join(ops.select("graph", F.col("node").alias("src"), F.col("operator").alias("from")), ["graph", "src"]).join(outs, ["from", "output"])
+    typed = (F.col("o_type") == F.col("i_type")) | (F.col("o_type") == "any") | (F.col("i_type") == "any") | ((F.col("o_type") == "Prediction") & (F.col("i_type") == "Array"))
+    wrong = F.concat_ws(",", F.when(~typed, "type"), F.when(F.col("o_role") != F.col("i_role"), "role"), F.when(F.col("o_split") != F.col("i_split"), "split"))
+    return found.unionByName(say(wire.where(wrong != ""), "type_mismatch", F.concat_ws(":", "src", "dst", "position", wrong)))
 
 
 def match_pattern(nodes: DataFrame, edges: DataFrame, labels: list[str], links: list[tuple[int, int]]) -> DataFrame:

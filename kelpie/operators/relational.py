@@ -72,6 +72,20 @@ def ranked(df: DataFrame, order: list[Column], place: str) -> DataFrame:
     return run.withColumn(place, (F.col("before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).cast("int")).drop("_p", "before")
 
 
+def promotion(ledger: DataFrame, hit_rate: float = 0.95, least: int = 20, instability: float = 0.05) -> DataFrame:
+    """(source, rule, target, hits, observations, rate, decision) of each source and rule; ledger: source, rule, target, one row a rewrite.
+
+    target: the most frequent one (ties: the greatest). `defer` under `least` observations; `demote` if its share is under `hit_rate`;
+    `defer` if the target is itself a source whose most frequent target has a share over 1 - instability; else `promote`.
+    Rows without a target are observations of none and are left out; combined map-side before anything meets."""
+    each = ledger.where("source is not null and target is not null").groupBy("source", "rule", "target").agg(F.count(F.lit(1)).alias("n"))
+    best = each.groupBy("source", "rule").agg(F.sum("n").alias("observations"), F.max(F.struct("n", "target")).alias("m"))
+    best = durable(best.select("source", "rule", F.col("m.target").alias("target"), F.col("m.n").alias("hits"), "observations", (F.col("m.n") / F.col("observations")).alias("rate")))
+    firm = best.groupBy(F.col("source").alias("target")).agg(F.max("rate").alias("_onward"))
+    decision = F.when(F.col("observations") < least, "defer").when(F.col("rate") < hit_rate, "demote").when(F.coalesce("_onward", F.lit(0.0)) > 1 - instability, "defer").otherwise("promote")
+    return best.join(firm, "target", "left").select("source", "rule", "target", "hits", "observations", "rate", decision.alias("decision"))
+
+
 def or_flag(df: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:
     """Whether `key` occurs in `other`, as a column that an OR may use (a left join to its distinct keys)."""
     keys = other.select(F.col(key).alias("_k")).distinct().withColumn(flag, F.lit(True))

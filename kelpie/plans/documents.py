@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.operators import docstore as doc
+from kelpie.operators.exceptions import canonical_message, signature
 from kelpie.operators.graphs import parse_triples
 from kelpie.operators.similarity import ascii_lower, token_set
 from kelpie.plans import relational as rel
@@ -144,27 +145,40 @@ def x06(s, d):
     return e.where(~doc.where({"k": {"$lt": 3}})).agg(F.count(F.lit(1)).alias("n"))
 
 
-def canonical_message(c):
-    """Paths, quoted strings, hexadecimal and other numbers become tokens, in this order; spaces are folded."""
-    for pattern, token in ((r"(?:[A-Za-z]:)?(?:/[\w.\-]+){2,}", "<PATH>"), (r"'[^']*'|\"[^\"]*\"", "<STR>"), (r"0x[0-9a-fA-F]+|\b[0-9a-f]{8,}\b", "<HEX>"), (r"[0-9]+(?:\.[0-9]+)?", "<NUM>"), (r"\s+", " ")):
-        c = F.regexp_replace(c, pattern, token)
-    return F.trim(c)
+def _canon(c: str) -> str:
+    """In SQL, whose regexes know no look-around: what precedes and follows a match is put back, and numbers are replaced twice, as neighbours share it."""
+    bs = chr(92)
+    rules = [(f"[a-zA-Z]:{bs}{bs}[^{bs}s''" + f'"]+{bs}{bs}[^{bs}s' + """''"]+""", "<PATH>"), (f"(^|[^{bs}w''])/(?:[^{bs}s''" + f'"/]+/)+[^{bs}s' + """''"]+""", f"{bs}1<PATH>"), ('"[^"]*"', "''<STR>''"), ("''[^'']*''", "''<STR>''"), ("0x[0-9a-fA-F]+", "<HEX>")]
+    rules += [(f"(^|[^{bs}w.])-?[0-9]+{bs}.[0-9]+($|[^{bs}w.])", f"{bs}1<NUM>{bs}2")] * 2 + [(f"(^|[^{bs}w.])-?[0-9]+($|[^{bs}w.])", f"{bs}1<NUM>{bs}2")] * 2 + [(f"{bs}s+", " ")]
+    for p, t in rules:
+        c = f"regexp_replace({c}, '{p}', '{t}', 'g')"
+    return f"trim({c})"
 
 
-_CANON = "error_message"
-for _p, _t in ((r"(?:[A-Za-z]:)?(?:/[\w.\-]+){2,}", "<PATH>"), (r"''[^'']*''|\"[^\"]*\"", "<STR>"), (r"0x[0-9a-fA-F]+|\b[0-9a-f]{8,}\b", "<HEX>"), (r"[0-9]+(?:\.[0-9]+)?", "<NUM>"), (r"\s+", " ")):
-    _CANON = f"regexp_replace({_CANON}, '{_p}', '{_t}', 'g')"
-
-
-@query("X07_canonical_messages", f"WITH {rel.EV} SELECT id, trim({_CANON}) AS message FROM ev WHERE error_message IS NOT NULL")
+@query("X07_canonical_messages", f"WITH {rel.EV} SELECT id, {_canon('error_message')} AS message FROM ev WHERE error_message IS NOT NULL")
 def x07(s, d):
     return rel.evals(s, d).where("error_message is not null").select("id", canonical_message(F.col("error_message")).alias("message"))
 
 
-@query("X08_signature_hash", f"WITH {rel.EV} SELECT id, sha256(concat_ws('|', source, status, trim({_CANON}))) AS signature FROM ev WHERE error_message IS NOT NULL")
+#: The libraries whose operators occur in this store.
+_LIBRARIES = ["graftml", "mosaiq", "nuvo", "orchid", "plinth", "quern", "sievepy", "tabkit"]
+_X08 = f"""
+  WITH t AS (SELECT doc_id, text, regexp_extract(text, '(?s)Traceback \\(most recent call last\\):.*?\\n([A-Za-z_][\\w.]*)(?:: ([^\\n]*))?(?:\\n|$)', ['kind', 'msg']) AS e,
+      regexp_extract_all(text, 'File "([^"]+)", line \\d+, in (\\S+)', 1) AS fs, regexp_extract_all(text, 'File "([^"]+)", line \\d+, in (\\S+)', 2) AS ns
+    FROM documents WHERE contains(text, 'Traceback (most recent call last):')),
+  f AS (SELECT doc_id, e, ns, list_transform(fs, lambda x: replace(regexp_replace(regexp_replace(x, '^/srv/|^/', ''), '\\.py$', ''), '/', '.')) AS ms FROM t WHERE e.kind <> ''),
+  g AS (SELECT *, list_max(list_filter(range(1, len(ms) + 1), lambda i: split_part(ms[i], '.', 1) IN ({", ".join(f"'{x}'" for x in _LIBRARIES)}))) AS k FROM f),
+  s AS (SELECT doc_id, split_part(e.kind, '.', -1) AS exception_type, {_canon("e.msg")} AS message_template,
+      coalesce(ms[k] || '.' || ns[k], '') AS operator_fqn, coalesce(array_to_string(string_split(ms[len(ms)], '.')[1:3], '.'), '') AS site_library,
+      CAST(CASE WHEN k IS NULL THEN 0 ELSE len(ms) - k END AS INTEGER) AS user_frame_depth FROM g)
+  SELECT *, sha256('exception_type' || chr(0) || exception_type || chr(0) || 'message_template' || chr(0) || message_template || chr(0) || 'operator_fqn' || chr(0) || operator_fqn || chr(0)
+    || 'site_library' || chr(0) || site_library || chr(0) || 'user_frame_depth' || chr(0) || user_frame_depth || chr(0)) AS signature FROM s"""
+
+
+@query("X08_traceback_signature", _X08)
 def x08(s, d):
-    e = rel.evals(s, d).where("error_message is not null")
-    return e.select("id", F.sha2(F.concat_ws("|", "source", "status", canonical_message(F.col("error_message"))), 256).alias("signature"))
+    t = load(s, d, "documents").where(F.col("text").contains("Traceback (most recent call last):"))
+    return t.select("doc_id", *[c.alias(k) for k, c in signature(F.col("text"), _LIBRARIES).items()]).where("signature is not null")
 
 
 @query("X09_tokens", "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([a-z_][a-z0-9_]+)', 1)), lambda x: x NOT IN ('the', 'and', 'def', 'return'))) AS n_tokens FROM documents WHERE text IS NOT NULL")

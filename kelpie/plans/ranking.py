@@ -10,6 +10,7 @@ from kelpie.operators import graphs as g
 from kelpie.operators import ranking as k
 from kelpie.operators import similarity as m
 from kelpie.operators.quality import min_max_normalise
+from kelpie.plans import corpus
 from kelpie.plans import relational as rel
 from kelpie.plans.corpus import p6_edges, p6_nodes
 from kelpie.plans.experiments import current_pipelines
@@ -326,10 +327,59 @@ def m28(s, d):
     return g.validate(n, li)
 
 
-@query("M28_pipeline_validation")
+def _registry(n: DataFrame, e: DataFrame) -> DataFrame:
+    """Signatures told from use, as this store holds none: an operator used twice is known, and its input ports are those wired twice; a port wired in
+    nine of ten uses is required; its type is the family of the operators that feed it, if one family makes up nine tenths."""
+    ops = n.where("class_type = 'Operator'").select("graph", "node", F.col("label").alias("operator")).distinct()
+    uses = durable(ops.groupBy("operator").agg(F.count(F.lit(1)).alias("uses")).where("uses >= 2"))
+    family = F.split_part(F.col("from"), F.lit("."), F.lit(2))
+    wired = e.where("position is not null").join(ops.withColumnRenamed("node", "dst"), ["graph", "dst"]).join(ops.select("graph", F.col("node").alias("src"), F.col("operator").alias("from")), ["graph", "src"], "left")
+    port = durable(wired.groupBy("operator", "position", family.alias("family")).agg(F.count(F.lit(1)).alias("k")))
+    top = port.where("family is not null").groupBy("operator", "position").agg(F.max(F.struct("k", "family")).alias("m"), F.sum("k").alias("fed"))
+    nodes = wired.groupBy("operator", "position").agg(F.count_distinct("graph", "dst").alias("nodes"), F.count(F.lit(1)).alias("k")).where("k >= 2")
+    kind = F.when(F.col("m.k") >= 0.9 * F.col("fed"), F.col("m.family"))
+    inputs = nodes.join(uses, "operator").join(top, ["operator", "position"], "left").select("operator", F.col("position").alias("port"), F.lit("in").alias("direction"), F.lit(None).cast("int").alias("place"), kind.alias("type"), (F.col("nodes") >= 0.9 * F.col("uses")).alias("required"))
+    outputs = uses.select("operator", F.lit("out").alias("port"), F.lit("out").alias("direction"), F.lit(0).alias("place"), F.split_part("operator", F.lit("."), F.lit(2)).alias("type"), F.lit(False).alias("required"))
+    return inputs.unionByName(outputs).select("operator", "port", "direction", "place", "type", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("split"), "required", F.lit(False).alias("variadic"))
+
+
+_VALID = corpus._N + """,
+  nn AS MATERIALIZED (
+    SELECT DISTINCT oid AS graph, string_split(spot, '/')[-1] AS node, CASE WHEN cls = 'Operator' THEN coalesce(nm, cls) END AS op, cls = 'Parameter' AS par
+    FROM (SELECT oid, spot, %s AS cls, %s AS nm FROM n WHERE spot IS NOT NULL)),
+  ee AS MATERIALIZED (SELECT oid AS graph, %s AS src, %s AS dst, %s AS pos, %s AS output FROM ed WHERE spot IS NOT NULL),
+  ops AS (SELECT graph, node, op FROM nn WHERE op IS NOT NULL),
+  used AS (SELECT op, count(*) AS uses FROM ops GROUP BY 1 HAVING count(*) >= 2),
+  w AS (SELECT o.op, ee.*, f.op AS fop, split_part(f.op, '.', 2) AS fam FROM ee JOIN ops o ON o.graph = ee.graph AND o.node = ee.dst LEFT JOIN ops f ON f.graph = ee.graph AND f.node = ee.src WHERE pos IS NOT NULL),
+  fk AS (SELECT op, pos, fam, count(*) AS k FROM w WHERE fam IS NOT NULL GROUP BY ALL),
+  ft AS (SELECT op, pos, max(k) AS mk, arg_max(fam, (k, fam)) AS fam, sum(k) AS fed FROM fk GROUP BY ALL),
+  inp AS (
+    SELECT p.op, p.pos, CASE WHEN mk >= 0.9 * fed THEN fam END AS kind, nodes >= 0.9 * uses AS need
+    FROM (SELECT op, pos, count(DISTINCT (graph, dst)) AS nodes, count(*) AS k FROM w GROUP BY ALL HAVING count(*) >= 2) p
+    JOIN used USING (op) LEFT JOIN ft USING (op, pos)),
+  st AS MATERIALIZED (SELECT DISTINCT graph, src, dst FROM ee WHERE (graph, src) IN (SELECT graph, node FROM nn) AND (graph, dst) IN (SELECT graph, node FROM nn)),
+  reach AS (
+    SELECT DISTINCT graph, node FROM nn WHERE (op IS NOT NULL OR par) AND (graph, node) NOT IN (SELECT graph, dst FROM st)
+    UNION SELECT st.graph, st.dst FROM st JOIN reach r ON r.graph = st.graph AND r.node = st.src),
+  clos AS (SELECT graph, src, dst FROM st UNION SELECT c.graph, c.src, st.dst FROM clos c JOIN st ON c.graph = st.graph AND c.dst = st.src),
+  cyc AS (SELECT graph, src AS node FROM clos WHERE src = dst UNION SELECT graph, dst FROM clos WHERE (graph, src) IN (SELECT graph, src FROM clos WHERE src = dst)),
+  bad AS (
+    SELECT DISTINCT graph, 'dangling_edge' AS problem, node AS item FROM (SELECT graph, src AS node FROM ee UNION ALL SELECT graph, dst FROM ee) WHERE node IS NOT NULL AND (graph, node) NOT IN (SELECT graph, node FROM nn)
+    UNION ALL SELECT DISTINCT graph, 'cycle', node FROM cyc
+    UNION ALL SELECT DISTINCT graph, 'unreachable_from_source', node FROM ops WHERE (graph, node) NOT IN (SELECT graph, node FROM reach)
+    UNION ALL SELECT ee.graph, 'duplicate_port', dst || ':' || pos FROM ee LEFT JOIN ops o ON o.graph = ee.graph AND o.node = ee.dst WHERE pos IS NOT NULL AND dst IS NOT NULL GROUP BY ee.graph, dst, pos, op HAVING count(*) > 1
+    UNION ALL SELECT graph, 'unknown_operator', node || ':' || op FROM ops WHERE op NOT IN (SELECT op FROM used)
+    UNION ALL SELECT graph, 'unknown_port', dst || ':' || pos FROM w WHERE op IN (SELECT op FROM used) AND (op, pos) NOT IN (SELECT op, pos FROM inp)
+    UNION ALL SELECT graph, 'unwired_input', node || ':' || pos FROM ops JOIN inp USING (op) WHERE need AND (graph, node, pos) NOT IN (SELECT graph, dst, pos FROM ee WHERE pos IS NOT NULL AND dst IS NOT NULL)
+    UNION ALL SELECT graph, 'type_mismatch', src || ':' || dst || ':' || pos || ':type' FROM w JOIN inp USING (op, pos) WHERE fop IN (SELECT op FROM used) AND output IN ('0', 'out') AND fam <> kind)
+  SELECT problem, count(*) AS n, count(DISTINCT graph) AS pipelines FROM bad GROUP BY 1""" % tuple(corpus._string(corpus._field(*x)) for x in (("v", "class_type", "type"), ("v", "name"), ("v", "source", "src"), ("v", "destination", "dst", "target"), ("v", "position"), ("v", "output")))
+
+
+@query("M28_pipeline_validation", _VALID)
 def m28b(s, d):
     n, e = pipeline_graphs(s, d)
-    return g.validate(n.select("graph", "node"), e).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("graph").alias("pipelines"))
+    n, e = durable(n), durable(e)
+    return g.validate(n, e, _registry(n, e)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("graph").alias("pipelines"))
 
 
 @query("M29_pattern_match", "WITH e AS (SELECT DISTINCT c_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey) SELECT a.c_custkey AS graph, a.o_orderkey AS n1, b.o_orderkey AS n2 FROM e a JOIN e b ON a.c_custkey = b.c_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'")

@@ -289,12 +289,25 @@ def a18(s, d):
     return load(s, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 9).alias("running"))
 
 
-@query("A19_mode_promotion", "WITH c AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_partkey, sum(n) AS total, max(n) AS top, arg_max(l_returnflag, (n, l_returnflag)) AS target FROM c GROUP BY 1) SELECT l_partkey, target, CAST(total AS BIGINT) AS total, top / total AS share, CASE WHEN total < 20 THEN 'defer' WHEN top / total >= 0.7 THEN 'promote' ELSE 'demote' END AS decision FROM m")
+@query(
+    "A19_mode_promotion",
+    """WITH g AS (
+      SELECT strftime(l_shipdate, '%Y-%m') AS source, 'month' AS rule, l_linestatus AS target FROM lineitem UNION ALL SELECT l_linestatus, 'status', l_returnflag FROM lineitem
+      UNION ALL SELECT 'part' || l_partkey, 'part', l_returnflag FROM lineitem),
+    c AS (SELECT source, rule, target, count(*) AS n FROM g GROUP BY ALL),
+    m AS (SELECT source, rule, CAST(sum(n) AS BIGINT) AS observations, max(n) AS hits, arg_max(target, (n, target)) AS target FROM c GROUP BY ALL),
+    o AS (SELECT source, max(hits / observations) AS onward FROM m GROUP BY 1)
+    SELECT m.source, rule, target, hits, observations, hits / observations AS rate,
+      CASE WHEN observations < 20 THEN 'defer' WHEN hits / observations < 0.95 THEN 'demote' WHEN coalesce(onward, 0) > 0.95 THEN 'defer' ELSE 'promote' END AS decision
+    FROM m LEFT JOIN o ON o.source = m.target""",
+)
 def a19(s, d):
-    c = load(s, d, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    m = c.groupBy("l_partkey").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.max(F.struct("n", "l_returnflag"))["l_returnflag"].alias("target"))
-    share = F.col("top") / F.col("total")
-    return m.select("l_partkey", "target", "total", share.alias("share"), F.when(F.col("total") < 20, "defer").when(share >= 0.7, "promote").otherwise("demote").alias("decision"))
+    """Months rewritten to the status of their lines, a status to its return flags, parts to their return flags: status O leads on to one flag
+    always, so months that lead to it wait; F is a firm target."""
+    li = load(s, d, "lineitem")
+    parts = [(F.date_format("l_shipdate", "yyyy-MM"), "month", "l_linestatus"), (F.col("l_linestatus"), "status", "l_returnflag"), (F.concat(F.lit("part"), "l_partkey"), "part", "l_returnflag")]
+    one = [li.select(c.alias("source"), F.lit(rule).alias("rule"), F.col(t).alias("target")) for c, rule, t in parts]
+    return r.promotion(one[0].unionByName(one[1]).unionByName(one[2]))
 
 
 @query("A20_collapse_ratio", f"WITH {EV} SELECT source, count(*) AS n, count(*) - count(DISTINCT (pipeline_id, dataset_id, metric)) AS collapsed, (count(*) - count(DISTINCT (pipeline_id, dataset_id, metric))) / count(*) AS ratio FROM ev GROUP BY 1")
