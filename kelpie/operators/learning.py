@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.operators.quality import quantiles
+from kelpie.operators.relational import ranked, with_places
+
 
 def scale(df: DataFrame, cols: list[str], how: str) -> DataFrame:
     """Standard (population deviation), minmax or robust (interquartile range) in one pass for the bounds and one for the rows.
@@ -18,10 +22,14 @@ def scale(df: DataFrame, cols: list[str], how: str) -> DataFrame:
     elif how == "minmax":
         pair = lambda c: (F.min(c), F.max(c) - F.min(c))
     elif how == "robust":
-        pair = lambda c: (F.percentile(c, 0.5), F.percentile(c, 0.75) - F.percentile(c, 0.25))
+        pair = None
     else:
         raise ValueError(how)
-    one = df.agg(*[x.alias(f"_{n}{i}") for i, c in enumerate(cols) for x, n in zip(pair(c), "ab")])
+    if pair is None:  # quantiles from range-partitioned histograms, one row each
+        parts = [quantiles(df, c, [0.25, 0.5, 0.75]).select(F.col("q1").alias(f"_a{i}"), (F.col("q2") - F.col("q0")).alias(f"_b{i}")) for i, c in enumerate(cols)]
+        one = reduce(DataFrame.crossJoin, parts)
+    else:
+        one = df.agg(*[x.alias(f"_{n}{i}") for i, c in enumerate(cols) for x, n in zip(pair(c), "ab")])
     out = df.crossJoin(F.broadcast(one))  # one row
     new = {c: F.when(F.col(f"_b{i}") > 0, (F.col(c) - F.col(f"_a{i}")) / F.col(f"_b{i}")).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for i, c in enumerate(cols)}
     return out.withColumns(new).select(*df.columns)
@@ -29,13 +37,15 @@ def scale(df: DataFrame, cols: list[str], how: str) -> DataFrame:
 
 def quantile_transform(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """A value's percent rank within its group."""
-    return df.withColumn(f"{col}_q", F.percent_rank().over(Window.partitionBy(*by).orderBy(col)))
+    out = with_places(df, by, col)
+    share = (F.col("n_upto") - F.col("n_at")) / F.nullif(F.col("n_group") - 1, F.lit(0))
+    return out.withColumn(f"{col}_q", F.coalesce(share, F.lit(0.0))).drop("n_at", "n_upto", "n_group")
 
 
 def ordinal_encode(df: DataFrame, col: str) -> DataFrame:
     """Categories numbered from 0 in their order. The dictionary is ranked, not the rows; null stays null."""
-    w = Window.orderBy("_c")  # over the distinct categories
-    book = df.select(F.col(col).alias("_c")).where("_c is not null").distinct().withColumn(f"{col}_code", F.row_number().over(w) - 1)
+    book = ranked(df.select(F.col(col).alias("_c")).where("_c is not null").distinct(), [F.asc("_c")], f"{col}_code")
+    book = book.withColumn(f"{col}_code", F.col(f"{col}_code") - 1)
     return df.join(book, F.col(col) == F.col("_c"), "left").drop("_c")
 
 

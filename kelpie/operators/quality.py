@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kelpie.operators.docstore import rule
+from kelpie.sources.tables import durable
 
 
 def share(cond: Column) -> Column:
@@ -110,7 +111,7 @@ def quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation as one row (q0, q1, ..), from cumulative counts of a range-partitioned
     histogram: no task holds more than its range of distinct values."""
     hist = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    part = hist.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
+    part = durable(hist.repartitionByRange("v").withColumn("_p", F.spark_partition_id()))  # kept, so both uses see the same ranges
     base = part.groupBy("_p").agg(F.sum("c").alias("pc")).withColumn("before", F.coalesce(F.sum("pc").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = part.join(F.broadcast(base.select("_p", "before")), "_p").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("_p").orderBy("v")))
     run = run.crossJoin(F.broadcast(hist.agg(F.sum("c").alias("n"))))  # one row
@@ -159,9 +160,14 @@ def format_efficiency(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg((total / sum(width[kinds[c]] for c in cols)).alias("value"))
 
 
-def label_proportions(df: DataFrame, group: str, label: str) -> DataFrame:
-    """Q17: (key `g1|g2|label`, P(label|g1) - P(label|g2)) of every two groups, g1 < g2. Groups and labels are categories, few."""
+def label_proportions(df: DataFrame, group: str, label: str, most: int = 1000) -> DataFrame:
+    """Q17: (key `g1|g2|label`, P(label|g1) - P(label|g2)) of every two groups, g1 < g2. The result has a row for every two groups and
+    label, so both are checked to be categories: more than `most` of either are an error."""
     n = df.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(group).cast("string").alias("g"), F.col(label).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    n = durable(n)
+    for c in ("g", "l"):
+        if n.select(c).distinct().limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} values: not categories")
     tot = n.groupBy("g").agg(F.sum("n").alias("t"))
     full = tot.crossJoin(n.select("l").distinct()).join(n, ["g", "l"], "left").select("g", "l", (F.coalesce("n", F.lit(0)) / F.col("t")).alias("p"))
     other = full.select(F.col("g").alias("g2"), "l", F.col("p").alias("p2"))
@@ -202,9 +208,10 @@ def decide(value: Column, threshold: Column, higher: Column | bool = True) -> Co
     return F.when(value.isNull(), "pending").when(ok, "passed").otherwise("failed")
 
 
-def decide_moving(value: float, history: list, threshold: float, warn: float, window: int, least: int, higher: bool = True) -> str:
+def decide_moving(value: float, history: list, threshold: float, window: int, least: int, higher: bool = True) -> str:
     """How far the value lies on the wrong side of the mean of the last `window` values. A value that is worse at
-    all is a warning short of `threshold`: the only rule that the known case allows, where a drop of 0.027 warns at 0.05."""
+    all is a warning short of `threshold`: the only rule that the known case allows, where a drop of 0.027 warns at a warning
+    threshold of 0.05, which therefore has no part. Under `least` values the threshold is a constant one."""
     past = numbers(history)
     if len(past) < least:
         return "passed" if (value >= threshold) == higher or value == threshold else "failed"
@@ -224,6 +231,35 @@ def decide_learned(value: float, history: list, threshold: float, warn: float, l
     return "failed" if z > threshold else "warning" if z > warn else "passed"
 
 
+def decide_series(df: DataFrame, series: list[str], order: list[Column], value: str, spec: dict) -> DataFrame:
+    """D01..D04 over the rows of metric series: df with `status` and `decision` (which rule decided).
+
+    spec: kind (constant_threshold, moving_average, learned_model, if_then_else), threshold, warning (learned), window, least,
+    higher. Each value is judged against the usable values before it in its series: the mean of the last `window`, or mean and
+    deviation of all; if_then_else is a moving average that falls back to the constant threshold under `least` values, the
+    others are pending. A null or NaN value is pending. A series is a metric's history: one value a run."""
+    kind, t, least, higher = spec["kind"], spec["threshold"], spec.get("least", 1), spec.get("higher", True)
+    v = F.when(~F.isnan(F.col(value)), F.col(value))
+    w = Window.partitionBy(*series).orderBy(*order)
+    flat = decide(v, F.lit(t), higher)
+    if kind == "constant_threshold":
+        return df.withColumn("status", flat).withColumn("decision", F.lit(kind))
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
+    n = F.count(v).over(upto)
+    side = F.lit(1.0 if higher else -1.0)
+    if kind == "learned_model":
+        z = side * (F.avg(v).over(upto) - v) / F.greatest(F.stddev_pop(v).over(upto), F.lit(1e-12))
+        told = F.when(z > t, "failed").when(z > spec["warning"], "warning").otherwise("passed")
+    elif kind in ("moving_average", "if_then_else"):
+        worse = side * (F.avg(v).over(w.rowsBetween(-spec["window"], -1)) - v)
+        told = F.when(worse > t, "failed").when(worse > 0, "warning").otherwise("passed")
+    else:
+        raise ValueError(kind)
+    short = flat if kind == "if_then_else" else F.lit("pending")
+    ready = n >= least
+    return df.withColumn("status", F.when(v.isNull(), "pending").when(ready, told).otherwise(short)).withColumn("decision", F.when(ready, "moving_average" if kind == "if_then_else" else kind).otherwise("constant_threshold" if kind == "if_then_else" else kind))
+
+
 def numbers(history: list, key: str = "overall") -> list[float]:
     """The numeric values of a history; a composite entry gives its `key`."""
     out = []
@@ -250,14 +286,14 @@ def check_table(values: DataFrame, specs: DataFrame, override: float | None = No
 def column_profile(df: DataFrame, samples: int = 12) -> DataFrame:
     """P01..P06: one row per column: is_numeric, null_count, null_pct, unique_count, min, max, mean, inferred_type, scale, sample_values.
 
-    Two passes over the data whatever the number of columns: one fused aggregation and one for the samples' distinct
-    values. NaN counts as a value. An empty table has counts of 0 and no type."""
+    Two passes over the data whatever the number of columns: one fused aggregation and one for the distinct values, which
+    are counted, and sampled, as text. NaN counts as a value. An empty table has counts of 0 and no type."""
     kinds = {f.name: f.dataType for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, (c, k) in enumerate(kinds.items()):
         x, text = F.col(f"`{c}`"), F.col(f"`{c}`").cast("string")
         num = x.cast("double") if isinstance(k, T.NumericType) else text.try_cast("double")
-        aggs += [F.count(x).alias(f"c{i}"), F.count_distinct(x).alias(f"d{i}"), F.count(num).alias(f"f{i}"), F.count_if((num == F.floor(num)) & ~text.contains(".")).alias(f"i{i}"), F.count_if(F.lower(text).isin("true", "false")).alias(f"b{i}"), F.min(num).alias(f"lo{i}"), F.max(num).alias(f"hi{i}"), F.avg(num).alias(f"av{i}")]
+        aggs += [F.count(x).alias(f"c{i}"), F.count(num).alias(f"f{i}"), F.count_if((num == F.floor(num)) & ~text.contains(".")).alias(f"i{i}"), F.count_if(F.lower(text).isin("true", "false")).alias(f"b{i}"), F.min(num).alias(f"lo{i}"), F.max(num).alias(f"hi{i}"), F.avg(num).alias(f"av{i}")]
     one = df.agg(*aggs)
     rows = []
     for i, (c, k) in enumerate(kinds.items()):
@@ -273,14 +309,16 @@ def column_profile(df: DataFrame, samples: int = 12) -> DataFrame:
             kind = F.when(F.col(f"b{i}") >= 0.9 * n, "bool").when(F.col(f"i{i}") >= 0.9 * n, "int").when(parsed, "float").otherwise("str")
             numeric = parsed & (n > 0)
         kind = F.when(n == 0, F.lit(None)).otherwise(kind)
-        scale = F.when(n == 0, F.lit(None)).when(F.col(f"d{i}") <= 2, "binary").when(kind.isin("str", "bool"), "categorical").when((kind == "int") & (F.col(f"d{i}") <= 20), "ordinal").otherwise("continuous")
-        scale = F.when((kind == "str") & (n > 0) & (F.col(f"d{i}") > 2), "categorical").otherwise(scale)
         shown = F.when(numeric, F.col(f"lo{i}")), F.when(numeric, F.col(f"hi{i}")), F.when(numeric, F.col(f"av{i}"))
-        rows.append(F.struct(F.lit(c).alias("column"), numeric.alias("is_numeric"), (F.col("n") - n).alias("null_count"), F.coalesce(F.round((F.col("n") - n) / F.nullif(F.col("n"), F.lit(0)), 6), F.lit(0.0)).alias("null_pct"), F.col(f"d{i}").alias("unique_count"), shown[0].alias("min"), shown[1].alias("max"), shown[2].alias("mean"), kind.alias("inferred_type"), scale.alias("scale")))
+        rows.append(F.struct(F.lit(c).alias("column"), numeric.alias("is_numeric"), (F.col("n") - n).alias("null_count"), F.coalesce(F.round((F.col("n") - n) / F.nullif(F.col("n"), F.lit(0)), 6), F.lit(0.0)).alias("null_pct"), shown[0].alias("min"), shown[1].alias("max"), shown[2].alias("mean"), kind.alias("inferred_type"), n.alias("_n")))
     out = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in kinds])).alias("x")).select("x.column", "x.v").where("v is not null").distinct()
-    w = Window.partitionBy("column").orderBy("v")
+    cells = durable(df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in kinds])).alias("x")).select("x.column", "x.v").where("v is not null").distinct())
+    w = Window.partitionBy("column").orderBy("v")  # partitions pass on their first rows only, as the rank is bounded
     some = cells.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("sample_values"))
+    out = out.join(cells.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")), "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    k, u = F.col("inferred_type"), F.col("unique_count")
+    scale = F.when(F.col("_n") == 0, F.lit(None)).when(u <= 2, "binary").when(k.isin("str", "bool"), "categorical").when((k == "int") & (u <= 20), "ordinal").otherwise("continuous")
+    out = out.withColumn("scale", scale).select("column", "is_numeric", "null_count", "null_pct", "unique_count", "min", "max", "mean", "inferred_type", "scale")
     return out.join(some, "column", "left")
 
 

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kelpie.operators.relational import ranked, running
 from kelpie.sources.tables import durable
 
 
@@ -112,7 +113,7 @@ def rank_by(df: DataFrame, strategy: str, key: str, objectives: list[str], weigh
         order = [F.desc(sum((F.coalesce(F.col(c), F.lit(0.0)) * x for c, x in zip(objectives[1:], w[1:])), F.coalesce(F.col(objectives[0]), F.lit(0.0)) * w[0]))]
     else:
         raise ValueError(strategy)
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order, F.asc(key))))  # over a retrieved pool
+    return ranked(df, [*order, F.asc(key)], "place")
 
 
 def similar_data_score(evals: DataFrame, near: DataFrame) -> DataFrame:
@@ -142,12 +143,11 @@ def parametrisation(params: Column, operators: Column) -> Column:
 def evict(df: DataFrame, budget: int, seconds: str, size: str, redundancy: str, key: str) -> DataFrame:
     """Entries in order of benefit (compute / size * redundancy), least first; evicted until what is left fits the budget.
 
-    A running sum needs one order over the cache's index, which is the catalogue of a cache and small beside its data."""
+    The running sum is taken range by range."""
     b = F.col(seconds) / F.greatest(F.col(size), F.lit(1)) * F.greatest(F.col(redundancy), F.lit(1))
     total = df.agg(F.sum(size).alias("_t"))
-    w = Window.orderBy("benefit", key).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("benefit", b).crossJoin(F.broadcast(total))  # one row
-    return out.withColumn("evicted", F.col("_t") - F.coalesce(F.sum(size).over(w), F.lit(0)) > budget).drop("_t")
+    out = running(df.withColumn("benefit", b), [], [F.asc("benefit"), F.asc(key)], {"_upto": F.coalesce(F.col(size), F.lit(0))}).crossJoin(F.broadcast(total))  # one row
+    return out.withColumn("evicted", F.col("_t") - (F.col("_upto") - F.coalesce(F.col(size), F.lit(0))) > budget).drop("_t", "_upto")
 
 
 def hedge(df: DataFrame, action: str, reward: str, eta: float) -> DataFrame:

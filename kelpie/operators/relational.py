@@ -63,13 +63,55 @@ def duration_stats(df: DataFrame, seconds: str) -> DataFrame:
     return total.crossJoin(ranks).select("n", F.coalesce("median", F.lit(30.0)).alias("median"), F.coalesce("p75", F.lit(45.0)).alias("p75"), F.coalesce("p95", F.lit(120.0)).alias("p95"), F.col("lo").alias("min"), F.col("hi").alias("max"), "mean")
 
 
-def ranked(df: DataFrame, order: list[Column], place: str) -> DataFrame:
-    """`place` of every row in an order whose last column is unique: the row's number in its range partition plus the rows before that."""
-    part = durable(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))  # kept, so both uses see the same ranges
-    # offsets of the range partitions: one row per partition
-    base = part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = part.join(F.broadcast(base.select("_p", "before")), "_p")
-    return run.withColumn(place, (F.col("before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).cast("int")).drop("_p", "before")
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], totals: bool = False) -> DataFrame:
+    """df with running sums of the (non-null) columns `sums` over each group of `by` (none: over all rows) in an order whose last column is
+    unique; with `totals`, also each group's total as <name>_total.
+
+    Rows are cut into ranges of (by, order), so a hot group is spread over many tasks; a range is summed on its own and moved on
+    by what its group has in the ranges before. Only groups that lie in several ranges need that, at most two rows a range,
+    so it may be broadcast. Null keys form a group. The ranges are kept, so that both uses see the same ones."""
+    part = durable(df.withColumns({f"_v{i}": c for i, c in enumerate(sums.values())}).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id()))
+    n = range(len(sums))
+    per = part.groupBy("_p", *by).agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in n])
+    group = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(1))
+    if by:
+        spread = per.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), F.collect_list(F.struct("_p", *[f"_s{i}" for i in n])).alias("_x")).where("_k > 1")
+        per = spread.select(*by, F.explode("_x").alias("_y")).select(*by, "_y.*")
+    ahead = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_p", *[F.col(c).alias(f"_g{j}") for j, c in enumerate(by)], *[F.coalesce(F.sum(f"_s{i}").over(ahead), F.lit(0)).alias(f"_b{i}") for i in n], *[F.sum(f"_s{i}").over(group).alias(f"_t{i}") for i in n])
+    same = part["_p"] == per["_p"]
+    for j, c in enumerate(by):
+        same = same & part[c].eqNullSafe(per[f"_g{j}"])
+    out = part.join(F.broadcast(per), same, "left").drop(per["_p"])
+    w = Window.partitionBy("_p", *by)
+    out = out.withColumns({name: F.coalesce(f"_b{i}", F.lit(0)) + F.sum(f"_v{i}").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for i, name in enumerate(sums)})
+    if totals:
+        out = out.withColumns({f"{name}_total": F.coalesce(f"_t{i}", F.sum(f"_v{i}").over(w)) for i, name in enumerate(sums)})
+    return out.drop("_p", *[f"_g{j}" for j in range(len(by))], *[f"_{k}{i}" for k in "vbt" for i in n])
+
+
+def ranked(df: DataFrame, order: list[Column], place: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """`place` from 1 of every row (of its group) in an order whose last column is unique."""
+    return running(df, by, order, {place: F.lit(1)}).withColumn(place, F.col(place).cast("int"))
+
+
+def tied_places(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
+    """(by, value, n_at, n_upto, n_group) of each distinct value of each group: rows that have it, that come no later, and in all.
+
+    From running sums over the histogram; rank, percent rank and cumulative share follow by arithmetic."""
+    hist = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_at"))
+    out = running(hist, by, [F.desc(value) if descending else F.asc(value)], {"n_upto": F.col("n_at")}, totals=True)
+    return out.withColumnRenamed("n_upto_total", "n_group")
+
+
+def with_places(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
+    """df with n_at, n_upto and n_group of its value; nulls are values."""
+    t = tied_places(df, by, value, descending).select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate([*by, value])], "n_at", "n_upto", "n_group")
+    same = None
+    for i, c in enumerate([*by, value]):
+        eq = F.col(c).eqNullSafe(F.col(f"_t{i}"))
+        same = eq if same is None else same & eq
+    return df.join(t, same).drop(*[f"_t{i}" for i in range(len(by) + 1)])
 
 
 def promotion(ledger: DataFrame, hit_rate: float = 0.95, least: int = 20, instability: float = 0.05) -> DataFrame:
@@ -117,6 +159,12 @@ def sample_hashed(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)
 
 
+def sample_or_all(df: DataFrame, fits: Column, key: str, n: int, least: int = 5) -> DataFrame:
+    """Up to n rows that fit, in the order of a hash of their key; if fewer than `least` fit, n rows of all, whether they fit or not."""
+    some = sample_hashed(df.where(fits), key, n)
+    return some if some.count() >= least else sample_hashed(df, key, n)
+
+
 def weighted_pick(df: DataFrame, weight: str, n: int, seed: int = 42) -> DataFrame:
     """N rows, each drawn with a chance in proportion to its weight (exponential keys); unusable weights are never drawn."""
     ok = df.where((F.col(weight) > 0) & (F.col(weight) < float("inf")))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.sources.tables import durable
+
 from kelpie.operators.docstore import rule
 
 
@@ -58,19 +60,24 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Chi-square of independence: (stat, dof); Yates' correction when dof is 1."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     ra, rb = n.groupBy("a").agg(F.sum("n").alias("ra")), n.groupBy("b").agg(F.sum("n").alias("rb"))
-    one = n.agg(F.sum("n").alias("t"), ((F.count_distinct("a") - 1) * (F.count_distinct("b") - 1)).alias("dof"))
-    cells = ra.crossJoin(rb).join(n, ["a", "b"], "left").crossJoin(F.broadcast(one))  # categories by categories
+    one = n.agg(F.sum("n").alias("t")).crossJoin(ra.agg((F.count(F.lit(1)) - 1).alias("da"))).crossJoin(rb.agg((F.count(F.lit(1)) - 1).alias("db")))  # one row each
+    one = one.select("t", (F.col("da") * F.col("db")).alias("dof"))
+    # Over the cells that occur: the empty ones are told from the margins.
+    full = n.join(ra, "a").join(rb, "b").agg(F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("rb"))).alias("f"))
+    # Yates' correction needs the empty cells of a table of two by two: the margins have two rows each, else none pass.
+    two = F.broadcast(one.where("dof = 1"))
     e = F.col("ra") * F.col("rb") / F.col("t")
     gap = F.abs(F.coalesce("n", F.lit(0)) - e)
-    gap = F.when(F.col("dof") == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    return cells.agg(F.sum(gap * gap / e).alias("stat"), F.first("dof").alias("dof"))
+    gap = gap - F.least(F.lit(0.5), gap)
+    yates = ra.crossJoin(two).crossJoin(rb.crossJoin(two.select("dof")).select("b", "rb")).join(n, ["a", "b"], "left").agg(F.sum(gap * gap / e).alias("y"))
+    return one.crossJoin(full).crossJoin(yates).select(F.when(F.col("dof") == 1, F.col("y")).otherwise(F.col("t") * (F.col("f") - 1)).alias("stat"), "dof")  # one row each
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     """The two-sample KS statistic (d, n, m), over cumulative counts of a range-partitioned histogram."""
     both = a.select(F.col(col).cast("double").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(F.col(col).cast("double").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
     hist = both.where("v is not null").groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    part = hist.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
+    part = durable(hist.repartitionByRange("v").withColumn("_p", F.spark_partition_id()))  # kept, so both uses see the same ranges
     up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = part.groupBy("_p").agg(F.sum("x").alias("px"), F.sum("y").alias("py")).select("_p", F.coalesce(F.sum("px").over(up), F.lit(0)).alias("bx"), F.coalesce(F.sum("py").over(up), F.lit(0)).alias("by"))
     w = Window.partitionBy("_p").orderBy("v")
@@ -158,14 +165,21 @@ def repair_syntax(df: DataFrame, key: str, col: str, allowed: list[str], most: i
     """(key, old, new, method): the allowed value nearest in edit distance, at most `most`; two equally near go to review.
 
     Distances are taken once for each distinct value, against the caller's list."""
-    v = df.select(F.col(col).alias("old")).where("old is not null").distinct()
+    v = df.select(F.col(col).alias("old")).where("old is not null").groupBy("old").agg(F.count(F.lit(1)).alias("n"))
     tidy = F.upper(F.trim("old"))
     near = F.array_sort(F.array(*[F.struct(F.levenshtein(tidy, F.lit(a.upper())).alias("d"), F.lit(a).alias("a")) for a in allowed]))
     v = v.withColumn("near", near)
     best, tie = F.col("near")[0], F.col("near")[1]["d"] == F.col("near")[0]["d"] if len(allowed) > 1 else F.lit(False)
     method = F.when(best["d"] == 0, "exact").when(best["d"] > most, "review").when(tie, "review").otherwise("edit_distance")
-    v = v.select("old", F.when(method != "review", best["a"]).alias("new"), method.alias("method"))
-    return df.select(F.col(key), F.col(col).alias("old")).join(v, "old").select(key, "old", "new", "method")
+    v = v.select("old", "n", F.when(method != "review", best["a"]).alias("new"), method.alias("method"))
+    # Values that a 4096th of the rows bear number under 4096, so their repairs may be broadcast; the rest have no skew to join.
+    v = durable(v)
+    least = (v.agg(F.sum("n")).first()[0] or 0) / 4096
+    rows = df.select(F.col(key), F.col(col).alias("old")).where("old is not null")
+    often = F.broadcast(v.where(F.col("n") > least).select(F.col("old").alias("_o"), F.col("new").alias("_n"), F.col("method").alias("_m")))
+    rows = rows.join(often, F.col("old") == F.col("_o"), "left")
+    seldom = v.where(F.col("n") <= least).select("old", "new", "method")
+    return rows.where("_o is not null").select(key, "old", F.col("_n").alias("new"), F.col("_m").alias("method")).unionByName(rows.where("_o is null").select(key, "old").join(seldom, "old").select(key, "old", "new", "method"))
 
 
 def enforce(df: DataFrame, rules: list[dict]) -> DataFrame:

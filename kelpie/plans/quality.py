@@ -56,10 +56,12 @@ def p03(s, d):
     return one.select(x.alias("x")).select("x.*")
 
 
-@query("P04_column_profile", "SELECT \"column\", inferred_type, CASE WHEN \"column\" = 'user_id' AND (SELECT count(DISTINCT user_id) FROM events) <= 20 THEN 'ordinal' ELSE scale END AS scale, null_count FROM (VALUES ('event_id', 'int', 'continuous'), ('user_id', 'int', 'continuous'), ('event_type', 'str', 'categorical'), ('value', 'float', 'continuous'), ('props', 'str', 'categorical')) t(\"column\", inferred_type, scale), (SELECT 0 AS null_count) n")
+@query("P04_column_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", CASE WHEN avg(CASE WHEN try_cast(s AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0 END) < 0.9 THEN 'str' WHEN avg(CASE WHEN try_cast(s AS DOUBLE) = floor(try_cast(s AS DOUBLE)) AND NOT contains(s, '.') THEN 1.0 ELSE 0 END) >= 0.9 THEN 'int' ELSE 'float' END AS inferred_type,
+  CASE WHEN count(DISTINCT s) <= 2 THEN 'binary' WHEN avg(CASE WHEN try_cast(s AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0 END) < 0.9 THEN 'categorical' WHEN avg(CASE WHEN try_cast(s AS DOUBLE) = floor(try_cast(s AS DOUBLE)) AND NOT contains(s, '.') THEN 1.0 ELSE 0 END) >= 0.9 AND count(DISTINCT s) <= 20 THEN 'ordinal' ELSE 'continuous' END AS scale,
+  CAST(count(*) FILTER (s IS NULL) AS INTEGER) AS null_count, count(DISTINCT s) AS unique_count FROM (SELECT CAST({c} AS VARCHAR) AS s FROM events) t""" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")))
 def p04(s, d):
-    p = q.column_profile(load(s, d, "events").drop("ts"))
-    return p.select("column", "inferred_type", "scale", F.col("null_count").cast("int").alias("null_count"))
+    p = q.column_profile(load(s, d, "events"))
+    return p.select("column", "inferred_type", "scale", F.col("null_count").cast("int").alias("null_count"), "unique_count")
 
 
 @query("P05_type_inference", "SELECT 'int' AS inferred_type, avg(CASE WHEN try_cast(json_extract_string(profile, '$.NumberOfFeatures') AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.9 AS numeric FROM datasets WHERE json_valid(profile) AND json_extract_string(profile, '$.NumberOfFeatures') IS NOT NULL")
@@ -69,7 +71,7 @@ def p05(s, d):
     return p.select("inferred_type", F.col("is_numeric").alias("numeric"))
 
 
-@query("P06_scale_inference", "SELECT * FROM (VALUES ('p_size', 'continuous'), ('p_brand', 'categorical'), ('p_retailprice', 'continuous')) t(\"column\", scale)")
+@query("P06_scale_inference", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) <= 2 THEN 'binary' WHEN typeof(any_value({c})) = 'VARCHAR' THEN 'categorical' WHEN typeof(any_value({c})) IN ('INTEGER', 'BIGINT') AND count(DISTINCT {c}) <= 20 THEN 'ordinal' ELSE 'continuous' END AS scale FROM part" for c in ("p_size", "p_brand", "p_retailprice")))
 def p06(s, d):
     return q.column_profile(load(s, d, "part").select("p_size", "p_brand", "p_retailprice")).select("column", "scale")
 
@@ -201,7 +203,7 @@ def q24(s, d):
     return q.category_effectiveness(load(s, d, "evaluations"), "dataset_id", 20)
 
 
-@query("Q27_feature_relevance", "SELECT 2 / 3.0 AS value")
+@query("Q27_feature_relevance", "SELECT count(*) FILTER (w IN (SELECT column_name FROM (DESCRIBE SELECT * FROM lineitem))) / count(*) AS value FROM (VALUES ('l_tax'), ('l_quantity'), ('missing')) t(w)")
 def q27(s, d):
     return s.range(1).select(F.lit(q.list_share(["l_tax", "l_quantity", "missing"], load(s, d, "lineitem").columns)).alias("value"))
 
@@ -274,6 +276,29 @@ def w06(s, d):
     return _daily(s, d).select("event_type", "day", st.alias("status"))
 
 
+_BEFORE = "PARTITION BY event_type ORDER BY day ROWS BETWEEN"
+
+
+def _series(s, d, spec: dict) -> DataFrame:
+    return q.decide_series(_daily(s, d), ["event_type"], [F.asc("day")], "v", spec).select("event_type", "day", "status", "decision")
+
+
+@query("D02_moving_average", f"WITH {_DAILY} SELECT event_type, day, CASE WHEN count(v) OVER u < 4 THEN 'pending' WHEN avg(v) OVER w - v > 4 THEN 'failed' WHEN avg(v) OVER w - v > 0 THEN 'warning' ELSE 'passed' END AS status, 'moving_average' AS decision FROM d WINDOW w AS ({_BEFORE} 5 PRECEDING AND 1 PRECEDING), u AS ({_BEFORE} UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def d02(s, d):
+    return _series(s, d, {"kind": "moving_average", "threshold": 4.0, "window": 5, "least": 4})
+
+
+@query("D03_learned_model", f"WITH {_DAILY} SELECT event_type, day, CASE WHEN count(v) OVER u < 3 THEN 'pending' WHEN (v - avg(v) OVER u) / greatest(stddev_pop(v) OVER u, 1e-12) > 1 THEN 'failed' WHEN (v - avg(v) OVER u) / greatest(stddev_pop(v) OVER u, 1e-12) > 0.25 THEN 'warning' ELSE 'passed' END AS status, 'learned_model' AS decision FROM d WINDOW u AS ({_BEFORE} UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def d03(s, d):
+    """Here less is better."""
+    return _series(s, d, {"kind": "learned_model", "threshold": 1.0, "warning": 0.25, "least": 3, "higher": False})
+
+
+@query("D04_if_then_else", f"WITH {_DAILY} SELECT event_type, day, CASE WHEN count(v) OVER u < 3 THEN CASE WHEN v >= 20 THEN 'passed' ELSE 'failed' END WHEN avg(v) OVER w - v > 20 THEN 'failed' WHEN avg(v) OVER w - v > 0 THEN 'warning' ELSE 'passed' END AS status, CASE WHEN count(v) OVER u < 3 THEN 'constant_threshold' ELSE 'moving_average' END AS decision FROM d WINDOW w AS ({_BEFORE} 3 PRECEDING AND 1 PRECEDING), u AS ({_BEFORE} UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def d04(s, d):
+    return _series(s, d, {"kind": "if_then_else", "threshold": 20.0, "window": 3, "least": 3})
+
+
 @query("D07_risk_pathways", _VALUES + ", p AS (SELECT * FROM (VALUES ('value_completeness', 'missing_data', 'linear', 0.99, 'below'), ('duplicates', 'leakage', 'tree', 0.001, 'above'), ('outliers', 'outlier_bias', 'linear', 0.02, 'above')) t(metric, risk, family, bound, side)) SELECT p.metric, coalesce(v.key, '') AS key, risk, family FROM p JOIN v ON p.metric = v.metric WHERE CASE side WHEN 'below' THEN v.value < bound ELSE v.value > bound END")
 def d07(s, d):
     """Metric, risk and sensitive family by breach of a bound."""
@@ -340,7 +365,7 @@ def _fair(s, d):
     return load(s, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_linestatus") == "F").cast("int").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("p"))
 
 
-@query("C09_loss_of_ordinality", "SELECT * FROM (VALUES ('o_orderstatus'), ('o_orderpriority')) t(\"column\")")
+@query("C09_loss_of_ordinality", "SELECT column_name AS \"column\" FROM (DESCRIBE SELECT * FROM orders) WHERE column_type = 'VARCHAR'")
 def c09(s, d):
     return s.createDataFrame([(c,) for c in k.unordered_categories(load(s, d, "orders"))], "column string")
 

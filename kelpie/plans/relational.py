@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.keys import norm_id, norm_metric, usable
 from kelpie.operators import relational as r
-from kelpie.sources.tables import load
+from kelpie.operators.quality import quantiles
+from kelpie.sources.tables import durable, load
 
 Q, SQL = {}, {}
 
@@ -255,7 +256,7 @@ def a13(s, d):
     e = evals(s, d).where("status = 'success'")
     last = evals(s, d).agg(F.max("created_at").alias("t"))
     recent = e.crossJoin(F.broadcast(last)).where(F.col("created_at") >= F.col("t") - F.expr("INTERVAL 30 DAY"))  # one row
-    return recent.agg(F.coalesce(F.percentile("wall_clock_s", 0.5), F.lit(30.0)).alias("eta"))
+    return quantiles(recent, "wall_clock_s", [0.5]).select(F.coalesce("q0", F.lit(30.0)).alias("eta"))
 
 
 _FAIL = f"WITH {EV}, f AS (SELECT pipeline_id, regexp_replace(error_message, '[0-9]+', '<NUM>', 'g') AS sig, error_message, created_at, id FROM ev WHERE error_message IS NOT NULL AND pipeline_id IS NOT NULL)"
@@ -285,8 +286,8 @@ def a16(s, d):
 
 @query("A18_running_mean", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running FROM events")
 def a18(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(s, d, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 9).alias("running"))
+    e = r.running(load(s, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], [F.asc("ts"), F.asc("event_id")], {"total": F.coalesce("value", F.lit(0.0)), "n": F.col("value").isNotNull().cast("int")})
+    return e.select("event_id", "user_id", F.round(F.col("total") / F.nullif(F.col("n"), F.lit(0)), 9).alias("running"))
 
 
 @query(
@@ -346,12 +347,17 @@ def a25(s, d):
 _LATEST = f"WITH {EV}, l AS (SELECT dataset_id, pipeline_id, metric_value, id FROM ev WHERE metric = 'accuracy' AND status = 'success' AND {OKV} AND dataset_id IS NOT NULL AND pipeline_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset_id, pipeline_id ORDER BY created_at DESC NULLS LAST, id DESC) = 1)"
 
 
+def _last_scores(s, d) -> DataFrame:
+    """The latest score of every pipeline on every data set; the pairs are combined map-side."""
+    e = scored(s, d).dropna(subset=["dataset_id", "pipeline_id"])
+    return e.groupBy("dataset_id", "pipeline_id").agg(F.max(F.struct("created_at", "id", "metric_value"))["metric_value"].alias("score"))
+
+
 @query("W01_latest_leaderboard", _LATEST + " SELECT dataset_id, pipeline_id, metric_value AS score, CAST(rank() OVER (PARTITION BY dataset_id ORDER BY metric_value DESC) AS INTEGER) AS rnk FROM l")
 def w01(s, d):
-    """The latest score of every pipeline on every data set, ranked within the data set. The pairs are combined map-side."""
-    e = scored(s, d).dropna(subset=["dataset_id", "pipeline_id"])
-    last = e.groupBy("dataset_id", "pipeline_id").agg(F.max(F.struct("created_at", "id", "metric_value"))["metric_value"].alias("score"))
-    return last.withColumn("rnk", F.rank().over(Window.partitionBy("dataset_id").orderBy(F.desc("score"))))
+    """The latest score of every pipeline on every data set, ranked within the data set, from counts of the distinct scores."""
+    last = durable(_last_scores(s, d))
+    return r.with_places(last, ["dataset_id"], "score", descending=True).select("dataset_id", "pipeline_id", "score", (F.col("n_upto") - F.col("n_at") + 1).cast("int").alias("rnk"))
 
 
 @query("W02_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderkey % 1000 = 0")
@@ -368,7 +374,7 @@ def w03(s, d):
 
 @query("W04_rank_numbers", _LATEST + " SELECT dataset_id, pipeline_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY metric_value DESC, pipeline_id) AS INTEGER) AS rn FROM l")
 def w04(s, d):
-    return w01(s, d).select("dataset_id", "pipeline_id", F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc("score"), "pipeline_id")).alias("rn"))
+    return r.ranked(_last_scores(s, d), [F.desc("score"), F.asc("pipeline_id")], "rn", ["dataset_id"]).select("dataset_id", "pipeline_id", "rn")
 
 
 @query("W07_last_messages", "SELECT user_id, list(event_id ORDER BY ts, event_id)[-3:] AS last3 FROM events GROUP BY 1")
@@ -381,8 +387,8 @@ def w07(s, d):
 @query("W08_percentile_rank", f"WITH {EV}, h AS (SELECT dataset_id, metric_value, id FROM ev WHERE metric = 'accuracy' AND {OKV} AND dataset_id IS NOT NULL) SELECT id, dataset_id, CASE WHEN count(*) OVER (PARTITION BY dataset_id) >= 5 THEN round(cume_dist() OVER (PARTITION BY dataset_id ORDER BY metric_value), 9) END AS pct FROM h")
 def w08(s, d):
     h = evals(s, d).where((F.col("metric") == "accuracy") & usable("metric_value") & F.col("dataset_id").isNotNull())
-    by = Window.partitionBy("dataset_id")
-    return h.select("id", "dataset_id", F.when(F.count(F.lit(1)).over(by) >= 5, F.round(F.cume_dist().over(by.orderBy("metric_value")), 9)).alias("pct"))
+    h = r.with_places(durable(h.select("id", "dataset_id", "metric_value")), ["dataset_id"], "metric_value")
+    return h.select("id", "dataset_id", F.when(F.col("n_group") >= 5, F.round(F.col("n_upto") / F.col("n_group"), 9)).alias("pct"))
 
 
 @query("W09_upsert_by_run", f"WITH {EV} SELECT run_id, status, wall_clock_s FROM ev QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC NULLS LAST, id DESC) = 1")
@@ -426,6 +432,15 @@ def t04(s, d):
     return r.sample_hashed(load(s, d, "part").select("p_partkey"), "p_partkey", 50)
 
 
+@query("T04_sample_or_all", "WITH p AS (SELECT lower(trim(id)) AS id, bool_or(lower(trim(task)) IN ('classification', 'no such task')) AS a, bool_or(lower(trim(task)) = 'no such task') AS b FROM pipelines WHERE trim(id) <> '' GROUP BY 1), x AS (SELECT 'task' AS kind, id FROM p WHERE a ORDER BY md5(id), id LIMIT 20), y AS (SELECT 'fallback' AS kind, id FROM p ORDER BY md5(id), id LIMIT 20) SELECT * FROM x UNION ALL SELECT * FROM y")
+def t04b(s, d):
+    """Pipelines of a task; for a task that fewer than five have, pipelines of any."""
+    t = F.lower(F.trim("task"))
+    p = load(s, d, "pipelines").select(norm_id("id").alias("id"), t.isin("classification", "no such task").alias("a"), (t == "no such task").alias("b")).where("id is not null").groupBy("id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    one = r.sample_or_all(p, F.col("a"), "id", 20).select(F.lit("task").alias("kind"), "id")
+    return one.unionByName(r.sample_or_all(p, F.col("b"), "id", 20).select(F.lit("fallback").alias("kind"), "id"))
+
+
 @query("T05_lexicographic_sort", f"WITH {EV}, m AS (SELECT pipeline_id, max(metric_value) FILTER (metric = 'accuracy') AS acc, min(metric_value) FILTER (metric = 'fit_seconds') AS secs FROM ev WHERE {OKV} AND pipeline_id IS NOT NULL GROUP BY 1) SELECT pipeline_id, acc, secs, CAST(row_number() OVER (ORDER BY acc DESC NULLS LAST, secs NULLS LAST, pipeline_id) AS INTEGER) AS place FROM m")
 def t05(s, d):
     e = evals(s, d).where(usable("metric_value") & F.col("pipeline_id").isNotNull())
@@ -459,12 +474,12 @@ def t09(s, d):
 
 @query("T10_stratified_folds", "WITH f AS (SELECT p_partkey, p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) - 1) % 5 AS INTEGER) AS fold FROM part) SELECT p_brand, fold, count(*) AS n, min(p_partkey) AS first_key FROM f GROUP BY ALL")
 def t10(s, d):
-    w = Window.partitionBy("p_brand").orderBy(F.md5(F.col("p_partkey").cast("string").cast("binary")), "p_partkey")
-    f = load(s, d, "part").select("p_partkey", "p_brand", ((F.row_number().over(w) - 1) % 5).alias("fold"))
+    p = load(s, d, "part").select("p_partkey", "p_brand", F.md5(F.col("p_partkey").cast("string").cast("binary")).alias("h"))
+    f = r.ranked(p, [F.asc("h"), F.asc("p_partkey")], "place", ["p_brand"]).select("p_partkey", "p_brand", ((F.col("place") - 1) % 5).alias("fold"))
     return f.groupBy("p_brand", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"))
 
 
-@query("T10_train_test_split")
+@query("T10_train_test_split", "WITH RECURSIVE bits AS (SELECT 0 AS k, i AS i, i AS c FROM range(256) t(i) UNION ALL SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8), tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8), st AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS x, 0 AS k, 4294967295::BIGINT AS c FROM part UNION ALL SELECT p_partkey, x, k + 1, xor(t[1 + (xor(c, ascii(x[k + 1])) & 255)], c >> 8) FROM st, tab WHERE k < len(x)), f AS (SELECT CAST(xor(c, 4294967295) % 5 AS INTEGER) AS fold FROM st WHERE k = len(x)) SELECT fold, count(*) AS n FROM f GROUP BY 1")
 def t10b(s, d):
     return r.folds(load(s, d, "part").select("p_partkey"), "p_partkey", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 

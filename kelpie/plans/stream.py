@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.operators.relational import ranked
 from kelpie.sources.tables import load
 from kelpie.streaming import ops
 
@@ -90,10 +91,8 @@ def z07(s, d):
 @query("Z08_event_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq FROM events")
 def z08(s, d):
     """Within a batch events are handled in order of time and number, per user."""
-    from pyspark.sql import Window
-
     got = ops.result(ops.source(s, f"{d}/events.parquet", _SCHEMA).select("event_id", "ts", "user_id"))
-    return got.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"))
+    return ranked(got, [F.asc("ts"), F.asc("event_id")], "seq", ["user_id"]).select("event_id", "seq")
 
 
 @query("Z11_rate_limit")

@@ -64,9 +64,9 @@ def test_grouped_metrics(spark):
 
 
 def test_decisions():
-    assert q.decide_moving(0.88, [0.90, 0.92, 0.91, 0.89], 0.10, 0.05, 3, 3) == "warning"
+    assert q.decide_moving(0.88, [0.90, 0.92, 0.91, 0.89], 0.10, 3, 3) == "warning"
     assert q.decide_learned(0.70, [0.90, 0.91, 0.89, 0.92], 1.0, 0.25, 3) == "failed"
-    assert q.decide_moving(0.96, [0.94], 0.95, 0.05, 3, 3) == "passed"
+    assert q.decide_moving(0.96, [0.94], 0.95, 3, 3) == "passed"
     assert q.numbers([{"overall": 0.9}, 0.95, "bad", None, float("nan")]) == [0.9, 0.95]
 
 
