@@ -123,46 +123,89 @@ def fields(col: str = "data") -> Column:
     return F.try_variant_get(_doc(col), "$", "map<string,variant>")
 
 
+def rebuild(paths: dict[str, Any]) -> dict:
+    """{"a.b": 1, "a.c": 2} as {"a": {"b": 1, "c": 2}}; a path that runs through a value is an error."""
+    out: dict = {}
+    for path, v in paths.items():
+        *above, last = path.split(".")
+        at = out
+        for k in above:
+            at = at.setdefault(k, {})
+            if not isinstance(at, dict):
+                raise ValueError(f"{path} runs through a value")
+        if isinstance(at.get(last), dict):
+            raise ValueError(f"{path} replaces an object")
+        at[last] = v
+    return out
+
+
+def nest(columns: dict[str, Column]) -> Column:
+    """A JSON text with each column at its dotted path; keys of an object are in order."""
+
+    def tree(x) -> Column:
+        return F.struct(*[tree(v).alias(k) for k, v in sorted(x.items())]) if isinstance(x, dict) else x
+
+    return F.to_json(tree(rebuild(columns)), {"ignoreNullFields": "false"})
+
+
+def _text(m: Column) -> Column:
+    """The JSON text of a map of JSON texts, its keys in order."""
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(quoted(k), F.lit(":"), F.element_at(m, k))), ","), F.lit("}"))
+
+
+def _at(m: Column, path: list[str], change, make: bool) -> Column:
+    """m with `change`(object, key) applied at the path; objects on the way are made if they are not there (`make`)."""
+    k = path[0]
+    if len(path) == 1:
+        return change(m, k)
+    inner = F.transform_values(F.from_json(F.try_element_at(m, F.lit(k)), "map<string,variant>"), lambda _, v: F.to_json(v))
+    new = F.map_concat(F.map_filter(m, lambda kk, _: kk != k), F.create_map(F.lit(k), _text(_at(F.coalesce(inner, F.create_map().cast("map<string,string>")), path[1:], change, make))))
+    return new if make else F.when(inner.isNotNull(), new).otherwise(m)
+
+
 def update(df: DataFrame, spec: dict, ops: dict, col: str = "data") -> DataFrame:
     """Apply `$set $unset $inc $push $pull $addToSet`, or a whole new document, to the matching rows.
 
-    Keys are top-level. `$push` takes a value or {"$each": [...]}. Rows that don't match stay as they are; a rewritten
-    document has its keys in order."""
+    Keys are dotted paths; objects on the way are made where they are absent (but not to take something out). `$push` takes a
+    value or {"$each": [...]}. Rows that don't match stay as they are; a rewritten object has its keys in order."""
     hit = F.coalesce(where(spec, col), F.lit(False))
     if not any(k.startswith("$") for k in ops):
         return df.withColumn(col, F.when(hit, F.lit(json.dumps(ops, sort_keys=True, separators=(",", ":")))).otherwise(F.col(col)))
     doc = F.transform_values(fields(col), lambda k, v: F.to_json(v))
     lit = lambda v: F.lit(json.dumps(v, separators=(",", ":")))
 
-    def without(m: Column, k: str) -> Column:
-        return F.map_filter(m, lambda kk, _: kk != k)
-
     def put(m: Column, k: str, v: Column) -> Column:
-        return F.map_concat(without(m, k), F.create_map(F.lit(k), v))
+        return F.map_concat(F.map_filter(m, lambda kk, _: kk != k), F.create_map(F.lit(k), v))
 
     items = lambda m, k: F.coalesce(F.transform(F.from_json(F.try_element_at(m, F.lit(k)), "array<variant>"), lambda x: F.to_json(x)), F.array().cast("array<string>"))
     whole = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
+
+    def plus(v):
+        kind = "bigint" if isinstance(v, int) else "double"
+        return lambda m, k: put(m, k, (F.coalesce(F.try_element_at(m, F.lit(k)).cast(kind), F.lit(0).cast(kind)) + F.lit(v)).cast("string"))
+
+    def push(v):
+        new = v["$each"] if isinstance(v, dict) and "$each" in v else [v]
+        return lambda m, k: put(m, k, whole(F.concat(items(m, k), F.array(*map(lit, new)))))
+
+    changes = {
+        "$set": lambda v: lambda m, k: put(m, k, lit(v)),
+        "$unset": lambda v: lambda m, k: F.map_filter(m, lambda kk, _: kk != k),
+        "$inc": plus,
+        "$push": push,
+        "$pull": lambda v: lambda m, k: put(m, k, whole(F.array_remove(items(m, k), json.dumps(v, separators=(",", ":"))))),
+        "$addToSet": lambda v: lambda m, k: put(m, k, whole(F.array_union(items(m, k), F.array(lit(v))))),
+    }
+    out = df.withColumn("_doc", F.when(hit, doc))
     for op, args in ops.items():
-        for k, v in args.items():
-            if op in ("$set", "$setOnInsert"):
-                doc = put(doc, k, lit(v)) if op == "$set" else doc
-            elif op == "$unset":
-                doc = without(doc, k)
-            elif op == "$inc":
-                kind = "bigint" if isinstance(v, int) else "double"
-                doc = put(doc, k, (F.coalesce(F.try_element_at(doc, F.lit(k)).cast(kind), F.lit(0).cast(kind)) + F.lit(v)).cast("string"))
-            elif op == "$push":
-                new = v["$each"] if isinstance(v, dict) and "$each" in v else [v]
-                doc = put(doc, k, whole(F.concat(items(doc, k), F.array(*map(lit, new)))))
-            elif op == "$pull":
-                doc = put(doc, k, whole(F.array_remove(items(doc, k), json.dumps(v, separators=(",", ":")))))
-            elif op == "$addToSet":
-                doc = put(doc, k, whole(F.array_union(items(doc, k), F.array(lit(v)))))
-            else:
-                raise NotImplementedError(f"unknown operator {op}")
-    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
-    text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(doc)), lambda k: F.concat(quoted(k), F.lit(":"), F.element_at(doc, k))), ","), F.lit("}"))
-    return df.withColumn(col, F.when(hit, text).otherwise(F.col(col)))
+        if op == "$setOnInsert":  # nothing is inserted here
+            continue
+        if op not in changes:
+            raise NotImplementedError(f"unknown operator {op}")
+        for path, v in args.items():  # one projection each: nested in one another they would take the analyser too long
+            out = out.withColumn("_doc", _at(F.col("_doc"), path.split("."), changes[op](v), op not in ("$unset", "$pull")))
+    return out.withColumn(col, F.when(F.col("_doc").isNotNull(), _text(F.col("_doc"))).otherwise(F.col(col))).drop("_doc")
 
 
 def rule(clauses: dict, columns: list[str] | None = None) -> Column:

@@ -218,6 +218,42 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame, reroute: b
     return keep, out
 
 
+def rewrite(nodes: DataFrame, edges: DataFrame, match: Callable, steps: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """One application of a rule to all graphs at once: `match`(nodes, edges) gives the nodes (graph, node) it applies to; then the steps
+    are taken in order, each for what was matched:
+
+    ("add", suffix, label, where): a node named after the matched one with the suffix; where: `after` or `before` links it behind or ahead, `between` puts it on all edges that leave.
+    ("delete", reroute): the matched nodes go; with reroute their predecessors are linked with their successors.
+    ("relabel", label), ("reroute", suffix): edges that lead to a matched node lead to the one with the suffix.
+    ("apply", f): f(nodes, edges, matched) -> (nodes, edges). ("replace",): a graph with a match becomes empty."""
+    n, e = nodes.select("graph", "node", "label"), edges.select("graph", "src", "dst")
+    hit = durable(match(n, e).select("graph", "node").distinct())
+    for kind, *args in steps:
+        if kind == "add":
+            suffix, label, where = args
+            new = hit.select("graph", F.col("node").alias("at"), F.concat("node", F.lit(suffix)).alias("node"))
+            n = n.unionByName(new.select("graph", "node", F.lit(label).alias("label")))
+            if where == "between":
+                moved = e.join(hit.withColumnRenamed("node", "src"), ["graph", "src"], "left_semi").select("graph", F.concat("src", F.lit(suffix)).alias("src"), "dst")
+                e = e.join(hit.withColumnRenamed("node", "src"), ["graph", "src"], "left_anti").unionByName(moved)
+            src, dst = ("at", "node") if where in ("after", "between") else ("node", "at")
+            e = e.unionByName(new.select("graph", F.col(src).alias("src"), F.col(dst).alias("dst")))
+        elif kind == "delete":
+            n, e = delete_nodes(n, e, hit, *args)
+        elif kind == "relabel":
+            n = n.join(hit.withColumn("_hit", F.lit(True)), ["graph", "node"], "left").select("graph", "node", F.when(F.col("_hit"), F.lit(args[0])).otherwise(F.col("label")).alias("label"))
+        elif kind == "reroute":
+            to = hit.select("graph", F.col("node").alias("dst"), F.concat("node", F.lit(args[0])).alias("_to"))
+            e = e.join(to, ["graph", "dst"], "left").select("graph", "src", F.coalesce("_to", "dst").alias("dst"))
+        elif kind == "apply":
+            n, e = args[0](n, e, hit)
+        elif kind == "replace":
+            n, e = (x.join(hit.select("graph").distinct(), "graph", "left_anti") for x in (n, e))
+        else:
+            raise NotImplementedError(f"unknown step {kind}")
+    return n.select("graph", "node", "label"), e.select("graph", "src", "dst")
+
+
 def fixpoint(state: tuple[DataFrame, DataFrame], rule: Callable, most: int = 16) -> tuple[DataFrame, DataFrame]:
     """Apply `rule` (nodes, edges) -> (nodes, edges) until the number of nodes and edges stays, at most `most` times."""
     size = (state[0].count(), state[1].count())

@@ -133,6 +133,35 @@ def x03(s, d):
     return p.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("items"))
 
 
+@query("X04_nested_rebuild", "SELECT event_id AS id, json_object('actor', json_object('id', user_id, 'kind', event_type), 'event', json_object('ref', json_object('id', event_id)))::VARCHAR AS data FROM events")
+def x04(s, d):
+    made = doc.nest({"actor.kind": F.col("event_type"), "actor.id": F.col("user_id"), "event.ref.id": F.col("event_id")})
+    return load(s, d, "events").select(F.col("event_id").alias("id"), made.alias("data"))
+
+
+@query("X05_nested_updates", f"SELECT event_id AS id, CASE WHEN {_K} >= 5 THEN '{{{{\"k\":' || CAST({_K} AS BIGINT) || ',\"meta\":{{{{\"by\":{{{{\"who\":\"x\"}}}},\"hits\":2,\"tags\":[\"a\",\"b\"]}}}}}}}}' ELSE props END AS data FROM events".replace("{{", "{").replace("}}", "}"))
+def x05b(s, d):
+    """Paths that are not there are made; taking something out of one that isn't there changes nothing."""
+    ops = {"$set": {"meta.by.who": "x"}, "$inc": {"meta.hits": 2}, "$push": {"meta.tags": {"$each": ["a", "b"]}}, "$unset": {"gone.away": 1}}
+    return doc.update(_events(s, d).drop("ts"), {"k": {"$gte": 5}}, ops).select("id", "data")
+
+
+@query("F10_unknown_operators", "SELECT op, NOT regexp_matches(op, '^.(eq|ne|gte?|lte?|n?in|exists|regex)$') AS refused FROM (SELECT unnest(['$eq', '$ne', '$gt', '$gte', '$lt', '$lte', '$in', '$nin', '$exists', '$regex', '$size', '$near', '$where']) AS op)")
+def f10(s, d):
+    """Which operators of a filter are refused when the query is built, before anything runs."""
+
+    def refused(op: str) -> bool:
+        v = [1] if op in ("$in", "$nin") else "x" if op == "$regex" else 1
+        try:
+            doc.find(_events(s, d), {"k": {op: v}})
+        except NotImplementedError:
+            return True
+        return False
+
+    ops = ["$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$exists", "$regex", "$size", "$near", "$where"]
+    return s.createDataFrame([(o, refused(o)) for o in ops], "op string, refused boolean")
+
+
 @query("X05_updates", f"SELECT event_id AS id, '{{\"k\":' || CAST({_K} + 10 AS BIGINT) || ',\"tag\":\"x\"}}' AS data FROM events WHERE {_K} >= 5")
 def x05(s, d):
     u = doc.update(_events(s, d).drop("ts"), {"k": {"$gte": 5}}, {"$inc": {"k": 10}, "$set": {"tag": "x"}})

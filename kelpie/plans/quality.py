@@ -156,6 +156,47 @@ _one("Q26_precision", "avg(CASE WHEN abs(round(wall_clock_s, 1) - wall_clock_s)
 _one("Q28_record_relevance", "avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END)", "evaluations", lambda: q.compliance({"clauses": [{"column": "status", "value": "success"}]}))
 
 
+_TABLES = ["customer", "orders", "events", "part", "nation"]
+
+
+@query("P13_target_guess", " UNION ALL ".join(f"SELECT '{t}' AS table_name, CASE WHEN (SELECT count(DISTINCT {c}) FROM {t}) <= 50 OR {'false' if n else 'true'} THEN '{c}' END AS target" for t, c, n in (("customer", "c_mktsegment", False), ("orders", "o_orderpriority", False), ("events", "props", False), ("part", "p_retailprice", True), ("nation", "n_regionkey", True))))
+def p13(s, d):
+    from kelpie.operators.jobs import target_of
+
+    return s.createDataFrame([(t, target_of(load(s, d, t))) for t in _TABLES], "table_name string, target string")
+
+
+@query("P14_type_map", "SELECT column_name AS \"column\", CASE WHEN regexp_matches(column_type, '^(TINYINT|SMALLINT|INTEGER|BIGINT|HUGEINT|FLOAT|DOUBLE|DECIMAL.*)$') THEN 'numeric' ELSE 'categorical' END AS kind FROM (DESCRIBE SELECT * FROM evaluations)")
+def p14(s, d):
+    return s.createDataFrame(list(q.type_map(load(s, d, "evaluations")).items()), "column string, kind string")
+
+
+def _form(c: str, kind: str) -> str:
+    if kind == "str":
+        allowed = f"(SELECT list(v ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM part ORDER BY v LIMIT 12))"
+        return f"SELECT '{c}' AS \"column\", NULL::DOUBLE[] AS range, 'str' AS expected_type, NULL::INTEGER AS decimals, {allowed} AS allowed_values, 'in' AS rule"
+    return f"SELECT '{c}', [min({c})::DOUBLE, max({c})::DOUBLE], '{kind}', 0, NULL::VARCHAR[], 'between' FROM part"
+
+
+@query("P15_form_defaults", " UNION ALL ".join(_form(c, t) for c, t in (("p_brand", "str"), ("p_type", "str"), ("p_size", "int"), ("p_retailprice", "float"))))
+def p15(s, d):
+    from kelpie.operators.jobs import form_defaults
+
+    return form_defaults(load(s, d, "part"), ["p_brand", "p_type", "p_size", "p_retailprice"]).drop("rule_values")
+
+
+_JOB = ["rows", "columns", "missing_ratio", "record_completeness", "label_completeness", "duplicate_ratio", "quality", "labelled_rows"]
+_E8 = ["pipeline_id", "dataset_id", "metric_value", "wall_clock_s", "status"]
+
+
+@query("P16_profile_job", f"WITH c AS (SELECT count(*) AS n, {' + '.join(f'count(*) - count({c})' for c in _E8)} AS miss, count(*) FILTER ({' AND '.join(f'{c} IS NOT NULL' for c in _E8)}) AS whole FROM evaluations), u AS (SELECT count(*) AS k FROM (SELECT DISTINCT {', '.join(_E8)} FROM evaluations)), m AS (SELECT n::DOUBLE AS n, miss / (n * 5) AS mr, whole / n AS rc, 1 - k / n AS dr FROM c, u) SELECT unnest(['rows', 'columns', 'missing_ratio', 'record_completeness', 'label_completeness', 'duplicate_ratio', 'quality', 'labelled_rows']) AS metric, unnest([n, 5.0, round(mr, 9), round(rc, 9), NULL, round(dr, 9), round((rc + 1 - mr + 1 - dr) / 3, 9), NULL]) AS value, unnest(['done', 'done', 'done', 'done', 'pending_input', 'done', 'done', 'pending_input']) AS status FROM m")
+def p16(s, d):
+    """No target is told, so what needs labels waits."""
+    from kelpie.operators.jobs import profile_job
+
+    return profile_job(load(s, d, "evaluations").select(*_E8), _JOB).withColumn("value", F.round("value", 9))
+
+
 @query("Q03_outlier_share", "WITH b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT avg(CASE WHEN value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) THEN 1.0 ELSE 0.0 END) AS value FROM events, b")
 def q03(s, d):
     return q.outlier_share(load(s, d, "events"), "value")

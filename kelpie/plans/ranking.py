@@ -216,7 +216,7 @@ def m22d(s, d):
     return k.rank_by(_pool(s, d), "lexicographic", "pipeline_id", _OBJ).select("pipeline_id", "place")
 
 
-@query("M22_jensen")
+@query("M22_jensen", _JS + " SELECT pipeline_id, CAST(row_number() OVER (ORDER BY fitness DESC, pipeline_id) AS INTEGER) AS place FROM js")
 def m22e(s, d):
     return k.rank_by(_pool(s, d), "jensen", "pipeline_id", _OBJ).select("pipeline_id", "place")
 
@@ -274,9 +274,20 @@ def m18(s, d):
     return k.user_objective(_pool(s, d), _score, ["acc", "rec"]).select("pipeline_id", F.round("score", 9).alias("score"))
 
 
-@query("M19_objective_registry", "SELECT * FROM (VALUES ('general_performance', 'active'), ('similar_data', 'active'), ('unseen', 'degraded'), ('preference', 'active'), ('faster', 'active'), ('atomic_changes', 'active')) t(objective, status)")
+_NEEDS = " UNION ALL ".join(f"SELECT '{o}' AS objective, [{', '.join(repr(t) for t in sorted(needs))}] AS needs" for o, needs in k.OBJECTIVES.items())
+
+
+@query("M19_objective_registry", f"SELECT objective, CASE WHEN list_has_all((SELECT list(view_name) FROM duckdb_views()), needs) THEN 'active' ELSE 'degraded' END AS status FROM ({_NEEDS})")
 def m19(s, d):
-    return s.createDataFrame(list(k.objective_status({"evaluations", "datasets", "pipelines", "interactions"}).items()), "objective string, status string")
+    """Objectives by the tables that are there."""
+    jvm = s._jvm.org.apache.hadoop.fs
+
+    def there(t: str) -> bool:
+        path = jvm.Path(f"{d}/{t}.parquet")
+        return path.getFileSystem(s._jsc.hadoopConfiguration()).exists(path)
+
+    tables = {t for needs in k.OBJECTIVES.values() for t in needs if there(t)}
+    return s.createDataFrame(list(k.objective_status(tables).items()), "objective string, status string")
 
 
 @query("M24_masked_operators", f"WITH {rel._OPS}, bad AS (SELECT unnest(ops) AS op FROM o GROUP BY 1 HAVING count(*) >= 100) SELECT id FROM o WHERE ops IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT o2.id AS i, unnest(o2.ops) AS op FROM o o2) x JOIN bad USING (op) WHERE x.i = o.id)")
@@ -311,7 +322,18 @@ def pipeline_graphs(s, d) -> tuple[DataFrame, DataFrame]:
 _TOP = "top AS (SELECT lower(trim(id)) AS id, dag FROM pipelines WHERE json_valid(dag) AND json_type(dag, '$.nodes') = 'OBJECT' QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY created_at DESC NULLS LAST, dag DESC) = 1)"
 
 
-@query("M27_levels")
+_STEPS = corpus._N + """,
+  nn AS MATERIALIZED (SELECT DISTINCT oid AS graph, string_split(spot, '/')[-1] AS node FROM n WHERE spot IS NOT NULL),
+  ee AS MATERIALIZED (SELECT oid AS graph, %s AS src, %s AS dst FROM ed WHERE spot IS NOT NULL),
+  st AS MATERIALIZED (SELECT DISTINCT graph, src, dst FROM ee WHERE (graph, src) IN (SELECT graph, node FROM nn) AND (graph, dst) IN (SELECT graph, node FROM nn)),
+  clos AS (SELECT graph, src, dst FROM st UNION SELECT c.graph, c.src, st.dst FROM clos c JOIN st ON c.graph = st.graph AND c.dst = st.src),
+  cyc AS (SELECT graph, src AS node FROM clos WHERE src = dst UNION SELECT graph, dst FROM clos WHERE (graph, src) IN (SELECT graph, src FROM clos WHERE src = dst)),
+  lv AS (
+    SELECT graph, node, 0 AS level FROM nn WHERE (graph, node) NOT IN (SELECT graph, dst FROM st)
+    UNION SELECT st.graph, st.dst, level + 1 FROM lv JOIN st ON lv.graph = st.graph AND lv.node = st.src WHERE (st.graph, st.dst) NOT IN (SELECT graph, node FROM cyc))""" % tuple(corpus._string(corpus._field(*x)) for x in (("v", "source", "src"), ("v", "destination", "dst", "target")))
+
+
+@query("M27_levels", _STEPS + " SELECT nn.graph, max(level) AS depth, count(DISTINCT nn.node) FILTER ((nn.graph, nn.node) IN (SELECT graph, node FROM cyc)) AS cyclic_nodes FROM nn LEFT JOIN lv ON lv.graph = nn.graph AND lv.node = nn.node GROUP BY 1")
 def m27(s, d):
     """The longest path to every node of every pipeline, and how many nodes lie on a cycle."""
     n, e = pipeline_graphs(s, d)
@@ -402,6 +424,21 @@ def m30(s, d):
     return n2.groupBy("graph").agg(F.count(F.lit(1)).alias("nodes")).join(e2.groupBy("graph").agg(F.count(F.lit(1)).alias("edges")), "graph", "left")
 
 
+@query("M30_rewrite_steps", """WITH n AS (SELECT l_orderkey AS graph, l_linenumber AS i, any_value(l_returnflag) AS label FROM lineitem GROUP BY ALL), e AS (SELECT a.graph, a.i AS src, b.i AS dst, a.label AS sl, b.label AS dl FROM n a JOIN n b ON a.graph = b.graph AND b.i = a.i + 1),
+  keep AS (SELECT graph, CASE WHEN sl = 'R' THEN src || '+check' ELSE src || '' END AS src, dst || '' AS dst FROM e WHERE sl <> 'A' AND dl <> 'A' UNION SELECT a.graph, CASE WHEN a.sl = 'R' THEN a.src || '+check' ELSE a.src || '' END, b.dst || '' FROM e a JOIN e b ON a.graph = b.graph AND a.dst = b.src WHERE a.dl = 'A' AND a.sl <> 'A' AND b.dl <> 'A'
+    UNION SELECT graph, i || '', i || '+check' FROM n WHERE label = 'R'),
+  nn AS (SELECT graph, count(*) FILTER (label <> 'A') + count(*) FILTER (label = 'R') AS nodes FROM n GROUP BY 1), ee AS (SELECT graph, count(*) AS edges, count(*) FILTER (contains(src, '+')) AS moved FROM keep GROUP BY 1)
+  SELECT graph, nodes, edges, moved FROM nn LEFT JOIN ee USING (graph) WHERE nodes > 0""")
+def m30b(s, d):
+    """An order's lines as a chain: returned lines get a check behind them, then accepted lines are taken out and their neighbours linked."""
+    li = load(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("graph"), "l_linenumber").agg(F.first("l_returnflag").alias("label"))
+    n = durable(li.select("graph", F.col("l_linenumber").cast("string").alias("node"), "label", "l_linenumber"))
+    e = n.select("graph", F.col("node").alias("src"), (F.col("l_linenumber") + 1).alias("_next")).join(n.select("graph", F.col("l_linenumber").alias("_next"), F.col("node").alias("dst")), ["graph", "_next"])
+    n2, e2 = g.rewrite(n, e, lambda a, b: a.where("label = 'R'"), [("add", "+check", "check", "between")])
+    n3, e3 = g.rewrite(n2, e2, lambda a, b: a.where("label = 'A'"), [("delete", True)])
+    return n3.groupBy("graph").agg(F.count(F.lit(1)).alias("nodes")).join(e3.groupBy("graph").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("src").contains("+")).alias("moved")), "graph", "left")
+
+
 @query("M31_delete_and_reroute", "WITH e AS (SELECT DISTINCT l_orderkey AS graph, l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT graph, src, dst FROM e WHERE dst % 10 <> 0")
 def m31(s, d):
     li = load(s, d, "lineitem").select(F.col("l_orderkey").alias("graph"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
@@ -475,7 +512,15 @@ def m40(s, d):
     return rel.pipes(s, d).select("id", F.round(k.simplicity(n), 9).alias("simplicity"), F.round(k.parametrisation(F.lit(3), n), 9).alias("parametrisation"))
 
 
-@query("X13_class_hash")
+_HASH = corpus._N + """,
+  nn AS MATERIALIZED (SELECT oid AS graph, string_split(spot, '/')[-1] AS node, coalesce(%s, %s, '?') AS label, coalesce(%s, '') AS value FROM n WHERE spot IS NOT NULL),
+  ee AS (SELECT oid AS graph, %s AS src, %s AS dst FROM ed WHERE spot IS NOT NULL),
+  ns AS (SELECT graph, string_agg(label, ',' ORDER BY label) AS c, string_agg(label || '=' || value, ',' ORDER BY label || '=' || value) AS i FROM nn GROUP BY 1),
+  es AS (SELECT ee.graph, string_agg(a.label || '>' || b.label, ',' ORDER BY a.label || '>' || b.label) AS e FROM ee JOIN nn a ON a.graph = ee.graph AND a.node = ee.src JOIN nn b ON b.graph = ee.graph AND b.node = ee.dst GROUP BY 1)
+  SELECT 'class' AS kind, count(*) AS pipelines, count(DISTINCT c || ';' || coalesce(e, '')) AS hashes FROM ns LEFT JOIN es USING (graph) UNION ALL SELECT 'instance', count(*), count(DISTINCT i || ';' || coalesce(e, '')) FROM ns LEFT JOIN es USING (graph)""" % tuple(corpus._string(corpus._field(*x)) for x in (("v", "name"), ("v", "class_type", "type"), ("v", "value"), ("v", "source", "src"), ("v", "destination", "dst", "target")))
+
+
+@query("X13_class_hash", _HASH)
 def x13(s, d):
     """How many pipelines share a class hash and how many an instance hash."""
     n, e = pipeline_graphs(s, d)
@@ -483,14 +528,16 @@ def x13(s, d):
     return one.unionByName(g.class_hash(n, e, "value").agg(F.lit("instance").alias("kind"), F.count(F.lit(1)).alias("pipelines"), F.count_distinct("hash").alias("hashes")))
 
 
-@query("X14_instance_hash", "WITH n AS (SELECT l_orderkey AS graph, string_agg(p_brand || '=' || l_quantity::BIGINT, ',' ORDER BY p_brand || '=' || l_quantity::BIGINT) AS ns FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT graph, sha256(ns || ';') AS hash FROM n")
+@query("X14_instance_hash", "WITH n AS (SELECT l_orderkey AS graph, l_linenumber AS i, p_brand AS b, p_brand || '=' || l_quantity::BIGINT AS v FROM lineitem JOIN part ON l_partkey = p_partkey), ns AS (SELECT graph, string_agg(v, ',' ORDER BY v) AS ns FROM n GROUP BY 1), es AS (SELECT x.graph, string_agg(x.b || '>' || y.b, ',' ORDER BY x.b || '>' || y.b) AS es FROM n x JOIN n y ON x.graph = y.graph AND y.i = x.i + 1 GROUP BY 1) SELECT graph, sha256(ns || ';' || coalesce(es, '')) AS hash FROM ns LEFT JOIN es USING (graph)")
 def x14(s, d):
+    """An order's lines as a chain of parts, with their quantities."""
     li = load(s, d, "lineitem").join(load(s, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     n = li.select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").cast("string").alias("node"), F.col("p_brand").alias("label"), F.col("l_quantity").cast("bigint").cast("string").alias("v"))
-    return g.class_hash(n, n.select("graph", F.col("node").alias("src"), F.col("node").alias("dst")).limit(0), "v")
+    e = n.select("graph", F.col("node").alias("src"), (F.col("node").cast("int") + 1).cast("string").alias("dst")).distinct()
+    return g.class_hash(n, e, "v")
 
 
-@query("X20_expected_improvement")
+@query("X20_expected_improvement", "WITH m AS (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY 1), z AS (SELECT *, (mu - 50) / sd AS z FROM m), p AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z), c AS (SELECT *, 0.5 * (1 + sign(z) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2))) AS phi FROM p) SELECT event_type, (mu - 50) * phi + sd * exp(-z * z / 2) / sqrt(2 * pi()) AS ei FROM c")
 def x20(s, d):
     m_ = load(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma"))
     return m_.select("event_type", k.expected_improvement(F.col("mu"), F.col("sigma"), F.lit(50.0)).alias("ei"))

@@ -115,10 +115,43 @@ def z14(s, d):
     return ops.shadow(a, b, ["event_id"])
 
 
-@query("Z15_hysteresis", "SELECT * FROM (VALUES (0, false), (1, false), (2, true), (3, true), (4, true), (5, false), (6, false)) t(step, paused)")
+@query("Z15_hysteresis", "WITH q AS (SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS depth FROM events GROUP BY ALL), b AS (SELECT CAST(ceil(avg(depth)) AS BIGINT) AS hi FROM q) SELECT event_type, day, depth, coalesce(last_value(CASE WHEN depth >= hi + 5 THEN true WHEN depth <= hi - 5 THEN false END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day), false) AS paused FROM q, b")
 def z15(s, d):
-    flags = ops.hysteresis([1, 5, 9, 6, 4, 2, 7], 8, 3)
-    return s.createDataFrame(list(enumerate(flags)), "step int, paused boolean")
+    """Daily events of a type as the depth of its queue, paused above and resumed below the mean by five."""
+    q = load(s, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("depth"))
+    hi = q.agg(F.ceil(F.avg("depth"))).first()[0] or 0
+    return ops.paused(q, ["event_type"], ["day"], "depth", hi + 5, hi - 5)
+
+
+@query("Z01_drop_oldest", "SELECT event_id FROM events WHERE event_type IN ('view', 'click') ORDER BY ts DESC, event_id DESC LIMIT 300")
+def z01b(s, d):
+    """The background lane holds 300 events; it is fed in three batches."""
+    e = load(s, d, "events")
+    folder = ops.in_parts([e.where(F.col("event_id") % 3 == i) for i in range(3)])
+    _, low = ops.lanes(ops.source(s, folder, _SCHEMA, per_trigger=1), ["view", "click"])
+    return s.read.parquet(ops.drop_oldest(low.select("event_id", "ts"), ["ts", "event_id"], 300)).select("event_id")
+
+
+@query("Z09_worker_pools", "WITH w AS (SELECT event_type, CAST(least(8, greatest(1, ceil(count(*) / 700.0))) AS INTEGER) AS workers FROM events GROUP BY 1) SELECT event_type, workers, CAST(event_id % workers AS INTEGER) AS worker, count(*) AS n FROM events JOIN w USING (event_type) GROUP BY ALL")
+def z09(s, d):
+    return ops.pools(load(s, d, "events"), "event_type", "event_id", 700).groupBy("event_type", "workers", "worker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("Z10_retention", "WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM l WHERE t >= (SELECT max(t) FROM l) - INTERVAL 1 DAY)")
+def z10(s, d):
+    """Users idle for over a day before the newest event are let go."""
+    return ops.retained(load(s, d, "events"), "user_id", "ts", "1 DAY").select("event_id")
+
+
+@query("Z12_late_data", "WITH m AS (SELECT date_trunc('day', max(ts)) AS t, date_trunc('day', min(ts)) AS f FROM events) SELECT date_trunc('day', ts) AS start, count(*) + CASE WHEN date_trunc('day', ts) = any_value(m.t) THEN count(*) ELSE 0 END AS n FROM events, m GROUP BY 1")
+def z12(s, d):
+    """Three batches: all events; those of the last day again, in time; those of the first day again, behind the watermark of a day, which are dropped."""
+    e = load(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    day = F.date_trunc("day", "ts")
+    first, last = e.agg(F.min(day), F.max(day)).first()
+    folder = ops.in_parts([e, e.where(day == F.lit(last)), e.where(day == F.lit(first))])
+    w = ops.source(s, folder, _SCHEMA, "ts", "1 day", per_trigger=1).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+    return _naive(ops.result(w, ["start"], "update"), "start")
 
 
 QUERIES = Q

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,6 +49,49 @@ def lanes(stream: DataFrame, background: list[str], kind: str = "event_type") ->
     return stream.where(~low), stream.where(low)
 
 
+def drop_oldest(stream: DataFrame, order: list[str], size: int) -> str:
+    """A bounded lane: the path of what it holds at the end, the newest `size` rows by `order`; on overflow the oldest are dropped.
+
+    What the lane holds is kept from batch to batch, each batch's state under its own number, so a replayed batch replaces its own."""
+    spark, root = stream.sparkSession, scratch(stream.sparkSession)
+    last: dict[str, str] = {}
+
+    def each(batch: DataFrame, n: int) -> None:
+        held = spark.read.parquet(last["path"]).unionByName(batch) if n > 0 and "path" in last else batch
+        held.orderBy(*[F.desc(c) for c in order]).limit(size).write.mode("overwrite").parquet(f"{root}/{n}")
+        last["path"] = f"{root}/{n}"
+
+    stream.writeStream.option("checkpointLocation", scratch(spark)).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    if "path" not in last:
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{root}/0")
+    return last.get("path", f"{root}/0")
+
+
+def pools(df: DataFrame, kind: str, key: str, per_worker: int, most: int = 8) -> DataFrame:
+    """Df with `workers`, how many its type has (1 to `most`, one for every `per_worker` rows begun), and `worker`, the one that takes the row.
+
+    Types are joined back by their counts; one type's load is spread over its workers by the key."""
+    n = df.groupBy(F.col(kind).alias("_kind")).agg(F.count(F.lit(1)).alias("_n"))
+    workers = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.col("_n") / per_worker))).cast("int")
+    return df.join(n.select("_kind", workers.alias("workers")), F.col(kind).eqNullSafe(F.col("_kind"))).drop("_kind").withColumn("worker", F.pmod(F.col(key), F.col("workers")).cast("int"))
+
+
+def retained(df: DataFrame, key: str, time: str, idle: str) -> DataFrame:
+    """Rows of the keys whose newest row is no older than `idle` before the newest of all; null times don't count."""
+    last = df.groupBy(F.col(key).alias("_key")).agg(F.max(time).alias("_last"))
+    mark = last.agg(F.max("_last").alias("_mark"))
+    live = last.crossJoin(F.broadcast(mark)).where(F.col("_last") >= F.col("_mark") - F.expr(f"INTERVAL {idle}")).select("_key")  # one row
+    return df.join(live, F.col(key) == F.col("_key"), "left_semi")
+
+
+def in_parts(parts: list[DataFrame]) -> str:
+    """A folder that got its files one part after the other, so that a stream with one file a trigger sees them in that order."""
+    out = scratch(parts[0].sparkSession)
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
 def suppress(stream: DataFrame, kinds: list[str], generated, kind: str = "event_type") -> DataFrame:
     """High-frequency events of generated sessions are left out."""
     return stream.where(~(F.col(kind).isin(*kinds) & generated))
@@ -142,6 +185,13 @@ def node_states(stream: DataFrame, key: str, time: str, status: str) -> DataFram
     return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, state string, refused int", "state string, refused int", "update", GroupStateTimeout.NoTimeout)
 
 
+def paused(df: DataFrame, series: list[str], order: list[str], depth: str, high: int, low: int) -> DataFrame:
+    """Df with `paused`: from a depth of `high` until one of `low`, within each series; the last depth that says either way counts."""
+    said = F.when(F.col(depth) >= high, F.lit(True)).when(F.col(depth) <= low, F.lit(False))
+    w = Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("paused", F.coalesce(F.last(said, ignorenulls=True).over(w), F.lit(False)))
+
+
 def hysteresis(depths: list[int], high: int, low: int) -> list[bool]:
     """Paused from a depth of `high` until one of `low`."""
     out, paused = [], False
