@@ -83,7 +83,7 @@ def p8_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading_level(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "reading_labels"))
+    return reading_level(load(spark, d, "documents").select("doc_id", "text", "lang"), load(spark, d, "reading_labels"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """Reading level of English prose: a linear pairwise ranker over syntax and vocabulary features, calibrated by isotonic regression.
 
-The English sentences of a document are taken out of what surrounds them (code, logs, tracebacks, tables, headings, text in
-other languages). From a bounded sample of rated documents the ranker learns weights such that of two documents the one with
-the higher rating scores higher; scores of held-out folds against ratings give, by isotonic regression, the cuts between
-levels. Every document is then scored by one pass over the whole table."""
+What English prose is, is learned from the rated documents: words that many of them have, and that texts marked as another
+language lack, mark a sentence as English. The English sentences of a document are taken out of what surrounds them (code,
+logs, tracebacks, tables, headings, text in other languages). From a bounded sample of rated documents the ranker learns
+weights such that of two documents the one with the higher rating scores higher; scores of held-out folds against ratings
+give, by isotonic regression, the cuts between levels. Executors parse the sample and count its terms; the driver gets the
+known terms' counts only. Every document is then scored by one pass over the whole table.
+
+Bounds of the fit, all parameters of `train`: `train_rows` rated documents (and as many in other languages), `terms` words
+and word pairs, `pairs` drawn pairs, `steps` of the optimiser. They bound what is learned from, not what is scored."""
 
 from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: English function words, by which a line of English is told.
+from kelpie.sources.tables import durable
+
+#: English function words: of a pair of words that is a term one is among these; they also tell English where fewer than
+#: `_FEW` rated documents are there to learn it from.
 FUNCTION_WORDS = frozenset("a about after all although an and any are as at be because been before both but by can could did do does each either every for from had has have he her his how i if in into is it its may might more most must near neither no nor not of on one or our out over shall she should since so some than that the their them then there these they this those though through to under unless until up was we were what when where whereas which while who whose will with would you your".split())
 #: Words that open subordinate clauses, and forms of "be".
 SUBORDINATE = frozenset("after although as because before if insofar inasmuch lest notwithstanding provided since that though unless until whereas whereby wherever whether which while who whom whose".split())
@@ -41,9 +48,9 @@ _STOP = re.compile(r"[.!?;…]+(?=\s|$)")
 Sentence = tuple[str, list[str]]  # its text, and its words in lower case without dotted names
 
 
-def parse(text: str | None, least: float = 0.2) -> tuple[list[Sentence], int, float]:
-    """The English sentences of a text, how many words they have, and their share of the words outside of code and logs (an
-    ideograph counts as half a word). One pass; the rarer patterns are tried only where a character of theirs occurs."""
+def parse(text: str | None, least: float = 0.2, marks: frozenset[str] = FUNCTION_WORDS) -> tuple[list[Sentence], int, float]:
+    """The English sentences of a text (of whose words at least the share `least` is among `marks`), how many words they have, and
+    their share of the words outside of code and logs (an ideograph counts as half a word). One pass; the rarer patterns are tried only where a character of theirs occurs."""
     if not text:
         return [], 0, 0.0
     if "```" in text or "~~~" in text:
@@ -65,7 +72,7 @@ def parse(text: str | None, least: float = 0.2) -> tuple[list[Sentence], int, fl
                 continue
             plain = (_DOTTED.sub(" ", part) if "." in part else part).lower()
             found = (_PLAIN if plain.isascii() else _WORD).findall(plain)
-            known = len([w for w in found if w in FUNCTION_WORDS])
+            known = len([w for w in found if w in marks])
             if known and known >= least * len(found):
                 out.append((part, found))
                 words += n
@@ -78,6 +85,22 @@ def english(text: str | None, least: float = 0.2) -> tuple[list[str], int]:
     return [s for s, _ in sentences], words
 
 
+def line_words(text: str | None) -> set[str]:
+    """The words of a text outside of code and logs, in lower case."""
+    out: set[str] = set()
+    if not text:
+        return out
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", text)
+    for line in text.replace("\r", "\n").split("\n"):
+        if line and not _LOG.match(line):
+            line = (_DOTTED.sub(" ", _LINK.sub(" ", line)) if "." in line else line).lower()
+            out.update((_PLAIN if line.isascii() else _WORD).findall(line))
+    return out
+
+
 def _opens(a: str, b: str) -> bool:
     return a in FUNCTION_WORDS or b in FUNCTION_WORDS or a in SUBORDINATE
 
@@ -126,6 +149,7 @@ class Model:
     weight: np.ndarray
     cuts: np.ndarray
     levels: np.ndarray
+    marks: frozenset[str] = FUNCTION_WORDS
 
     def known(self, sentences: list[Sentence]) -> tuple[list[int], int]:
         """The features of the terms that are known, one entry per occurrence, and the number of words."""
@@ -136,14 +160,8 @@ class Model:
             at += [i for x in zip(w, w[1:]) if (i := get(x)) is not None]
         return at, max(1, total)
 
-    def raw(self, sentences: list[Sentence]) -> np.ndarray:
-        at, total = self.known(sentences)
-        x = np.bincount(at, minlength=_SYNTAX + len(self.vocabulary)).astype(np.float32) / total if at else np.zeros(_SYNTAX + len(self.vocabulary), np.float32)
-        x[:_SYNTAX] = syntax(sentences)
-        return x
-
     def score_one(self, sentences: list[Sentence]) -> float:
-        """As score(raw(..)), over the terms that occur only."""
+        """As score(..) of the features, over the terms that occur only."""
         if not hasattr(self, "_pull"):
             self._pull = self.weight / self.scale
             self._base = float(-(self.mean * self._pull).sum())
@@ -215,19 +233,12 @@ def _spread(x: np.ndarray, mean: np.ndarray, block: int = 1024) -> np.ndarray:
     return np.sqrt(total / max(1, len(x)))
 
 
-def learn(texts: list[list[Sentence]], ratings: np.ndarray, seed: int = 11, words: int = 900, folds: int = 4) -> Model:
-    """A model from the English sentences of rated documents. Ratings of one document are averaged beforehand.
+def learn(x: np.ndarray, ratings: np.ndarray, words: list, seed: int = 11, folds: int = 4, pairs: int = 50_000, steps: int = 150) -> Model:
+    """A model from the features of rated documents: syntax, then the counts of `words` per word. Ratings of one document are averaged beforehand.
 
-    Without ratings of two different levels the model knows one level only (1 without any)."""
+    Without ratings of two different levels the model knows one level only (1 without any). x is scaled in place."""
     levels = np.unique(np.round(ratings).astype(int)) if len(ratings) else np.array([1])
-    seen: Counter = Counter()
-    for t in texts:
-        seen.update(terms(t).keys())
-    kept = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], str(x[0]))) if n >= max(3, len(texts) // 400)][:words]
-    model = Model({w: _SYNTAX + i for i, w in enumerate(kept)}, np.zeros(1), np.ones(1), np.zeros(1), np.array([]), levels)
-    x = np.empty((len(texts), _SYNTAX + len(kept)), np.float32)
-    for i, t in enumerate(texts):
-        x[i] = model.raw(t)
+    model = Model({w: _SYNTAX + i for i, w in enumerate(words)}, np.zeros(1), np.ones(1), np.zeros(1), np.array([]), levels)
     model.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
     model.scale = np.maximum(_spread(x, model.mean), 1e-6) if len(x) else np.ones(x.shape[1])
     rare = model.scale[_SYNTAX:]
@@ -235,7 +246,7 @@ def learn(texts: list[list[Sentence]], ratings: np.ndarray, seed: int = 11, word
     model.weight = np.zeros(x.shape[1])
     if len(levels) < 2:
         return model
-    z = x  # the one large array, scaled in place
+    z = x  # the one large array
     z -= model.mean
     z /= model.scale
     part = np.random.default_rng(seed).integers(0, folds, len(z))
@@ -243,8 +254,8 @@ def learn(texts: list[list[Sentence]], ratings: np.ndarray, seed: int = 11, word
     for f in range(folds):
         out = part == f
         if out.any() and not out.all():
-            held[out] = z[out] @ rank_weights(z[~out], ratings[~out], seed)
-    model.weight = rank_weights(z, ratings, seed)
+            held[out] = z[out] @ rank_weights(z[~out], ratings[~out], seed, pairs, steps)
+    model.weight = rank_weights(z, ratings, seed, pairs, steps)
     # A fold's scores are brought to the scale of the whole model's before they calibrate it.
     own = z @ model.weight
     for f in range(folds):
@@ -261,28 +272,95 @@ def ratings_of(labels: DataFrame) -> DataFrame:
     return ok.groupBy("doc_id").agg(F.avg("level").alias("rating"))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: int = 60) -> Model:
-    """A model from at most about `train_rows` rated documents (chosen by hash), the bound of what comes to the driver."""
+_FEW = 50
+
+
+def _sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """About `most` of n rows, by a hash of doc_id; all if there are fewer."""
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
+
+
+def marking_words(texts: DataFrame, share: float = 0.1, contrast: float = 3.0) -> frozenset[str]:
+    """Words that at least the share `share` of the rated texts has, and `contrast` times as often as those in other languages.
+
+    texts: text, rating (null: in another language), a bounded sample. By their share such words are few: at most ten times
+    the words of an average text. Under `_FEW` rated texts the fixed function words are taken instead."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = [0, 0], (Counter(), Counter())
+        for b in batches:
+            for t, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n[r is None] += 1
+                seen[r is None].update(line_words(t))
+        words = [("", k, n[k]) for k in (0, 1)] + [(w, k, c) for k in (0, 1) for w, c in seen[k].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in words]), pa.array([x[1] for x in words], pa.int32()), pa.array([x[2] for x in words], pa.int64())], ["word", "other", "n"])
+
+    each = durable(texts.select("text", "rating").mapInArrow(count, "word string, other int, n bigint").groupBy("word").agg(F.sum(F.when(F.col("other") == 0, F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("other") == 1, F.col("n")).otherwise(0)).alias("o")))
+    got = each.where("word = ''").first()
+    n_e, n_o = (got.e, got.o) if got else (0, 0)
+    if n_e < _FEW:
+        return FUNCTION_WORDS
+    found = each.where((F.col("word") != "") & (F.col("e") >= share * n_e) & (F.col("e") / n_e >= contrast * F.col("o") / max(n_o, 1)))
+    return frozenset(r.word for r in found.select("word").collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: int = 60, terms_kept: int = 900, pairs: int = 50_000, steps: int = 150) -> Model:
+    """A model from at most about `train_rows` rated documents, and the words of as many in other languages (both chosen by hash)."""
     rated = ratings_of(labels)
-    n = rated.count()
-    some = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, train_rows / max(n, 1)) * (1 << 30)))
+    some = _sampled(rated, rated.count(), train_rows)
+    lang = F.lower(F.trim("lang")) if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", lang.alias("lang"))
+    foreign = F.col("lang").rlike("^[a-z]{2}") & ~F.col("lang").rlike("^(en|un|no)")  # a language is told, and it isn't English
+    n_foreign = rows.where(foreign).count() if "lang" in docs.columns else 0
+    chance = int(min(1.0, train_rows / max(n_foreign, 1)) * (1 << 30))
+    rows = rows.join(F.broadcast(some), "doc_id", "left")  # `some` is bounded by train_rows
+    rows = durable(rows.where(F.col("rating").isNotNull() | (foreign & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance))).select("doc_id", "text", "rating"))
+    marks = marking_words(rows)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [parse(t) for t in b.column(1).to_pylist()]
-            keep = [i for i, (_, w, _) in enumerate(got) if w >= least]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(["\n".join(s for s, _ in got[i][0]) for i in keep], pa.string()), b.column(2).take(pa.array(keep, pa.int64()))], ["doc_id", "sentences", "rating"])
+            keep, feats, names, counts, size = [], [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                sentences, words, _ = parse(t, marks=marks)
+                if words >= least:
+                    keep.append(i)
+                    feats.append(syntax(sentences))
+                    got = terms(sentences)
+                    names.append([w if isinstance(w, str) else " ".join(w) for w in got])
+                    counts.append(list(got.values()))
+                    size.append(max(1, sum(len(w) for _, w in sentences)))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(feats, pa.list_(pa.float64())), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(size, pa.int32())], ["doc_id", "rating", "syntax", "terms", "counts", "size"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # `some` is bounded by train_rows
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.select("doc_id", "text", "rating").mapInArrow(clean, f"doc_id {kind}, sentences string, rating double").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable") if got.num_rows else np.array([], int)
-    texts, y = got.column("sentences").to_pylist(), got.column("rating").to_numpy()
-    del got, rows
-    # Words are interned: most occur in every text, and the driver holds all of the sample's.
-    parsed = [[(s, [sys.intern(w) for w in words]) for s, words in parse(texts[i])[0]] for i in order]
-    del texts
-    return learn(parsed, y[order] if len(y) else np.array([]))
+    read = durable(rows.where("rating is not null").mapInArrow(clean, f"doc_id {kind}, rating double, syntax array<double>, terms array<string>, counts array<int>, size int"))
+    n = read.count()
+    often = read.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(3, n // 400))
+    kept = [r.t for r in often.orderBy(F.desc("n"), "t").limit(terms_kept).collect()]
+    place = {w: i for i, w in enumerate(kept)}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, part = [], []
+            for names, counts, size in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                known = [(i, c / size) for w, c in zip(names, counts) if (i := place.get(w)) is not None]
+                at.append([i for i, _ in known])
+                part.append([c for _, c in known])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(part, pa.list_(pa.float32()))], ["doc_id", "rating", "syntax", "at", "part"])
+
+    got = read.mapInArrow(encode, f"doc_id {kind}, rating double, syntax array<double>, at array<int>, part array<float>").toArrow().combine_chunks()
+    x = np.zeros((got.num_rows, _SYNTAX + len(kept)), np.float32)
+    y = np.zeros(0)
+    if got.num_rows:
+        got = got.sort_by("doc_id")  # one order, whatever the partitions
+        flat = lambda c: got.column(c).combine_chunks()
+        x[:, :_SYNTAX] = flat("syntax").flatten().to_numpy().reshape(-1, _SYNTAX)
+        x[np.repeat(np.arange(len(x)), flat("at").value_lengths().to_numpy()), _SYNTAX + flat("at").flatten().to_numpy()] = flat("part").flatten().to_numpy()
+        y = flat("rating").to_numpy()
+    del got
+    model = learn(x, y, [tuple(w.split(" ")) if " " in w else w for w in kept], pairs=pairs, steps=steps)
+    model.marks = marks
+    return model
 
 
 def reading_level(docs: DataFrame, labels: DataFrame, least: int = 60, prose: float = 0.5) -> DataFrame:
@@ -290,7 +368,7 @@ def reading_level(docs: DataFrame, labels: DataFrame, least: int = 60, prose: fl
 
     The main content is English if English sentences hold at least the share `prose` of the words outside of code and logs.
     Null, empty and blank texts, other languages, code and logs have no level. A document id that occurs twice is levelled
-    twice. Extra columns are ignored; without labels every document has level 1; an empty table gives an empty result."""
+    twice. A column `lang`, if there is one, only tells which texts are surely not English, for learning what is. Other columns are ignored; without labels every document has level 1; an empty table gives an empty result."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, least=least))  # about 1,000 terms and weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +378,7 @@ def reading_level(docs: DataFrame, labels: DataFrame, least: int = 60, prose: fl
                 b = whole.slice(lo, 1024)
                 keep, score, count = [], [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
-                    sentences, words, share = parse(t)
+                    sentences, words, share = parse(t, marks=m.marks)
                     if words >= least and share >= prose:
                         keep.append(i)
                         score.append(m.score_one(sentences))

@@ -270,6 +270,15 @@ def test_levels_of_held_out_documents(spark):
     assert reading.reading_level(d.limit(0), lab).count() == 0
 
 
+def test_marking_words_are_learned_from_rated_texts(spark):
+    english = [(f"The box {w} is big and the key is in it.", 2.0) for w in ("one", "two", "six") * 40]
+    other = [("Das Modell ist gut in der box und die Tabelle ist leer.", None)] * 60 + [(None, None), ("", 1.0)]
+    df = spark.createDataFrame(english + other, "text string, rating double")
+    got = reading.marking_words(df)
+    assert {"the", "is", "and", "big", "key"} <= got and not {"box", "in", "der", "ist"} & got
+    assert reading.marking_words(df.limit(3)) == reading.marking_words(df.limit(0)) == reading.FUNCTION_WORDS
+
+
 def test_isotonic_pools_violators():
     at, value = reading.isotonic(np.array([1.0, 2.0, 3.0, 4.0]), np.array([1.0, 3.0, 2.0, 4.0]))
     assert at.tolist() == [1.0, 2.0, 4.0] and value.tolist() == [1.0, 2.5, 4.0]
