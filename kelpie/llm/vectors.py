@@ -89,40 +89,71 @@ class Graph:
             at.append(int(far.argmax()))
         return Graph(c, links, np.array(sorted(set(at)), np.int32))
 
-    def search(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the nearest `want` centroids found, nearest first: (numbers, distances); -1 where there are fewer."""
-        c, pool = self.centroids, min(len(self.centroids), max(2 * want, 48))
-        norm, qn = (c**2).sum(1), (q**2).sum(1)[:, None]
+    def search(self, q: np.ndarray, want: int, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the nearest `want` centroids found, nearest first: (numbers, distances); -1 where there are fewer.
+
+        All queries of a block walk the graph together: each round they open their `width` nearest centroids that are not
+        opened yet, until the pool of the nearest holds opened ones only."""
+        k, block = len(self.centroids), max(16, min(1024, (1 << 24) // len(self.centroids)))
+        parts = [self._walk(q[lo : lo + block].astype(np.float32), min(want, k), width) for lo in range(0, len(q), block)]
+        ids, dist = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, min(want, k)), np.int32), np.zeros((0, min(want, k))))
+        return ids, dist
+
+    def _walk(self, q: np.ndarray, want: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        c = self.centroids.astype(np.float32)
+        norm, qn = (c * c).sum(1), (q * q).sum(1)[:, None]
+        pool = min(len(c), max(want + 16, 48))
+        row = np.arange(len(q))[:, None]
+        seen = np.zeros((len(q), len(c)), bool)  # one for the block, which is cut so that this stays small
+        seen[:, self.entries] = True
         ids = np.repeat(self.entries[None], len(q), 0)
         dist = qn + norm[self.entries][None] - 2 * q @ c[self.entries].T
-        done = np.zeros(ids.shape, bool)
-        width, row = 4, np.arange(len(q))[:, None]
-        for _ in range(4 + len(c)):
-            order = np.argsort(dist, 1, kind="stable")[:, :pool]
-            ids, dist, done = ids[row, order], dist[row, order], done[row, order]
-            key = np.where(done, np.inf, dist)
-            pick = np.argsort(key, 1, kind="stable")[:, :width]
-            open_ = np.isfinite(key[row, pick])
-            if not open_.any():
+        todo = dist.copy()  # the distance while an entry is not opened, infinite afterwards
+        while True:
+            if ids.shape[1] > pool:
+                near = np.argpartition(dist, pool - 1, 1)[:, :pool]
+                ids, dist, todo = ids[row, near], dist[row, near], todo[row, near]
+            n = min(width, ids.shape[1])
+            pick = np.argpartition(todo, n - 1, 1)[:, :n] if n < ids.shape[1] else np.repeat(np.arange(n)[None], len(q), 0)
+            live = np.isfinite(todo[row, pick])
+            on = np.flatnonzero(live.any(1))
+            if not len(on):
                 break
-            done[row, pick] = True
-            new = self.links[np.where(open_, ids[row, pick], self.entries[0])].reshape(len(q), -1)
-            new = np.sort(np.where(np.repeat(open_, self.links.shape[1], 1), new, -1), 1)
-            d = qn + norm[new] - 2 * np.einsum("qd,qnd->qn", q, c[new])
-            twice = np.zeros(new.shape, bool)
-            twice[:, 1:] = new[:, 1:] == new[:, :-1]
-            d[twice | (new < 0) | (new[:, :, None] == ids[:, None]).any(2)] = np.inf
-            new = np.where(np.isfinite(d), new, -1)
-            ids, dist, done = np.hstack([ids, new]), np.hstack([dist, d]), np.hstack([done, ~np.isfinite(d)])
+            at = ids[row, pick]
+            todo[row, pick] = np.inf
+            new = np.where(live[on][:, :, None], self.links[at[on]], at[on][:, :, None]).reshape(len(on), -1)
+            new.sort(1)
+            fresh = ~seen[on[:, None], new]
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
+            seen[on[:, None], new] = True
+            d = np.full((len(q), new.shape[1]), np.inf, np.float32)
+            i, j = np.nonzero(fresh)
+            cand = new[i, j]
+            d[on[i], j] = qn[on[i], 0] + norm[cand] - 2 * np.einsum("nd,nd->n", q[on[i]], c[cand])
+            wide = np.zeros((len(q), new.shape[1]), np.int32)
+            wide[on] = new
+            ids, dist, todo = np.hstack([ids, wide]), np.hstack([dist, d]), np.hstack([todo, d])
         order = np.argsort(dist, 1, kind="stable")[:, :want]
-        ids, dist = ids[row, order], np.sqrt(np.maximum(dist[row, order], 0))
+        ids, dist = ids[row, order], np.sqrt(np.maximum(dist[row, order], 0)).astype(np.float64)
         return np.where(np.isfinite(dist), ids, -1), dist
 
 
-def _within(ids: np.ndarray, dist: np.ndarray, ratio: float, most: int) -> list[np.ndarray]:
-    """Distance-ratio pruning: the lists no farther than (1 + ratio) times the nearest, at most `most`."""
+def _within(ids: np.ndarray, dist: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance-ratio pruning: (row, list) of the lists no farther than (1 + ratio) times the nearest, at most `most` a row, by row and list."""
     ok = (ids[:, :most] >= 0) & (dist[:, :most] <= (1 + ratio) * dist[:, :1] + 1e-12)
-    return [i[k] for i, k in zip(ids[:, :most], ok)]
+    row, j = np.nonzero(ok)
+    lists = ids[row, j]
+    order = np.lexsort((lists, row))
+    return row[order], lists[order]
+
+
+def _by_shard(row: np.ndarray, lists: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """(row, shard, its lists there) for every shard that a row goes to."""
+    shard = lists // per
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])
+    at = np.flatnonzero(first)
+    return row[at], shard[at], pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(lists, pa.int32()))
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -137,14 +168,10 @@ def _route(graph: Graph, p: Params, dim: int):
                 b = whole.slice(lo, 1024)
                 x = _matrix(b.column(1), dim)
                 ids, dist = graph.search(x, p.probes)
-                at, shard, role, lists = [], [], [], []
-                for r, got in ((0, _within(ids, dist, p.near, p.joins)), (1, _within(ids, dist, p.ratio, p.probes))):
-                    for i, mine in enumerate(got):
-                        s = mine // p.lists_per_shard
-                        for one in np.unique(s):
-                            at.append(i), shard.append(int(one)), role.append(r), lists.append(mine[s == one].tolist())
-                rows = b.take(pa.array(at, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(role, pa.int32()), rows.column(0), pa.array(lists, pa.list_(pa.int32())), rows.column(1)], ["shard", "role", "id", "lists", "vec"])
+                for role, (ratio, most) in enumerate(((p.near, p.joins), (p.ratio, p.probes))):
+                    row, shard, lists = _by_shard(*_within(ids, dist, ratio, most), p.lists_per_shard)
+                    rows = b.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(row), role), pa.int32()), rows.column(0), lists, rows.column(1)], ["shard", "role", "id", "lists", "vec"])
 
     return run
 
