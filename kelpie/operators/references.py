@@ -28,13 +28,15 @@ NONE_US = np.iinfo(np.int64).min
 SAMPLE = 16_384
 
 
-def sample(df: DataFrame) -> tuple[list[bytes], int]:
-    """The `_key` of the SAMPLE rows (or all, if fewer) with the least hash `_h`, sorted, and about how many rows there are.
-
-    One pass that keeps SAMPLE rows a partition. The number is told from how densely the hashes lie; exact if small."""
-    got = df.select("_h", "_key").orderBy("_h").limit(SAMPLE).collect()
-    n = len(got) if len(got) < SAMPLE else round((len(got) - 1) / max(got[-1][0], 1) * _SPACE)
-    return sorted(r[1].encode() for r in got), n
+def sample(df: DataFrame, least: int = 256) -> tuple[list[bytes], int]:
+    """The `_key` of about SAMPLE rows drawn by the hash `_h` (all, if there are fewer), sorted, and about how many rows there are.
+
+    The number is told from how densely the `least` least hashes lie (exact if there are no more; else within about a
+    sixteenth), so that the driver gets no more than `least` hashes a partition and then the sample, whatever the rows."""
+    low = [r[0] for r in df.select("_h").orderBy("_h").limit(least).collect()]
+    n = len(low) if len(low) < least else round((len(low) - 1) / max(low[-1], 1) * _SPACE)
+    some = df if n <= SAMPLE else df.where(F.col("_h") < int(SAMPLE / n * _SPACE))
+    return sorted(r[0].encode() for r in some.select("_key").collect()), n
 
 
 _SPACE = 1 << 62
