@@ -126,6 +126,148 @@ def truncated_svd(df: DataFrame, cols: list[str], k: int) -> tuple[DataFrame, li
     return df.withColumns(proj), [float(math.sqrt(max(v, 0.0))) for v in value[order]]
 
 
+def mean_and_covariance(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows without null or NaN: sums of products within each partition by matrix product, added up entry by entry."""
+    n = len(cols) + 1
+
+    def sums(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            if b.num_rows:
+                z = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in b.columns), np.ones(b.num_rows)])
+                total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n), pa.int32()), pa.array(total.ravel())], ["i", "v"])
+
+    got = df.select(*[F.col(c).cast("double") for c in cols]).dropna().mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one row an entry
+    total = np.zeros(n * n)
+    for r in got:
+        total[r.i] = r.v
+    total = total.reshape(n, n)
+    rows = max(total[-1, -1], 1.0)
+    mean = total[-1, :-1] / rows
+    return mean, total[:-1, :-1] / rows - np.outer(mean, mean)
+
+
+def fast_ica(df: DataFrame, cols: list[str], k: int, steps: int = 30, seed: int = 42) -> DataFrame:
+    """Df with the independent components i0 .. i{k-1} (unit variance), by the fixed-point iteration with tanh, all components at once.
+
+    Means and covariances come from one aggregation; every step is one pass of sums over Arrow batches, of which only a k by k
+    matrix reaches the driver. Nulls and NaN leave a row out of the fit and without components; fewer than k directions with
+    variance give fewer components."""
+    d, x = len(cols), [F.col(c).cast("double") for c in cols]
+    clean = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).dropna()
+    mean, cov = mean_and_covariance(clean, clean.columns)
+    value, vec = np.linalg.eigh(cov)
+    top = [i for i in np.argsort(-value)[:k] if value[i] > 1e-12 * max(value.max(), 1e-300)]
+    white = (vec[:, top] / np.sqrt(value[top])).T
+    n = len(top)
+
+    def even(w: np.ndarray) -> np.ndarray:
+        u, _, v = np.linalg.svd(w)
+        return u @ v
+
+    w = even(np.random.default_rng(seed).normal(size=(n, n))) if n else np.zeros((0, 0))
+    for _ in range(steps if n else 0):
+
+        def sums(batches, w=w):
+            total, slope, rows = np.zeros((n, n)), np.zeros(n), 0
+            for b in batches:
+                if b.num_rows:
+                    z = (np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - mean) @ white.T
+                    g = np.tanh(z @ w.T)
+                    total += g.T @ z
+                    slope += (1 - g * g).sum(0)
+                    rows += len(z)
+            at = np.arange(n * n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()), pa.array(np.repeat(slope, n)), pa.array(np.full(n * n, rows))], ["i", "t", "s", "n"])
+
+        got = clean.mapInArrow(sums, "i int, t double, s double, n bigint").groupBy("i").agg(F.sum("t").alias("t"), F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # one row an entry of the matrix
+        rows = {r.i: r for r in got}
+        size = rows[0].n or 1
+        new = even(np.array([[rows[i * n + j].t / size for j in range(n)] for i in range(n)]) - np.array([rows[i * n].s / size for i in range(n)])[:, None] * w)
+        done = np.abs(np.abs((new * w).sum(1)) - 1).max() < 1e-6
+        w = new
+        if done:
+            break
+    mix = w @ white
+    return df.withColumns({f"i{a}": sum(((x[j] - float(mean[j])) * float(mix[a, j]) for j in range(d)), F.lit(0.0)) for a in range(n)})
+
+
+def kernel_pca(df: DataFrame, cols: list[str], key: str, k: int, gamma: float, landmarks: int = 64) -> DataFrame:
+    """Df with the leading components k0 .. of the Gaussian kernel, over its Nystroem features from a bounded number of landmarks."""
+    out = nystroem(df, cols, key, landmarks, gamma)
+    feats = [c for c in out.columns if c not in df.columns]
+    mean, cov = mean_and_covariance(out, feats)
+    value, vec = np.linalg.eigh(cov)
+    vec = vec[:, np.argsort(-value)[:k]]
+    vec = vec * np.sign(vec[np.abs(vec).argmax(0), range(vec.shape[1])])
+    return out.withColumns({f"k{a}": sum(((F.col(c) - float(mean[i])) * float(vec[i, a]) for i, c in enumerate(feats)), F.lit(0.0)) for a in range(vec.shape[1])}).drop(*feats)
+
+
+class ExtraTrees:
+    """Extremely randomised trees (0/1 labels): at every node the best by Gini of a few features, each cut at one random place. They are grown
+    on the driver on at most `most` rows, those with the least hash, and applied as JVM expressions to all rows."""
+
+    def __init__(self, cols: list[str], label: str, trees: int = 8, depth: int = 4, most: int = 20_000, seed: int = 42):
+        self.cols, self.label, self.trees, self.depth, self.most, self.seed = cols, label, trees, depth, most, seed
+
+    def fit(self, df: DataFrame) -> ExtraTrees:
+        rows = df.select(*[F.col(c).cast("double").alias(c) for c in self.cols], F.col(self.label).cast("double").alias("_y")).dropna()
+        got = rows.orderBy(F.xxhash64(*rows.columns)).limit(self.most).toPandas().to_numpy()
+        rng = np.random.default_rng(self.seed)
+        few = max(1, round(math.sqrt(len(self.cols))))
+
+        def gini(y: np.ndarray) -> float:
+            p = y.mean() if len(y) else 0.0
+            return 2 * p * (1 - p) * len(y)
+
+        def grow(m: np.ndarray, depth: int):
+            y = m[:, -1]
+            if depth == 0 or len(m) < 10 or y.min() == y.max():
+                return float(y.mean()) if len(y) else 0.5
+            best = None
+            for c in rng.choice(len(self.cols), few, replace=False):
+                lo, hi = m[:, c].min(), m[:, c].max()
+                if lo < hi:
+                    cut = float(rng.uniform(lo, hi))
+                    left = m[:, c] < cut
+                    score = gini(y[left]) + gini(y[~left])
+                    if best is None or score < best[0]:
+                        best = (score, int(c), cut, left)
+            if best is None:
+                return float(y.mean())
+            return best[1], best[2], grow(m[best[3]], depth - 1), grow(m[~best[3]], depth - 1)
+
+        self.forest = [grow(got, self.depth) for _ in range(self.trees)] if len(got) else [0.5]
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        def say(t):
+            return F.lit(t) if isinstance(t, float) else F.when(F.col(self.cols[t[0]]) < t[1], say(t[2])).otherwise(say(t[3]))
+
+        vote = sum((say(t) for t in self.forest), F.lit(0.0)) / len(self.forest)
+        return df.withColumn("prediction", (vote > 0.5).cast("double"))
+
+
+class Perceptron:
+    """Spark's multilayer perceptron with one hidden layer, over columns; features are standardised first."""
+
+    def __init__(self, cols: list[str], label: str, hidden: int = 6):
+        self.cols, self.label, self.hidden = cols, label, hidden
+
+    def fit(self, df: DataFrame) -> Perceptron:
+        from pyspark.ml.classification import MultilayerPerceptronClassifier
+        from pyspark.ml.feature import StandardScaler
+
+        v = vectors(df, self.cols, "_raw").select("_raw", F.col(self.label).cast("double").alias("label"))
+        self.scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(v)
+        self.model = MultilayerPerceptronClassifier(layers=[len(self.cols), self.hidden, 2], seed=42, maxIter=30).fit(self.scaler.transform(v))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.scaler.transform(vectors(df, self.cols, "_raw"))).drop("_raw", "features", "rawPrediction", "probability")
+
+
 def rbf_weights(d: int, n: int, gamma: float, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return np.round(rng.normal(size=(n, d)) * math.sqrt(2 * gamma), 6), np.round(rng.uniform(0, 2 * math.pi, n), 6)
@@ -283,7 +425,7 @@ class AdaBoost:
 
 def own_classifiers(cols: list[str], label: str) -> dict[str, Callable]:
     """The classifiers that Spark has no built-in for."""
-    return {"lda": lambda: Discriminant(cols, label, True), "qda": lambda: Discriminant(cols, label, False), "sgd": lambda: AveragedLinear(cols, label, "log"), "sgd_hinge": lambda: AveragedLinear(cols, label, "hinge"), "passive_aggressive": lambda: AveragedLinear(cols, label, "pa"), "ada_boost": lambda: AdaBoost(cols, label)}
+    return {"lda": lambda: Discriminant(cols, label, True), "qda": lambda: Discriminant(cols, label, False), "sgd": lambda: AveragedLinear(cols, label, "log"), "sgd_hinge": lambda: AveragedLinear(cols, label, "hinge"), "passive_aggressive": lambda: AveragedLinear(cols, label, "pa"), "ada_boost": lambda: AdaBoost(cols, label), "extra_trees": lambda: ExtraTrees(cols, label), "mlp": lambda: Perceptron(cols, label)}
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:

@@ -165,10 +165,12 @@ def sample_or_all(df: DataFrame, fits: Column, key: str, n: int, least: int = 5)
     return some if some.count() >= least else sample_hashed(df, key, n)
 
 
-def weighted_pick(df: DataFrame, weight: str, n: int, seed: int = 42) -> DataFrame:
-    """N rows, each drawn with a chance in proportion to its weight (exponential keys); unusable weights are never drawn."""
+def weighted_pick(df: DataFrame, weight: str, n: int, key: str, seed: int = 42) -> DataFrame:
+    """N rows, each drawn with a chance in proportion to its weight: the least exponential keys -ln(u) / weight, u from a hash of seed
+    and key, so the draw is the same however the rows are spread. Unusable weights are never drawn; ties by key."""
     ok = df.where((F.col(weight) > 0) & (F.col(weight) < float("inf")))
-    return ok.withColumn("_key", -F.log(1 - F.rand(seed)) / F.col(weight)).orderBy("_key").limit(n).drop("_key")
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 1)
+    return ok.withColumn("_key", -F.log(u) / F.col(weight)).orderBy("_key", key).limit(n).drop("_key")
 
 
 def recency_prior(df: DataFrame, by: str, cos: str, success: str, age: str, half_life: float) -> DataFrame:

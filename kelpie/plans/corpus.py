@@ -137,8 +137,8 @@ def _each(holder: str, key: str) -> str:
 
 
 #: In SQL: the complete documents; one that is held in a JSON string is taken out of it.
-_DOC = """open AS (SELECT oid, CASE WHEN json_type(t) = 'VARCHAR' THEN t ->> '$' ELSE t END AS t FROM cur WHERE json_valid(t)),
-  doc AS MATERIALIZED (SELECT oid, t::JSON AS j FROM open WHERE json_valid(t))"""
+_DOC = """open AS (SELECT oid, CASE WHEN json_type(try_cast(t AS JSON)) = 'VARCHAR' THEN try_cast(t AS JSON) ->> '$' ELSE t END AS t FROM cur WHERE json_valid(t)),
+  doc AS MATERIALIZED (SELECT oid, try_cast(t AS JSON) AS j FROM open WHERE json_valid(t))"""
 _N = f"""
   WITH RECURSIVE cur AS ({_current("pipelines", "dag", "created_at")}),
   {_DOC},

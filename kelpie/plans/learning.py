@@ -137,6 +137,18 @@ def l05(s, d):
     return ml.principal_components(_li(s, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 3)
 
 
+@query("L05_fast_ica")
+def l05c(s, d):
+    e = load(s, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)])
+    return ml.fast_ica(e, [f"x{i}" for i in range(4)], 3).select("vec_id", "i0", "i1", "i2")
+
+
+@query("L05_kernel_pca")
+def l05d(s, d):
+    e = load(s, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)])
+    return ml.kernel_pca(e, [f"x{i}" for i in range(4)], "vec_id", 2, 0.5, 32).select("vec_id", "k0", "k1")
+
+
 @query("L06_variance_threshold", "SELECT c AS \"column\" FROM (SELECT 'l_quantity' AS c, var_pop(l_quantity) AS v FROM lineitem UNION ALL SELECT 'l_tax', var_pop(l_tax) FROM lineitem) WHERE v > 0.5")
 def l06(s, d):
     return s.createDataFrame([(c,) for c in ml.variance_threshold(_li(s, d), ["l_quantity", "l_tax"], 0.5)], "column string")

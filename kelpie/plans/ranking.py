@@ -99,9 +99,41 @@ def m08(s, d):
     return near.where(m.fast_distance(F.col("parts"), F.col("base"), F.col("n"), F.col("bn")) <= 6).select("id")
 
 
-@query("M04_edit_distance")
+_M04 = corpus._N + """,
+  nn AS MATERIALIZED (SELECT oid AS graph, spot AS v, coalesce(%s, %s) AS label FROM n WHERE spot IS NOT NULL),
+  ee AS MATERIALIZED (SELECT oid AS graph, %s AS s, %s AS t FROM ed WHERE spot IS NOT NULL),
+  size AS MATERIALIZED (SELECT graph, count(*) AS k FROM nn GROUP BY 1),
+  base AS MATERIALIZED (SELECT graph, k FROM size ORDER BY k, graph LIMIT 1),
+  bl AS (SELECT label FROM nn WHERE graph = (SELECT graph FROM base)),
+  be AS (SELECT (SELECT count(*) FROM ee WHERE graph = (SELECT graph FROM base)) AS be),
+  ue AS (SELECT DISTINCT ee.graph, s, t, a.v IS NOT NULL AS hs, b.v IS NOT NULL AS ht FROM ee LEFT JOIN nn a ON a.graph = ee.graph AND a.v = s LEFT JOIN nn b ON b.graph = ee.graph AND b.v = t),
+  te AS (SELECT graph, count(*) FILTER (hs OR ht) AS touching FROM ue GROUP BY 1),
+  own AS (SELECT graph, v, count(*) AS alone, count(*) FILTER (s = t AND s = v) AS loops FROM (SELECT graph, s AS v, s, t FROM ue WHERE hs AND (NOT ht OR s = t) UNION ALL SELECT graph, t, s, t FROM ue WHERE ht AND NOT hs) GROUP BY ALL),
+  c AS (
+    SELECT nn.graph, min((nn.label IS DISTINCT FROM (SELECT label FROM bl))::INT + k - 1 + coalesce(touching, 0) - coalesce(alone, 0) + coalesce(loops, 0)) AS best, any_value(k) AS k, any_value(coalesce(touching, 0)) AS touching
+    FROM nn JOIN size USING (graph) LEFT JOIN te USING (graph) LEFT JOIN own ON own.graph = nn.graph AND own.v = nn.v GROUP BY 1),
+  q AS (SELECT graph, count(*) AS edges FROM ee GROUP BY 1),
+  far AS (SELECT size.graph, (SELECT count(*) FROM (SELECT label FROM nn WHERE nn.graph = size.graph EXCEPT SELECT label FROM bl)) + (SELECT count(*) FROM (SELECT label FROM bl EXCEPT SELECT label FROM nn WHERE nn.graph = size.graph)) AS gap FROM size)
+  SELECT cur.oid AS pipeline_id, CASE
+      WHEN size.k + (SELECT k FROM base) <= 30 THEN least(best, 1 + size.k + touching)
+      WHEN size.k IS NOT NULL THEN gap + abs(coalesce(q.edges, 0) - be)
+      WHEN top.h IS NOT NULL THEN (SELECT k FROM base) + CASE WHEN (SELECT k FROM base) <= 30 THEN be ELSE abs(coalesce(q.edges, 0) - be) END END::DOUBLE AS distance
+  FROM cur LEFT JOIN top ON top.oid = cur.oid LEFT JOIN size ON size.graph = cur.oid LEFT JOIN c ON c.graph = cur.oid LEFT JOIN q ON q.graph = cur.oid LEFT JOIN far ON far.graph = cur.oid, be""" % tuple(corpus._string(corpus._field(*x)) for x in (("v", "name"), ("v", "class_type", "type"), ("v", "source", "src"), ("v", "destination", "dst", "target")))
+
+
+@query("M05_edit_path")
+def m05(s, d):
+    """The edits of every graph that is compared exactly, one row each, in the order of the base's nodes, insertions last."""
+    return _edited(s, d).where("edits is not null").select("pipeline_id", F.posexplode("edits").alias("step", "edit"))
+
+
+@query("M04_edit_distance", _M04)
 def m04(s, d):
-    """Every pipeline against the smallest one (ties by id)."""
+    """Every pipeline against the smallest one (ties by id); the SQL says it for a base of one node without edges."""
+    return _edited(s, d).select("pipeline_id", "distance")
+
+
+def _edited(s, d) -> DataFrame:
     n = p6_nodes(s, d).groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("path", F.coalesce("name", "class_type").alias("label")))).alias("nodes"))
     e = p6_edges(s, d).groupBy("owner_id").agg(F.collect_list(F.struct("source", "destination")).alias("edges"))
     known = F.variant_get(F.try_parse_json("dag"), "$.nodes", "string").isNotNull()

@@ -467,9 +467,9 @@ def t07(s, d):
     return load(s, d, "events").withColumn("score", score).orderBy("score", "ts", "event_id").limit(25).select("event_id", "score")
 
 
-@query("T09_weighted_pick")
+@query("T09_weighted_pick", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 0 ORDER BY -ln((CAST('0x' || substr(md5('42:' || p_partkey), 1, 12) AS BIGINT) + 1) / (pow(2, 48) + 1)) / p_retailprice, p_partkey LIMIT 100")
 def t09(s, d):
-    return r.weighted_pick(load(s, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 100)
+    return r.weighted_pick(load(s, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 100, "p_partkey")
 
 
 @query("T10_stratified_folds", "WITH f AS (SELECT p_partkey, p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) - 1) % 5 AS INTEGER) AS fold FROM part) SELECT p_brand, fold, count(*) AS n, min(p_partkey) AS first_key FROM f GROUP BY ALL")

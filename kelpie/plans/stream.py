@@ -95,7 +95,7 @@ def z08(s, d):
     return ranked(got, [F.asc("ts"), F.asc("event_id")], "seq", ["user_id"]).select("event_id", "seq")
 
 
-@query("Z11_rate_limit")
+@query("Z11_rate_limit", "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events), x AS MATERIALIZED (SELECT *, min(ms) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 3600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM e), s AS MATERIALIZED (SELECT DISTINCT user_id, ms, nxt FROM x), w AS (SELECT user_id, min(ms) AS a FROM s GROUP BY 1 UNION ALL SELECT s.user_id, s.nxt FROM w JOIN s ON s.user_id = w.user_id AND s.ms = w.a WHERE s.nxt IS NOT NULL), p AS (SELECT x.user_id, event_id, x.ms, max(a) AS a FROM x JOIN w ON w.user_id = x.user_id AND w.a <= x.ms GROUP BY ALL) SELECT user_id AS key, event_id AS id, row_number() OVER (PARTITION BY user_id, a ORDER BY ms, event_id) <= 2 AS allowed FROM p")
 def z11(s, d):
     """Two events an hour for each user, the hour beginning with the first."""
     return ops.result(ops.rate_limit(_events(s, d).select("event_id", "ts", "user_id"), "user_id", "ts", "event_id", 2, 3600))
