@@ -41,18 +41,25 @@ def ancestors(edges: DataFrame, child: str, parent: str, depth: int = 32) -> Dat
     return found
 
 
-def _per_graph(nodes: DataFrame, edges: DataFrame, f: Callable, schema: str) -> DataFrame:
+def per_graph(nodes: DataFrame, edges: DataFrame, f: Callable, schema: str) -> DataFrame:
     """f(nodes [(node, label)], edges [(src, dst)]) -> rows (node, ...), once per graph. A graph is one document, so it fits a task;
     graphs are brought together by one exchange, whatever their depth."""
     label = F.col("label") if "label" in nodes.columns else F.lit("")
     n = nodes.groupBy("graph").agg(F.collect_list(F.struct(F.col("node").alias("a"), F.coalesce(label, F.lit("")).alias("b"))).alias("ns"))
     e = edges.where("src is not null and dst is not null").groupBy("graph").agg(F.collect_list(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"))).alias("es"))
 
+    def pairs(col: pa.ListArray) -> Iterator[list[tuple]]:
+        flat, at = col.flatten(), 0
+        both = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist()))
+        for n in col.value_lengths().fill_null(0).to_pylist():
+            yield both[at : at + n]
+            at += n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             graphs, rows = [], []
-            for g, ns, es in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                got = f([(x["a"], x["b"]) for x in ns], [(x["a"], x["b"]) for x in es or []])
+            for g, ns, es in zip(b.column(0).to_pylist(), pairs(b.column(1)), pairs(b.column(2))):
+                got = f(ns, es)
                 graphs += [g] * len(got)
                 rows += got
             if rows:
@@ -96,7 +103,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, node, level): the longest path that leads to a node; nodes on or behind a cycle have no level (null).
 
     Edges to nodes that are not there, repeated edges and null ends don't count."""
-    return _per_graph(nodes.select("graph", "node").where("node is not null"), edges, level_rows, "node string, level int")
+    return per_graph(nodes.select("graph", "node").where("node is not null"), edges, level_rows, "node string, level int")
 
 
 def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def validate(nodes: DataFrame, edges: DataFrame, registry: DataFrame | None = No
     say = lambda d, what, item: d.select("graph", F.lit(what).alias("problem"), item.alias("item"))
     ends = e.select("graph", F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
     found = say(ends.join(n, ["graph", "node"], "left_anti"), "dangling_edge", F.col("node"))
-    found = found.unionByName(_per_graph(n, e, flow_rows, "node string, problem string").select("graph", "problem", F.col("node").alias("item")))
+    found = found.unionByName(per_graph(n, e, flow_rows, "node string, problem string").select("graph", "problem", F.col("node").alias("item")))
     ops = n.where("operator is not null").select("graph", "node", "operator")
     at = e.where("position is not null and dst is not null").join(ops.withColumnRenamed("node", "dst"), ["graph", "dst"], "left")
     spot = F.concat_ws(":", "dst", "position")
@@ -294,7 +301,7 @@ def key_rows(nodes: list[tuple], edges: list[tuple]) -> list[tuple]:
 
 def reuse_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, node, key): the content address of every node: equal keys mean equal work, in whichever graph."""
-    return _per_graph(nodes.where("node is not null"), edges, key_rows, "node string, key string")
+    return per_graph(nodes.where("node is not null"), edges, key_rows, "node string, key string")
 
 
 def match_exceptions(instances: DataFrame, patterns: DataFrame) -> DataFrame:

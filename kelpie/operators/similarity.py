@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.operators.graphs import per_graph
 from kelpie.sources.tables import durable
 
 
@@ -157,26 +160,36 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(u == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / u)
 
 
+def wl_rows(nodes: list[tuple], edges: list[tuple], rounds: int) -> list[tuple]:
+    """(node, round, label) of one graph."""
+    short = lambda text: hashlib.md5(text.encode()).hexdigest()[:12]
+    label = {n: short(x) for n, x in nodes}
+    near: dict = {n: set() for n in label}
+    for a, b in edges:
+        if a in near and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    out = [(n, 0, x) for n, x in label.items()]
+    for r in range(1, rounds + 1):
+        label = {n: short(f"{x}|{','.join(sorted([label[m] for m in near[n]]))}") for n, x in label.items()}
+        out += [(n, r, x) for n, x in label.items()]
+    return out
+
+
 def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """(graph, node, round, label): labels refined by the sorted labels of the neighbours, the graph taken as undirected.
 
-    nodes(graph, node, label), edges(graph, src, dst); each round is kept, so its plan does not grow with the rounds. Round 0 is the node's own label. A label is the first 12 digits of an MD5."""
-    both = edges.select("graph", "src", "dst").unionByName(edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = durable(both)
-    cur = nodes.select("graph", "node", F.substring(F.md5(F.col("label").cast("binary")), 1, 12).alias("label"))
-    cur = durable(cur)
-    out = cur.withColumn("round", F.lit(0))
-    for r in range(1, rounds + 1):
-        near = both.join(cur.select("graph", F.col("node").alias("dst"), "label"), ["graph", "dst"]).groupBy("graph", F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("near"))
-        cur = cur.join(near, ["graph", "node"], "left").select("graph", "node", F.substring(F.md5(F.concat_ws("|", "label", F.coalesce("near", F.lit(""))).cast("binary")), 1, 12).alias("label"))
-        cur = durable(cur)
-        out = out.unionByName(cur.withColumn("round", F.lit(r)))
-    return out
+    nodes(graph, node, label), edges(graph, src, dst). A graph is one document and so fits a task: it is brought together by one
+    exchange and all rounds are run on it there. Round 0 is the node's own label, a null one being empty. A label is the first
+    12 digits of an MD5. Repeated nodes are one; edges to nodes that are not there don't count."""
+    n = nodes.select("graph", F.col("node").cast("string").alias("node"), "label").where("node is not null")
+    e = edges.select("graph", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    return per_graph(n, e, partial(wl_rows, rounds=rounds), "node string, round int, label string")
 
 
 def wl_kernel(labels: DataFrame, base) -> DataFrame:
     """(graph, kernel): the sum over shared labels of the lesser count, of every graph against `base`."""
-    h = labels.groupBy("graph", "round", "label").agg(F.count(F.lit(1)).alias("n"))
+    h = durable(labels.groupBy("graph", "round", "label").agg(F.count(F.lit(1)).alias("n")))
     one = h.where(F.col("graph") == base).select("round", "label", F.col("n").alias("m"))
     return h.join(one, ["round", "label"]).groupBy("graph").agg(F.sum(F.least("n", "m")).alias("kernel"))
 

@@ -309,7 +309,7 @@ def m18(s, d):
 _NEEDS = " UNION ALL ".join(f"SELECT '{o}' AS objective, [{', '.join(repr(t) for t in sorted(needs))}] AS needs" for o, needs in k.OBJECTIVES.items())
 
 
-@query("M19_objective_registry", f"SELECT objective, CASE WHEN list_has_all((SELECT list(view_name) FROM duckdb_views()), needs) THEN 'active' ELSE 'degraded' END AS status FROM ({_NEEDS})")
+@query("M19_objective_registry", f"SELECT objective, CASE WHEN list_has_all((SELECT list(t) FROM (SELECT view_name AS t FROM duckdb_views() UNION SELECT table_name FROM duckdb_tables())), needs) THEN 'active' ELSE 'degraded' END AS status FROM ({_NEEDS})")
 def m19(s, d):
     """Objectives by the tables that are there."""
     jvm = s._jvm.org.apache.hadoop.fs
