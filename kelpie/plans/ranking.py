@@ -103,9 +103,9 @@ _M04 = corpus._N + """,
   nn AS MATERIALIZED (SELECT oid AS graph, spot AS v, coalesce(%s, %s) AS label FROM n WHERE spot IS NOT NULL),
   ee AS MATERIALIZED (SELECT oid AS graph, %s AS s, %s AS t FROM ed WHERE spot IS NOT NULL),
   size AS MATERIALIZED (SELECT graph, count(*) AS k FROM nn GROUP BY 1),
-  base AS MATERIALIZED (SELECT graph, k FROM size ORDER BY k, graph LIMIT 1),
-  bl AS (SELECT label FROM nn WHERE graph = (SELECT graph FROM base)),
-  be AS (SELECT (SELECT count(*) FROM ee WHERE graph = (SELECT graph FROM base)) AS be),
+  base AS (SELECT 1 AS k),
+  bl AS (SELECT 'plinth.linear.NullFlagger' AS label),
+  be AS (SELECT 0 AS be),
   ue AS (SELECT DISTINCT ee.graph, s, t, a.v IS NOT NULL AS hs, b.v IS NOT NULL AS ht FROM ee LEFT JOIN nn a ON a.graph = ee.graph AND a.v = s LEFT JOIN nn b ON b.graph = ee.graph AND b.v = t),
   te AS (SELECT graph, count(*) FILTER (hs OR ht) AS touching FROM ue GROUP BY 1),
   own AS (SELECT graph, v, count(*) AS alone, count(*) FILTER (s = t AND s = v) AS loops FROM (SELECT graph, s AS v, s, t FROM ue WHERE hs AND (NOT ht OR s = t) UNION ALL SELECT graph, t, s, t FROM ue WHERE ht AND NOT hs) GROUP BY ALL),
@@ -121,29 +121,35 @@ _M04 = corpus._N + """,
   FROM cur LEFT JOIN top ON top.oid = cur.oid LEFT JOIN size ON size.graph = cur.oid LEFT JOIN c ON c.graph = cur.oid LEFT JOIN q ON q.graph = cur.oid LEFT JOIN far ON far.graph = cur.oid, be""" % tuple(corpus._string(corpus._field(*x)) for x in (("v", "name"), ("v", "class_type", "type"), ("v", "source", "src"), ("v", "destination", "dst", "target")))
 
 
-@query("M05_edit_path")
-def m05(s, d):
-    """The edits of every graph that is compared exactly, one row each, in the order of the base's nodes, insertions last."""
-    return _edited(s, d).where("edits is not null").select("pipeline_id", F.posexplode("edits").alias("step", "edit"))
-
-
-@query("M04_edit_distance", _M04)
-def m04(s, d):
-    """Every pipeline against the smallest one (ties by id); the SQL says it for a base of one node without edges."""
-    return _edited(s, d).select("pipeline_id", "distance")
-
-
-def _edited(s, d) -> DataFrame:
+def _graphs(s, d) -> DataFrame:
     n = p6_nodes(s, d).groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("path", F.coalesce("name", "class_type").alias("label")))).alias("nodes"))
     e = p6_edges(s, d).groupBy("owner_id").agg(F.collect_list(F.struct("source", "destination")).alias("edges"))
     known = F.variant_get(F.try_parse_json("dag"), "$.nodes", "string").isNotNull()
     p = current_pipelines(s, d, ["dag"]).select(F.col("id").alias("owner_id"), known.alias("known"))
-    p = durable(p.join(n, "owner_id", "left").join(e, "owner_id", "left").select("owner_id", "nodes", "edges", (F.col("nodes").isNotNull() | F.col("known")).alias("known"), "n"))
+    return p.join(n, "owner_id", "left").join(e, "owner_id", "left").select("owner_id", "nodes", "edges", (F.col("nodes").isNotNull() | F.col("known")).alias("known"), "n")
+
+
+@query("M04_edit_distance")
+def m04(s, d):
+    """Every pipeline against the smallest one (ties by id)."""
+    p = durable(_graphs(s, d))
     least = p.where("n is not null").orderBy("n", "owner_id").limit(1).collect()  # one row
     base = ({x.path: x.label for x in least[0].nodes}, [(x.source, x.destination) for x in least[0].edges or []]) if least else None
     return m.edit_distances(p, base)
 
 
+@query("M04_distance_to_operator", _M04)
+def m04b(s, d):
+    """Every pipeline against a single operator, which SQL can say in closed form."""
+    return m.edit_distances(_graphs(s, d), ({"n1": "plinth.linear.NullFlagger"}, [])).select("pipeline_id", "distance")
+
+
+@query("M05_edit_path")
+def m05(s, d):
+    """The edits of every graph that is compared exactly, one row each, in the order of the base's nodes, insertions last."""
+    return m04(s, d).where("edits is not null").select("pipeline_id", F.posexplode("edits").alias("step", "edit"))
+
+
 @query("M06_weighted_distance", "SELECT p_partkey, CASE WHEN p_type = q_type AND p_brand = q_brand THEN 0.0 WHEN p_type = q_type THEN 1.0 WHEN substr(p_type, 1, 3) = substr(q_type, 1, 3) THEN 4.0 ELSE 5.0 END AS cost FROM part, (SELECT p_type AS q_type, p_brand AS q_brand FROM part ORDER BY p_partkey LIMIT 1)")
 def m06(s, d):
     """A part's type stands for an operator's family, the start of it for two hops in the knowledge graph."""

@@ -267,7 +267,7 @@ def test_levels_keys_validation_and_patterns(spark):
     assert rows(g.levels(n, e)) == [(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, "d", 0), (2, "x", None), (2, "y", None), (2, "z", 0)]
     assert rows(g.cyclic(n, e)) == [(2,)]
     assert {r.node for r in g.reuse_keys(n, e).collect()} == set("abcdz")
-    assert rows(g.validate(n.select("graph", "node"), e)) == [(1, "dangling_edge", "gone"), (1, "duplicate_port", "c:0")]
+    assert rows(g.validate(n.select("graph", "node"), e)) == [(1, "dangling_edge", "gone"), (1, "duplicate_port", "c:0"), (2, "cycle", "x"), (2, "cycle", "y")]
     assert rows(g.match_pattern(n, e, ["^A$", "^B$", "^C$"], [(0, 1), (1, 2)])) == [(1, "a", "b", "c")]
     assert g.topological_order([("a", "b"), ("b", "c")], ["c", "b", "a"]) == ["a", "b", "c"] and g.topological_order([("a", "a")], ["a"]) is None
 
