@@ -390,6 +390,25 @@ def action_mask(candidates: DataFrame, used: DataFrame, task: str, caps: dict[st
     return out.where(limit.isNull() | (F.coalesce("n", F.lit(0)) < limit)).select("operator", "task", "family")
 
 
+def valid_actions(candidates: DataFrame, used: DataFrame, free: list[str], task: str, max_estimators: int = 1, max_transformers: int = 5) -> DataFrame:
+    """The candidates that may be added to a graph next.
+
+    candidates: operator, task (null: any), family, interface (estimator, transformer or other), inputs ARRAY<STRUCT<type, required>>
+    (a null type fits all). used: operator, family, interface of the graph so far, a bounded list. free: the types of its free outputs.
+    Out go: operators in use, those of another task, transformers behind an estimator, estimators and transformers over their cap,
+    estimators of a family in use, those with a required input that no free output fits, and those with inputs of which none fits."""
+    has = used.agg(F.coalesce(F.count_if(F.col("interface") == "estimator"), F.lit(0)).alias("_e"), F.coalesce(F.count_if(F.col("interface") == "transformer"), F.lit(0)).alias("_t"))
+    families = used.where("family is not null").select("family").distinct().withColumn("_taken", F.lit(True))
+    out = candidates.join(F.broadcast(used.select("operator").distinct()), "operator", "left_anti")  # the graph so far is a bounded list
+    out = out.where(F.col("task").isNull() | (F.col("task") == task)).crossJoin(F.broadcast(has)).join(F.broadcast(families), "family", "left")  # one row; bounded
+    estimator, transformer = F.coalesce(F.col("interface") == "estimator", F.lit(False)), F.coalesce(F.col("interface") == "transformer", F.lit(False))
+    ok = ~(transformer & (F.col("_e") > 0)) & ~(estimator & (F.col("_e") >= max_estimators)) & ~(transformer & (F.col("_t") >= max_transformers)) & ~(estimator & F.coalesce("_taken", F.lit(False)))
+    fits = lambda x: x["type"].isNull() | (x["type"].isin(*free) if free else F.lit(False))
+    ins = F.coalesce("inputs", F.array().cast(candidates.schema["inputs"].dataType))
+    ok = ok & F.forall(ins, lambda x: ~F.coalesce(x["required"], F.lit(False)) | fits(x)) & ((F.size(ins) == 0) | F.exists(ins, fits))
+    return out.where(ok).select(*candidates.columns)
+
+
 def topological_order(edges: list[tuple[str, str]], nodes: list[str]) -> list[str] | None:
     """M27 on one graph, on the driver: an order (ties by name), or None if there is a cycle."""
     import heapq

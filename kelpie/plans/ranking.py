@@ -544,10 +544,31 @@ def m39(s, d):
     return k.evict(c, 1_500_000, "secs", "size", "red", "s_suppkey").select("s_suppkey", "evicted")
 
 
-@query("M40_structural_scores", f"WITH {rel.PI} SELECT id, round(CASE WHEN n_ops <= 3 THEN 1.0 WHEN n_ops >= 30 THEN 0.0 ELSE 1 - (n_ops - 3) / 27 END, 9) AS simplicity, round(least(greatest(3 / nullif(n_ops, 0) / 0.3, 0), 1), 9) AS parametrisation FROM pi")
+_CAND = "c AS (SELECT p_partkey, p_name AS operator, p_type AS task, p_brand AS family, CASE WHEN p_size <= 15 THEN 'transformer' WHEN p_size <= 35 THEN 'estimator' ELSE 'other' END AS interface, CASE WHEN p_retailprice < 1200 THEN 'Array' WHEN p_retailprice < 1500 THEN 'DataFrame' END AS kind FROM part), one AS (SELECT max(task) AS task FROM c), u AS (SELECT * FROM c WHERE p_partkey <= 3)"
+
+
+@query("M37_valid_actions", f"WITH {_CAND} SELECT operator, family, interface FROM c, one WHERE c.task = one.task AND operator NOT IN (SELECT operator FROM u) AND NOT (interface = 'transformer' AND (SELECT count(*) FROM u WHERE interface = 'estimator') > 0) AND NOT (interface = 'estimator' AND ((SELECT count(*) FROM u WHERE interface = 'estimator') >= 2 OR family IN (SELECT family FROM u))) AND NOT (interface = 'transformer' AND (SELECT count(*) FROM u WHERE interface = 'transformer') >= 5) AND (kind IS NULL OR kind = 'Array')")
+def m37b(s, d):
+    """Parts as operators of one task: their size tells the interface, their price what they take in; the graph so far frees an Array."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    c = load(s, d, "part").select("p_partkey", F.col("p_name").alias("operator"), F.col("p_type").alias("task"), F.col("p_brand").alias("family"), F.when(size <= 15, "transformer").when(size <= 35, "estimator").otherwise("other").alias("interface"), F.array(F.struct(F.when(price < 1200, "Array").when(price < 1500, "DataFrame").alias("type"), F.lit(True).alias("required"))).alias("inputs"))
+    task = c.agg(F.max("task")).first()[0] or ""
+    return g.valid_actions(c, c.where("p_partkey <= 3"), ["Array"], task, 2, 5).select("operator", "family", "interface")
+
+
+_M40 = corpus._N + """,
+  k AS (SELECT oid, count(*) AS n, count(*) FILTER (cls = 'Operator') AS ops, count(*) FILTER (cls = 'Parameter') AS params, count(*) FILTER (cls = 'Operator' AND contains(lower(nm), 'guard')) > 0 AS guard
+    FROM (SELECT oid, %s AS cls, %s AS nm FROM n WHERE up = '' AND spot IS NOT NULL) GROUP BY 1)
+  SELECT oid AS id, round(CASE WHEN n <= 3 THEN 1.0 WHEN n >= 30 THEN 0.0 ELSE 1 - (n - 3) / 27 END, 9) AS simplicity, CASE WHEN ops = 0 THEN 0.0 ELSE round(least(params / ops / 0.3, 1.0), 9) END AS parametrisation, guard::INTEGER::DOUBLE AS guardrail FROM k""" % tuple(corpus._string(corpus._field(*x)) for x in (("v", "class_type", "type"), ("v", "name")))
+
+
+@query("M40_structural_scores", _M40)
 def m40(s, d):
-    n = F.col("n_ops")
-    return rel.pipes(s, d).select("id", F.round(k.simplicity(n), 9).alias("simplicity"), F.round(k.parametrisation(F.lit(3), n), 9).alias("parametrisation"))
+    """Of every pipeline's outermost nodes: few of them, parameters to its operators, a guardrail among these."""
+    n, _ = pipeline_graphs(s, d)
+    op = F.col("class_type") == "Operator"
+    c = n.where("parent = ''").groupBy(F.col("graph").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(op).alias("ops"), F.count_if(F.col("class_type") == "Parameter").alias("params"), F.count_if(op & F.lower("label").contains("guard")).alias("guards"))
+    return c.select("id", F.round(k.simplicity(F.col("n")), 9).alias("simplicity"), F.coalesce(F.round(k.parametrisation(F.col("params"), F.col("ops")), 9), F.lit(0.0)).alias("parametrisation"), (F.col("guards") > 0).cast("int").cast("double").alias("guardrail"))
 
 
 _HASH = corpus._N + """,

@@ -91,3 +91,30 @@ def test_validation_of_cycles_sinks_and_empty_tables(spark):
     got = rows(g.validate(n, e).select("problem", "item"))
     assert got == sorted([("cycle", x) for x in "abcd"] + [("unreachable_from_source", x) for x in "abcd"] + [("unreachable_to_sink", "e")], key=str)
     assert g.validate(n.limit(0), e.limit(0)).count() == 0
+
+
+CATALOGUE = [
+    ("scale", None, "prep", "transformer", [("Array", True)]),
+    ("forest", "cls", "trees", "estimator", [("Array", True), (None, False)]),
+    ("boost", "cls", "trees", "estimator", [("Array", True)]),
+    ("svm", "cls", "kernel", "estimator", [("Array", True), ("Model", True)]),
+    ("ridge", "reg", "linear", "estimator", [("Array", True)]),
+    ("load", None, None, "other", []),
+    ("show", None, None, "other", [("Model", False)]),
+]
+
+
+@pytest.mark.parametrize(
+    ("used", "free", "caps", "want"),
+    [
+        ([], ["Array"], (1, 5), {"scale", "forest", "boost", "load"}),
+        ([("scale", "prep", "transformer")], ["Array"], (1, 1), {"forest", "boost", "load"}),
+        ([("forest", "trees", "estimator")], ["Array", "Model"], (2, 5), {"svm", "load", "show"}),
+        ([("forest", "trees", "estimator")], ["Array", "Model"], (1, 5), {"load", "show"}),
+        ([], [], (1, 5), {"load"}),
+    ],
+)
+def test_valid_actions(spark, used, free, caps, want):
+    c = spark.createDataFrame(CATALOGUE, "operator string, task string, family string, interface string, inputs array<struct<type: string, required: boolean>>")
+    u = spark.createDataFrame(used, "operator string, family string, interface string")
+    assert {r.operator for r in g.valid_actions(c, u, free, "cls", *caps).collect()} == want
