@@ -46,6 +46,21 @@ def test_pair_queue_and_open_pairs_reach_beyond_the_newest(spark, tmp_path):
     assert rows(run("J05_anti_unevaluated_pairs", spark, tmp_path)) == sorted(want, key=str)
 
 
+def test_open_pairs_are_cut_to_tasks_and_take_little_disk(spark, tmp_path):
+    rng = random.Random(5)
+    sets = [(f"ds-{rng.getrandbits(64):016x}", i) for i in range(3000)] + [(None, 1)]
+    pipes = [(f"pl-{rng.getrandbits(64):016x}", i) for i in range(400)] + [(None, 1)]
+    done = [(p, q) for p, _ in pipes[:2] for q, _ in sets[:-1]] + [(rng.choice(pipes)[0], rng.choice(sets)[0]) for _ in range(6000)] + [(pipes[9][0], "gone")] * 2
+    store(spark, tmp_path, pipes, sets, done)
+    run("J05_anti_unevaluated_pairs", spark, tmp_path).write.parquet(f"{tmp_path}/out")
+    files = list((tmp_path / "out").glob("*.parquet"))
+    got = spark.read.parquet(f"{tmp_path}/out").toArrow().to_pydict()
+    got = list(zip(got["pipeline_id"], got["dataset_id"]))
+    evaluated = {x for x in done if None not in x}
+    assert len(got) == len(set(got)) and set(got) == {(p, q) for p, _ in pipes for q, _ in sets} - evaluated
+    assert len(files) > 1 and sum(x.stat().st_size for x in files) < 0.5 * len(got)  # bytes
+
+
 def wl_brute(nodes, edges):
     """{(graph, round): [label]} by a walk over each graph."""
     md = lambda x: hashlib.md5(x.encode()).hexdigest()[:12]
